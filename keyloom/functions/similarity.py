@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from keyloom.functions.names import name_form_col
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     # the same two names meet in many table pairs, so each pair is scored once per batch
     seen: dict[tuple[str, str], float] = {}

@@ -8,9 +8,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from keyloom.functions.names import name_form, name_form_col
+from keyloom.session import small_table
 
 # The built-in alias groups and value patterns, in matching order.
 BUILTIN_NAME = "orcamento_federal_brasileiro"
@@ -66,29 +66,27 @@ class Vocabulary:
         ``min_partial_len`` drops short aliases and names from the second test, which
         otherwise see two-letter aliases inside unrelated names.
         """
+        entries = [(g, name_form(a, form)) for g, aliases in self.groups.items() for a in aliases]
+        if not entries:
+            return F.lit(None).cast("string")
+        # aliases and their groups as two constant arrays, folded before the job runs
+        groups = F.split(F.lit("\n".join(g for g, _ in entries)), "\n")
+        aliases = F.split(F.lit("\n".join(a for _, a in entries)), "\n")
         name = name_form_col(name, form)
-        forms = {g: [name_form(a, form) for a in aliases] for g, aliases in self.groups.items()}
-        exact = [F.when(name.isin(aliases), F.lit(g)) for g, aliases in forms.items() if aliases]
-        partial = []
-        for group, aliases in forms.items():
-            inside = [name.contains(a) for a in aliases if len(a) >= min_partial_len]
-            around = F.array_contains(
-                F.transform(F.array(*[F.lit(a) for a in aliases]), lambda a: F.contains(a, name)), True
-            ) & (F.length(name) >= min_partial_len) if aliases else F.lit(False)
-            test = around
-            for hit in inside:
-                test = hit | test
-            partial.append(F.when(test, F.lit(group)))
-        return F.coalesce(*exact, *partial) if exact else F.lit(None).cast("string")
-
-
-_CONTEXT_SCHEMA = T.StructType(
-    [
-        T.StructField("domain_name", T.StringType()),
-        T.StructField("semantic_groups", T.MapType(T.StringType(), T.ArrayType(T.StringType()))),
-        T.StructField("key_patterns", T.MapType(T.StringType(), T.StringType())),
-    ]
-)
+
+        def overlaps(i: Column) -> Column:
+            alias = F.element_at(aliases, i)
+            inside = F.contains(name, alias) & (F.length(alias) >= min_partial_len)
+            around = F.contains(alias, name) & (F.length(name) >= min_partial_len)
+            return inside | around
+
+        equal = F.array_position(aliases, name)
+        partial = F.get(F.filter(F.sequence(F.lit(1), F.lit(len(entries))), overlaps), F.lit(0))
+        at = F.when(equal > 0, equal.cast("int")).otherwise(partial)
+        return F.get(groups, at - 1)
+
+
+_CONTEXT_SCHEMA = "domain_name string, semantic_groups map<string,array<string>>, key_patterns map<string,string>"
 
 
 def load_vocabulary(spark: SparkSession, path: str | None = None) -> Vocabulary:
@@ -118,6 +116,6 @@ def load_vocabulary(spark: SparkSession, path: str | None = None) -> Vocabulary:
 
 def vocabulary_table(spark: SparkSession, vocabulary: Vocabulary, source: str | None = None) -> DataFrame:
     """The vocabulary as one row of the stored-contexts table."""
-    row = (vocabulary.name, dict(vocabulary.groups), dict(vocabulary.patterns))
+    row = (vocabulary.name, list(vocabulary.groups.items()), list(vocabulary.patterns.items()))
     origin = source or ("builtin" if vocabulary.builtin else "user-defined")
-    return spark.createDataFrame([row], _CONTEXT_SCHEMA).withColumn("source", F.lit(origin))
+    return small_table(spark, [row], _CONTEXT_SCHEMA).withColumn("source", F.lit(origin))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.functions.strings import match_text
+from keyloom.session import small_table
 
 
 def enrich(left: DataFrame, right: DataFrame, on: dict[str, str], keep: Sequence[str]) -> DataFrame:
@@ -77,12 +78,18 @@ def common_groups(a: DataFrame, by_a: Column, b: DataFrame, by_b: Column) -> tup
     return keep(a, by_a), keep(b, by_b)
 
 
+def name_set_difference(actual: DataFrame, expected: DataFrame, upper: bool = True) -> DataFrame:
+    """Full outer join of two one-column tables of names; rows where one side is missing."""
+    form = F.upper if upper else (lambda c: c)
+    a = actual.select(form(F.col(actual.columns[0])).alias("actual")).distinct()
+    e = expected.select(form(F.col(expected.columns[0])).alias("expected")).distinct()
+    joined = a.join(e, F.col("actual") == F.col("expected"), "full")
+    return joined.where(F.col("actual").isNull() | F.col("expected").isNull())
+
+
 def column_set_difference(
     spark: SparkSession, actual: Sequence[str], expected: Sequence[str], upper: bool = True
 ) -> DataFrame:
-    """Full outer join of two column-name lists; rows where one side is missing."""
-    form = (lambda c: c.upper()) if upper else (lambda c: c)
-    a = spark.createDataFrame([(form(c),) for c in actual], "actual string").distinct()
-    e = spark.createDataFrame([(form(c),) for c in expected], "expected string").distinct()
-    joined = a.join(e, F.col("actual") == F.col("expected"), "full")
-    return joined.where(F.col("actual").isNull() | F.col("expected").isNull())
+    """Column names that one of two tables lacks."""
+    listed = lambda names: small_table(spark, [(n,) for n in names], "name string")
+    return name_set_difference(listed(actual), listed(expected), upper)

@@ -15,6 +15,7 @@ from keyloom.functions.similarity import cardinality_label, type_family
 from keyloom.functions.strings import plain_text
 from keyloom.functions.vocabulary import BUILTIN_PATTERNS
 from keyloom.operators.relational import top_per_group
+from keyloom.session import settled, small_table
 
 _NESTED = (T.StructType, T.ArrayType, T.MapType, T.BinaryType)
 
@@ -36,7 +37,7 @@ def plain_columns(df: DataFrame) -> list[T.StructField]:
 
 def _column_list(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
     rows = [(i, f.name, f.dataType.simpleString(), type_family(f.dataType)) for i, f in enumerate(fields)]
-    return df.sparkSession.createDataFrame(rows, "ord int, column_name string, dtype string, family string")
+    return small_table(df.sparkSession, rows, "ord int, column_name string, dtype string, family string")
 
 
 def value_counts(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
@@ -150,36 +151,57 @@ def table_profile(df: DataFrame, table: str) -> DataFrame:
 # -- samples and patterns -----------------------------------------------------------------
 
 
+def _own_sample(df: DataFrame, name: str, n: int, order_by: Sequence[str]) -> DataFrame:
+    """First ``n`` non-null values of one column under ``order_by`` and then the value."""
+    c = F.col(f"`{name}`")
+    keys = list(dict.fromkeys([*order_by, name]))
+    sort = [F.col(f"`{k}`").asc_nulls_last() for k in keys]
+    first = df.where(c.isNotNull()).select(*[F.col(f"`{k}`") for k in keys]).orderBy(*sort).limit(n)
+    rank = [x for k in keys for x in (F.col(f"`{k}`").isNull(), F.col(f"`{k}`"))]
+    entry = F.struct(*[r.alias(f"o{i}") for i, r in enumerate(rank)], plain_text(c, df.schema[name].dataType).alias("v"))
+    # n entries at most
+    sample = F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["v"])
+    return first.agg(sample.alias("sample")).select(F.lit(name).alias("column_name"), "sample")
+
+
 def column_samples(df: DataFrame, columns: Sequence[str], n: int, order_by: Sequence[str] = ()) -> DataFrame:
     """``(column_name, sample)`` with the first ``n`` non-null values of each column.
 
-    Spark rows have no position, so the order is ``order_by`` and then the value.  Every
-    column takes its own top-n, which Spark keeps as a bounded heap per task: no column is
-    sorted or shuffled whole.
+    Spark rows have no position, so the order is ``order_by`` (a unique key, ideally) and
+    then the value.  Top-n plans keep a bounded heap per task: nothing is sorted or
+    shuffled whole.  With ``order_by`` the first ``n`` rows are taken once for all columns;
+    only columns with NULLs among those rows need a top-n of their own.
     """
-    parts = []
-    for name in columns:
-        c = F.col(f"`{name}`")
-        text = plain_text(c, df.schema[name].dataType)
-        keys = [k for k in dict.fromkeys([*order_by, name])]
-        sort = [F.col(f"`{k}`").asc_nulls_last() for k in keys]
-        first = df.where(c.isNotNull()).select(*[F.col(f"`{k}`") for k in keys]).orderBy(*sort).limit(n)
-        rank = [x for k in keys for x in (F.col(f"`{k}`").isNull(), F.col(f"`{k}`"))]
-        entry = F.struct(*[r.alias(f"o{i}") for i, r in enumerate(rank)], text.alias("v"))
-        # n entries at most
-        sample = F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["v"])
-        parts.append(first.agg(sample.alias("sample")).select(F.lit(name).alias("column_name"), "sample"))
-    return reduce(DataFrame.unionAll, parts)
+    if not order_by:
+        return reduce(DataFrame.unionAll, [_own_sample(df, c, n, ()) for c in columns])
+    keys = list(dict.fromkeys([*order_by, *columns]))
+    rows = df.select(*[F.col(f"`{k}`") for k in keys]).orderBy(*[F.col(f"`{k}`").asc_nulls_last() for k in keys]).limit(n)
+    order = [x.alias(f"o{i}") for i, x in enumerate(x for k in order_by for x in (F.col(f"`{k}`").isNull(), F.col(f"`{k}`")))]
+    texts = F.array(*[plain_text(F.col(f"`{c}`"), df.schema[c].dataType) for c in columns]).alias("texts")
+    taken = rows.agg(F.sort_array(F.collect_list(F.struct(*order, texts))).alias("r"))
+    # turn n rows of texts into one list of non-null texts per column
+    names = F.split(F.lit("\n".join(columns)), "\n")
+    column_texts = lambda i: F.filter(F.transform(F.col("r"), lambda e: F.get(e["texts"], i)), lambda v: v.isNotNull())
+    lists = F.transform(F.sequence(F.lit(0), F.lit(len(columns) - 1)), column_texts)
+    per_column = F.explode(F.arrays_zip(names.alias("column_name"), lists.alias("sample"))).alias("s")
+    shared = settled(taken.select(F.size("r").alias("rows"), per_column).select("s.*", "rows"))
+    short = shared.where((F.col("rows") == n) & (F.size("sample") < n)).select("column_name").collect()
+    own = {r[0] for r in short}
+    kept = shared.where(~F.col("column_name").isin(*own)) if own else shared
+    return reduce(DataFrame.unionAll, [kept.select("column_name", "sample"), *[_own_sample(df, c, n, order_by) for c in columns if c in own]])
 
 
 def pattern_facts(sample: Column, patterns: Mapping[str, str] = BUILTIN_PATTERNS) -> dict[str, Column]:
     """Pattern scores, best pattern, average length and shown values of a sample array."""
     size = F.size(sample)
-    share = lambda p: F.when(size > 0, F.size(F.filter(sample, lambda v: v.rlike(p))) / size).otherwise(0.0)
-    scores = F.map_from_arrays(F.array(*[F.lit(k) for k in patterns]), F.array(*[share(p) for p in patterns.values()]))
-    top = F.array_max(F.map_values(scores))
+    names = F.split(F.lit("\n".join(patterns)), "\n")
+    tests = F.split(F.lit("\n".join(patterns.values())), "\n")
+    share = lambda p: F.when(size > 0, F.size(F.filter(sample, lambda v: F.rlike(v, p))) / size).otherwise(0.0)
+    shares = F.transform(tests, share)
+    scores = F.map_from_arrays(names, shares)
+    top = F.array_max(shares)
     # the first pattern in order wins a tie
-    best = F.element_at(F.map_keys(F.map_filter(scores, lambda _, s: s == top)), 1)
+    best = F.element_at(names, F.array_position(shares, top).cast("int"))
     total = F.aggregate(sample, F.lit(0).cast("bigint"), lambda acc, v: acc + F.length(v))
     return {
         "pattern_scores": scores,

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from keyloom.functions.names import name_form
+from keyloom.session import small_table
 
 _RANK = "__rank"
 
@@ -128,8 +129,9 @@ def column_values_or(
 
 def _default_values(spark: SparkSession, default: Sequence[Any]) -> DataFrame:
     if not default:
-        return spark.createDataFrame([], "value string, n bigint")
-    return spark.createDataFrame([(v,) for v in default], ["value"]).withColumn("n", F.lit(0).cast("bigint"))
+        return small_table(spark, [], "value string, n bigint")
+    values = F.array(*[F.lit(v) for v in default])
+    return spark.range(1).select(F.explode(values).alias("value"), F.lit(0).cast("bigint").alias("n"))
 
 
 def single_value(df: DataFrame, default: Any = None) -> DataFrame:

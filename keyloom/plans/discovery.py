@@ -31,7 +31,7 @@ from keyloom.operators.profile import (
     plain_columns,
 )
 from keyloom.operators.relational import top, top_per_group
-from keyloom.session import scratch_root
+from keyloom.session import settled, small_table
 
 # Thresholds and weights of the scores.
 NAME_THRESHOLD = 0.30
@@ -82,13 +82,13 @@ def two_tables(name_a: str, a: DataFrame, name_b: str, b: DataFrame, **options)
 def column_pairs(tables: Tables, table_pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """All column pairs of the table pairs with name, vocabulary and type scores."""
     spark = tables.spark
-    described = spark.createDataFrame(
+    described = small_table(spark, 
         [(cid, t, o, f.name, sim.type_family(f.dataType)) for cid, t, o, f in tables.columns],
         "cid int, t string, ord int, name string, family string",
     ).withColumn("grp", tables.vocabulary.group_of(F.col("name")))
     # one list of columns per table: schema-sized
     listed = described.groupBy("t").agg(F.collect_list(F.struct("cid", "ord", "name", "family", "grp")).alias("cols"))
-    wanted = spark.createDataFrame(list(table_pairs or tables.pairs()), "table_a string, table_b string")
+    wanted = small_table(spark, list(table_pairs or tables.pairs()), "table_a string, table_b string")
     side = lambda s: listed.select(F.col("t").alias(f"table_{s}"), F.explode("cols").alias(s))
     lists_b = listed.select(F.col("t").alias("table_b"), F.col("cols").alias("cols_b"))
     paired = (
@@ -234,9 +234,9 @@ def _attach_overlap(pairs: DataFrame, found: DataFrame, samples: int = 0) -> Dat
 def overlap_matrix(tables: Tables, normalize: bool = True, samples: int = 5) -> DataFrame:
     """Value overlap of every column pair across tables, from one value index."""
     spark = tables.spark
-    listed = spark.createDataFrame([(cid, t, f.name) for cid, t, _, f in tables.columns], "cid int, t string, name string")
+    listed = small_table(spark, [(cid, t, f.name) for cid, t, _, f in tables.columns], "cid int, t string, name string")
     wanted = [(a, b) for a, b in combinations(range(len(tables.columns)), 2) if tables.columns[a][1] != tables.columns[b][1]]
-    pairs = spark.createDataFrame(wanted, "cid_a int, cid_b int")
+    pairs = small_table(spark, wanted, "cid_a int, cid_b int")
     for s in "ab":
         pairs = pairs.join(
             listed.select(F.col("cid").alias(f"cid_{s}"), F.col("t").alias(f"table_{s}"), F.col("name").alias(f"column_{s}")), f"cid_{s}"
@@ -329,7 +329,7 @@ def compare_columns(tables: Tables, column_a: str, column_b: str, order_samples:
 # -- candidates -----------------------------------------------------------------------------
 
 
-def _column_facts(tables: Tables, cids: Sequence[int], raw: DataFrame, words: int) -> DataFrame:
+def _column_facts(tables: Tables, cids: Sequence[int], counts: DataFrame) -> DataFrame:
     """Null rate and uniqueness of the columns still in play: one aggregate per table."""
     parts = []
     for table, df in tables.frames.items():
@@ -341,7 +341,7 @@ def _column_facts(tables: Tables, cids: Sequence[int], raw: DataFrame, words: in
     counted = reduce(DataFrame.unionAll, parts)
     ids = F.array(*[F.lit(c) for c in cids])
     distinct = (
-        set_counts(raw, words).select(F.explode("bits").alias("i"), "n")
+        counts.select(F.explode("bits").alias("i"), "n")
         .groupBy(F.get(ids, F.col("i")).alias("cid")).agg(F.sum("n").alias("distinct"))
     )
     joined = counted.join(distinct, "cid", "left").fillna(0, ["distinct"])
@@ -435,19 +435,18 @@ def candidates(
     by content, where it must earn promotion.  With ``by_affinity`` (mapping many tables)
     table pairs of low affinity are judged by content only, among compatible types.
     """
-    scratch_root(tables.spark)
     pairs = column_pairs(tables, table_pairs)
     by_name = F.col("semantic") >= name_threshold
     if by_affinity:
-        pairs = pairs.checkpoint()
+        pairs = settled(pairs)
         near = affinity(tables, pairs).select("table_a", "table_b", "kept")
         pairs = pairs.join(near, ["table_a", "table_b"]).where("kept or type_score = 1.0")
         by_name = by_name & F.col("kept")
-    pairs = pairs.withColumn("discovery_method", F.when(by_name, "semantic").otherwise("content")).checkpoint()
+    pairs = settled(pairs.withColumn("discovery_method", F.when(by_name, "semantic").otherwise("content")))
     # schema-sized and bounded samples, written once and used three times below
-    samples = sample_table(tables).checkpoint()
+    samples = settled(sample_table(tables))
     named = pairs.where("discovery_method = 'semantic'")
-    promoted = with_content(pairs.where("discovery_method = 'content'"), samples).where("promoted").checkpoint()
+    promoted = settled(with_content(pairs.where("discovery_method = 'content'"), samples).where("promoted"))
 
     in_play = named.select("cid_a", "cid_b").unionAll(promoted.select("cid_a", "cid_b"))
     in_play = in_play.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).distinct()
@@ -455,8 +454,13 @@ def candidates(
     if not cids:
         return _empty_candidates(tables.spark)
     raw, words = value_sets(tables, cids)
-    facts = _column_facts(tables, cids, raw, words)
-    matched = _pair_counts(set_counts(match_form_sets(raw, words), words), cids)
+    # both count tables read the one value index; what they hold is column-set-sized
+    counts = settled(
+        set_counts(raw, words).withColumn("form", F.lit("raw"))
+        .unionAll(set_counts(match_form_sets(raw, words), words).withColumn("form", F.lit("match")))
+    )
+    facts = _column_facts(tables, cids, counts.where("form = 'raw'"))
+    matched = _pair_counts(counts.where("form = 'match'"), cids)
 
     content_columns = ["format_a", "format_b", "format_match", "overlap_rate", "substring_match_rate", "content_score"]
     types = dict(promoted.dtypes)
@@ -498,7 +502,7 @@ def candidates(
 
 
 def _empty_candidates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
+    return small_table(spark, 
         [],
         "table_a string, column_a string, table_b string, column_b string, discovery_method string, semantic double, "
         "type_score double, match_rate double, content_score double, cardinality string, pattern_a string, "
@@ -510,7 +514,7 @@ def _empty_candidates(spark: SparkSession) -> DataFrame:
 def decide(ranked: DataFrame, table_pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Best key of each table pair with a summary; pairs without a candidate say so."""
     spark = ranked.sparkSession
-    asked = spark.createDataFrame(list(table_pairs), "table_a string, table_b string")
+    asked = small_table(spark, list(table_pairs), "table_a string, table_b string")
     best = ranked.where("rank = 1").withColumnRenamed("score", "confidence")
     joined = asked.join(best, ["table_a", "table_b"], "left")
     summary = F.concat(
@@ -554,7 +558,7 @@ def auto_pairs(tables: Tables) -> DataFrame:
 
 def coverage(tables: Tables, threshold: float = 0.60) -> DataFrame:
     """Share of the tables' column names the vocabulary recognises (all, when there is none)."""
-    names = tables.spark.createDataFrame(
+    names = small_table(tables.spark, 
         [(i, f.name) for i, (_, _, _, f) in enumerate(tables.columns)], "ord int, name string"
     )
     return name_coverage(names, "name", tables.vocabulary, threshold, order="ord")

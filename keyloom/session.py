@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _SCRATCH: dict[str, str] = {}
 
@@ -65,3 +69,26 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A path under the scratch folder that nothing has used yet."""
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def small_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
+    """A table of metadata rows, handed to Spark as a local relation.
+
+    Unlike rows parallelised from Python, its size is known to the optimiser, so joins with
+    it broadcast and projections over it fold away.
+    """
+    schema = T.StructType.fromDDL(ddl)
+    arrow = to_arrow_schema(schema)
+    columns = [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema)
+
+
+def settled(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write a (small) intermediate once to the shared scratch folder and read it back.
+
+    Later uses do not repeat the work, survive lost executors, and the file size tells the
+    optimiser what it may broadcast.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from keyloom.functions.vocabulary import Vocabulary
 from keyloom.operators.merge import align, merge_greatest, merge_latest
 from keyloom.sources.versions import VersionedTable
+from keyloom.session import small_table
 
 SCHEMAS = {
     "domain_contexts": "domain_name string, semantic_groups map<string,array<string>>, key_patterns map<string,string>, source string, created_at timestamp",
@@ -98,7 +99,7 @@ class ContextStore:
 
     def read(self, name: str) -> DataFrame:
         found = self.tables[name].read()
-        return found if found is not None else self.spark.createDataFrame([], SCHEMAS[name])
+        return found if found is not None else small_table(self.spark, [], SCHEMAS[name])
 
     def _upsert(self, name: str, updates: DataFrame, created: str | None = None, stamped: str | None = None) -> None:
         target = self.read(name)
@@ -151,7 +152,7 @@ class ContextStore:
 
 
 def annotate(spark: SparkSession, table: str, columns: Sequence[str], vocabulary: Vocabulary) -> DataFrame:
-    rows = spark.createDataFrame([(table, c) for c in columns], "table_name string, column_name string")
+    rows = small_table(spark, [(table, c) for c in columns], "table_name string, column_name string")
     return rows.withColumn("domain_group", vocabulary.group_of(F.col("column_name"))).withColumn(
         "semantic_tags", F.lit(None).cast("array<string>")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keyloom.operators.projection import cast_columns, keep_columns
+from keyloom.session import small_table
 
 
 def read_delimited(
@@ -54,7 +55,7 @@ def _after_preamble(spark: SparkSession, path: str, sep: str, encoding: str, ski
         raise ValueError(f"{path} has no header after {skip_rows} lines")
     width = header[0].count(sep) + 1
     slots = ", ".join(f"_{i} string" for i in range(width))
-    cells = spark.createDataFrame([header], "value string").select(F.from_csv("value", slots, {"sep": sep}).alias("r"))
+    cells = small_table(spark, [header], "value string").select(F.from_csv("value", slots, {"sep": sep}).alias("r"))
     names = [n for n in cells.select("r.*").head() if n is not None]
     schema = ", ".join(f"`{n}` string" for n in names)
     body = numbered.where(F.col("line") > skip_rows + 1).select("value").unionAll(lines.where("start > 0").select("value"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from keyloom.functions.names import name_form, rename_columns
 from keyloom.functions.strings import plain_text
 from keyloom.operators.profile import column_samples, plain_columns
+from keyloom.session import small_table
 
 
 # -- raw zone -----------------------------------------------------------------------------
@@ -66,7 +67,7 @@ def list_staged(spark: SparkSession, root: str) -> list[str]:
 
 def record_load(spark: SparkSession, path: str, source: str, table: str, schema: str, rows: int, quality_ok: bool, at: Column | None = None) -> None:
     """Append one row for a finished load."""
-    row = spark.createDataFrame(
+    row = small_table(spark, 
         [(source, table, schema, rows, quality_ok)],
         "source_name string, table_name string, schema_name string, row_count bigint, quality_ok boolean",
     )
@@ -97,7 +98,7 @@ def catalog_tables(spark: SparkSession) -> DataFrame:
         for db in spark.catalog.listDatabases()
         for t in spark.catalog.listTables(db.name)
     ]
-    return spark.createDataFrame(sorted(set(rows)), "table_schema string, table_name string")
+    return small_table(spark, sorted(set(rows)), "table_schema string, table_name string")
 
 
 def relations(spark: SparkSession, found: DataFrame) -> dict[str, DataFrame]:
@@ -113,7 +114,7 @@ def table_metadata(df: DataFrame, table: str, descriptions: Mapping[str, str] |
     """One row per column: type, table row count, description and up to five first values."""
     fields = plain_columns(df)
     told = descriptions or {}
-    listed = df.sparkSession.createDataFrame(
+    listed = small_table(df.sparkSession, 
         [(table, i, f.name, f.dataType.simpleString(), told.get(f.name, "")) for i, f in enumerate(fields)],
         "table_name string, ord int, column_name string, dtype string, description string",
     )
