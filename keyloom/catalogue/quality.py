@@ -98,7 +98,7 @@ def equality(t):
 @query(
     "dq_equality_precision",
     """
-    WITH a AS (SELECT round(CAST(o_totalprice AS DECIMAL(38,18)), 1) AS p FROM orders), b AS (SELECT round(CAST(o_totalprice + CASE WHEN o_custkey % 7 = 0 THEN 0.5 ELSE 0 END AS DECIMAL(38,18)), 1) AS p FROM orders),
+    WITH a AS (SELECT round(CAST(o_totalprice AS DECIMAL(18,2)), 1) AS p FROM orders), b AS (SELECT round(CAST(o_totalprice + CASE WHEN o_custkey % 7 = 0 THEN 0.5 ELSE 0 END AS DECIMAL(18,2)), 1) AS p FROM orders),
       d AS (SELECT 1 AS s FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT -1 FROM (SELECT * FROM b EXCEPT SELECT * FROM a))
     SELECT CAST(count(*) + coalesce(abs(sum(s)), 0) AS BIGINT) AS failures FROM d
     """,
@@ -135,7 +135,7 @@ def fewer_rows_than(t):
 
 _RANGES = """
     WITH w AS (SELECT {by} lo AS lower_bound, hi AS upper_bound, lead(lo) OVER ({part} ORDER BY lo NULLS LAST, hi NULLS LAST) AS next_lower_bound,
-        row_number() OVER ({part} ORDER BY lo DESC NULLS FIRST, hi DESC NULLS FIRST) = 1 AS is_last_record FROM {rows}),
+        lead(1) OVER ({part} ORDER BY lo NULLS LAST, hi NULLS LAST) IS NULL AS is_last_record FROM {rows}),
       c AS (SELECT *, coalesce(lower_bound {zero} upper_bound, false) AS {zero_name}, coalesce(upper_bound {gap} next_lower_bound, is_last_record, false) AS {gap_name} FROM w)
     SELECT * FROM c WHERE NOT ({zero_name} AND {gap_name})
 """
@@ -208,10 +208,10 @@ def not_empty_string(t):
 
 @query(
     "dq_not_null_proportion",
-    f"SELECT l_linenumber, count(flag) / count(*) AS not_null_proportion FROM {_NULLED} GROUP BY 1 HAVING count(flag) / count(*) < 0.66 OR count(flag) / count(*) > 0.9",
+    f"SELECT l_linenumber, count(flag) / count(*) AS not_null_proportion FROM {_NULLED} GROUP BY 1 HAVING count(flag) / count(*) < 0.67 OR count(flag) / count(*) > 0.9",
 )
 def not_null_proportion(t):
-    return checks.not_null_proportion(_nulled(t), "flag", 0.66, 0.9, ["l_linenumber"])
+    return checks.not_null_proportion(_nulled(t), "flag", 0.67, 0.9, ["l_linenumber"])
 
 
 @query(

@@ -187,12 +187,12 @@ def year_aligned_rate(t):
 @query(
     "name_set_difference",
     """
-    SELECT a.n AS actual, e.n AS expected FROM (SELECT DISTINCT upper(p_name) AS n FROM part WHERE p_size < 10) a
-    FULL JOIN (SELECT DISTINCT upper(p_name) AS n FROM part WHERE p_size > 40) e ON a.n = e.n WHERE a.n IS NULL OR e.n IS NULL
+    SELECT a.n AS actual, e.n AS expected FROM (SELECT DISTINCT upper(p_name) AS n FROM part WHERE p_brand = 'Brand#1') a
+    FULL JOIN (SELECT DISTINCT upper(p_name) AS n FROM part WHERE p_brand = 'Brand#2') e ON a.n = e.n WHERE a.n IS NULL OR e.n IS NULL
     """,
 )
 def name_set_difference(t):
-    return joins.name_set_difference(t.part.where("p_size < 10").select("p_name"), t.part.where("p_size > 40").select("p_name"))
+    return joins.name_set_difference(t.part.where("p_brand = 'Brand#1'").select("p_name"), t.part.where("p_brand = 'Brand#2'").select("p_name"))
 
 
 # -- aggregates ----------------------------------------------------------------------------------

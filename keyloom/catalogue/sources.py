@@ -88,7 +88,7 @@ def json_pages(t):
 @query(
     "page_completeness",
     """
-    SELECT max(p) AS last_page, count(DISTINCT p) AS pages, 1 AS final_pages, max(p) AS final_page, count(DISTINCT p) = max(p) AS complete
+    SELECT max(p) AS last_page, count(DISTINCT p) AS pages, 1::BIGINT AS final_pages, max(p) AS final_page, count(DISTINCT p) = max(p) AS complete
     FROM (SELECT CAST(floor(event_id / 100) + 1 AS BIGINT) AS p FROM events)
     """,
 )

@@ -32,8 +32,8 @@ def _position(c: Column, data_type: T.DataType) -> Column:
     return c.cast("double")
 
 
-def _range_number(position: Column, limits: Sequence[float], fine: int) -> Column:
-    """Number of the range a position falls in; never decreases with the position.
+def _range_number(limits: Sequence[float], fine: int) -> Column:
+    """Number of the range the ``__position`` column falls in; never decreases with it.
 
     A balanced tree of comparisons finds the stretch between two limits, which is then
     divided into ``fine`` equal widths.
@@ -42,19 +42,14 @@ def _range_number(position: Column, limits: Sequence[float], fine: int) -> Colum
     if stretches < 1:
         return F.lit(0)
 
-    def pick(lo: int, hi: int) -> Column:
+    def stretch(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            offset = f"(__position - {limits[lo]!r}D) * {fine / (limits[lo + 1] - limits[lo])!r}D"
+            return f"{lo * fine} + least(greatest(floor({offset}), 0), {fine - 1})" if fine > 1 else f"{lo}L"
         mid = (lo + hi) // 2
-        return F.when(position < F.lit(limits[mid + 1]), pick(lo, mid)).otherwise(pick(mid + 1, hi))
+        return f"CASE WHEN __position < {limits[mid + 1]!r}D THEN {stretch(lo, mid)} ELSE {stretch(mid + 1, hi)} END"
 
-    at = pick(0, stretches - 1)
-    if fine == 1:
-        return at
-    starts = F.array(*[F.lit(x) for x in limits[:-1]])
-    scales = F.array(*[F.lit(fine / (y - x)) for x, y in zip(limits, limits[1:])])
-    step = F.floor((position - F.get(starts, at)) * F.get(scales, at))
-    return at * fine + F.least(F.greatest(step, F.lit(0)), F.lit(fine - 1))
+    return F.expr(stretch(0, stretches - 1))
 
 
 def _limits(sample: DataFrame, position: Column) -> list[float]:
@@ -82,8 +77,8 @@ def with_next(
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         fine = max(1, -(-4 * partitions // CUTS))
     beyond = len(limits) * fine + 1
-    at = F.when(F.col(f"`{value}`").isNull(), F.lit(beyond)).otherwise(_range_number(position, limits, fine))
-    cut = df.withColumn("__range", at.cast("bigint"))
+    at = F.when(F.col(f"`{value}`").isNull(), F.lit(beyond)).otherwise(_range_number(limits, fine))
+    cut = df.withColumn("__position", position).withColumn("__range", at.cast("bigint")).drop("__position")
 
     held = F.struct(F.col(f"`{value}`").isNull().alias("last"), F.col(f"`{value}`").alias("v"))
     firsts = cut.groupBy(*groups, "__range").agg(F.min(held).alias("__first"))

@@ -164,31 +164,49 @@ def _own_sample(df: DataFrame, name: str, n: int, order_by: Sequence[str]) -> Da
     return first.agg(sample.alias("sample")).select(F.lit(name).alias("column_name"), "sample")
 
 
-def column_samples(df: DataFrame, columns: Sequence[str], n: int, order_by: Sequence[str] = ()) -> DataFrame:
-    """``(column_name, sample)`` with the first ``n`` non-null values of each column.
-
-    Spark rows have no position, so the order is ``order_by`` (a unique key, ideally) and
-    then the value.  Top-n plans keep a bounded heap per task: nothing is sorted or
-    shuffled whole.  With ``order_by`` the first ``n`` rows are taken once for all columns;
-    only columns with NULLs among those rows need a top-n of their own.
-    """
-    if not order_by:
-        return reduce(DataFrame.unionAll, [_own_sample(df, c, n, ()) for c in columns])
+def _first_rows(df: DataFrame, columns: Sequence[str], n: int, order_by: Sequence[str]) -> DataFrame:
+    """``(column_name, sample, rows)``: non-null values among the first ``n`` rows, per column."""
     keys = list(dict.fromkeys([*order_by, *columns]))
     rows = df.select(*[F.col(f"`{k}`") for k in keys]).orderBy(*[F.col(f"`{k}`").asc_nulls_last() for k in keys]).limit(n)
     order = [x.alias(f"o{i}") for i, x in enumerate(x for k in order_by for x in (F.col(f"`{k}`").isNull(), F.col(f"`{k}`")))]
     texts = F.array(*[plain_text(F.col(f"`{c}`"), df.schema[c].dataType) for c in columns]).alias("texts")
+    # n rows at most, turned into one list of non-null texts per column
     taken = rows.agg(F.sort_array(F.collect_list(F.struct(*order, texts))).alias("r"))
-    # turn n rows of texts into one list of non-null texts per column
     names = F.split(F.lit("\n".join(columns)), "\n")
     column_texts = lambda i: F.filter(F.transform(F.col("r"), lambda e: F.get(e["texts"], i)), lambda v: v.isNotNull())
     lists = F.transform(F.sequence(F.lit(0), F.lit(len(columns) - 1)), column_texts)
     per_column = F.explode(F.arrays_zip(names.alias("column_name"), lists.alias("sample"))).alias("s")
-    shared = settled(taken.select(F.size("r").alias("rows"), per_column).select("s.*", "rows"))
-    short = shared.where((F.col("rows") == n) & (F.size("sample") < n)).select("column_name").collect()
-    own = {r[0] for r in short}
-    kept = shared.where(~F.col("column_name").isin(*own)) if own else shared
-    return reduce(DataFrame.unionAll, [kept.select("column_name", "sample"), *[_own_sample(df, c, n, order_by) for c in columns if c in own]])
+    return taken.select(F.size("r").alias("rows"), per_column).select("s.*", "rows")
+
+
+def table_samples(
+    frames: Mapping[str, DataFrame], columns: Mapping[str, Sequence[str]], n: int, order_by: Mapping[str, Sequence[str]]
+) -> DataFrame:
+    """``(table_name, column_name, sample)``: the first ``n`` non-null values of each column.
+
+    Spark rows have no position, so the order is the table's ``order_by`` (a unique key,
+    ideally) and then the value.  Top-n plans keep a bounded heap per task: nothing is
+    sorted or shuffled whole.  Where a table has an order, its first ``n`` rows serve all
+    columns at once; only columns with NULLs among those rows need a top-n of their own.
+    """
+    own = [(t, c) for t in columns for c in columns[t] if not order_by.get(t)]
+    ordered = [t for t in columns if order_by.get(t) and columns[t]]
+    parts = []
+    if ordered:
+        first = [_first_rows(frames[t], columns[t], n, order_by[t]).withColumn("table_name", F.lit(t)) for t in ordered]
+        shared = settled(reduce(DataFrame.unionAll, first))
+        short = (F.col("rows") == n) & (F.size("sample") < n)
+        parts.append(shared.where(~short).select("table_name", "column_name", "sample"))
+        own += [(r[0], r[1]) for r in shared.where(short).select("table_name", "column_name").collect()]  # names only
+    for t, c in own:
+        one = _own_sample(frames[t], c, n, order_by.get(t, ()))
+        parts.append(one.select(F.lit(t).alias("table_name"), "column_name", "sample"))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def column_samples(df: DataFrame, columns: Sequence[str], n: int, order_by: Sequence[str] = ()) -> DataFrame:
+    """:func:`table_samples` of a single table, as ``(column_name, sample)``."""
+    return table_samples({"": df}, {"": list(columns)}, n, {"": list(order_by)}).drop("table_name")
 
 
 def pattern_facts(sample: Column, patterns: Mapping[str, str] = BUILTIN_PATTERNS) -> dict[str, Column]:

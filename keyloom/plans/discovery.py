@@ -12,6 +12,7 @@ The work is laid out so that data-sized steps are few:
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import combinations
@@ -26,9 +27,9 @@ from keyloom.operators.profile import (
     CONTENT_SAMPLE,
     PATTERN_SAMPLE,
     column_profile,
-    column_samples,
     pattern_facts,
     plain_columns,
+    table_samples,
 )
 from keyloom.operators.relational import top, top_per_group
 from keyloom.session import settled, small_table
@@ -250,22 +251,10 @@ def overlap_matrix(tables: Tables, normalize: bool = True, samples: int = 5) ->
 def sample_table(tables: Tables, cids: Sequence[int] | None = None) -> DataFrame:
     """Per column: pattern facts of the first 200 values, and the first 100 for comparing."""
     chosen = set(range(len(tables.columns))) if cids is None else set(cids)
-    parts = []
-    for table, df in tables.frames.items():
-        mine = {f.name: (cid, is_numeric(f.dataType)) for cid, t, _, f in tables.columns if t == table and cid in chosen}
-        if not mine:
-            continue
-        ids = F.create_map(*[F.lit(x) for name, (cid, _) in mine.items() for x in (name, cid)])
-        numbers = [name for name, (_, number) in mine.items() if number]
-        got = column_samples(df, list(mine), PATTERN_SAMPLE, tables.order_by.get(table, ()))
-        parts.append(
-            got.select(
-                F.element_at(ids, F.col("column_name")).alias("cid"),
-                (F.col("column_name").isin(numbers) if numbers else F.lit(False)).alias("number"),
-                "sample",
-            )
-        )
-    rows = reduce(DataFrame.unionAll, parts)
+    mine = [(cid, t, f.name, is_numeric(f.dataType)) for cid, t, _, f in tables.columns if cid in chosen]
+    columns = {t: [name for _, u, name, _ in mine if u == t] for t in tables.frames}
+    listed = small_table(tables.spark, mine, "cid int, table_name string, column_name string, number boolean")
+    rows = table_samples(tables.frames, columns, PATTERN_SAMPLE, tables.order_by).join(listed, ["table_name", "column_name"])
     patterns = dict(tables.vocabulary.patterns)
     wide = pattern_facts(F.col("sample"), patterns)
     few = F.slice("sample", 1, CONTENT_SAMPLE)
@@ -442,9 +431,12 @@ def candidates(
         near = affinity(tables, pairs).select("table_a", "table_b", "kept")
         pairs = pairs.join(near, ["table_a", "table_b"]).where("kept or type_score = 1.0")
         by_name = by_name & F.col("kept")
-    pairs = settled(pairs.withColumn("discovery_method", F.when(by_name, "semantic").otherwise("content")))
-    # schema-sized and bounded samples, written once and used three times below
-    samples = settled(sample_table(tables))
+    pairs = pairs.withColumn("discovery_method", F.when(by_name, "semantic").otherwise("content"))
+    # two independent, schema-sized jobs
+    with ThreadPoolExecutor(2) as pool:
+        waiting = pool.submit(settled, pairs)
+        samples = sample_table(tables)
+        pairs = waiting.result()
     named = pairs.where("discovery_method = 'semantic'")
     promoted = settled(with_content(pairs.where("discovery_method = 'content'"), samples).where("promoted"))
 

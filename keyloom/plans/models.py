@@ -29,19 +29,25 @@ def execution_panel(
 ) -> DataFrame:
     """Documents, amount and linked plans per group; the amount counts once per linked plan.
 
-    Plans are counted per (key, plan) first.  A document linked to many plans then meets
-    fewer rows in the join, and the amount is weighted by how many there were.
+    Asking for two distinct counts at once would copy every joined row per count.  Documents
+    do not depend on the join, so they are counted on the facts alone; plans are counted by
+    grouping on (group, plan) first, which adds the amounts up along the way.
     """
     (left_key, right_key), = key.items()
-    linked = plans.groupBy(F.col(right_key).alias("__key"), F.col(plan_id).alias("__plan")).agg(F.count(F.lit(1)).alias("__times"))
-    picked = facts.select(*[F.col(c).alias(n) for n, c in groups.items()], F.col(document).alias("__doc"), F.col(left_key).alias("__left"), amount.alias("__amount"))
-    joined = picked.join(linked, F.col("__left") == F.col("__key"), "left")
-    weight = F.coalesce("__times", F.lit(1))
-    return joined.groupBy(*groups).agg(
-        F.count_distinct("__doc").alias(names[0]),
-        F.sum(F.col("__amount") * weight).alias(names[1]),
-        F.count_distinct("__plan").alias(names[2]),
+    named = [F.col(c).alias(n) for n, c in groups.items()]
+    documents = facts.groupBy(*named).agg(F.count_distinct(document).alias(names[0]))
+    picked = facts.select(*named, F.col(left_key).alias("__left"), amount.alias("__amount"))
+    linked = plans.select(F.col(right_key).alias("__key"), F.col(plan_id).alias("__plan"))
+    per_plan = (
+        picked.join(linked, F.col("__left") == F.col("__key"), "left")
+        .groupBy(*groups, "__plan")
+        .agg(F.sum("__amount").alias("__amount"))
     )
+    totals = per_plan.groupBy(*[F.col(n).alias(f"__{n}") for n in groups]).agg(
+        F.sum("__amount").alias(names[1]), F.count("__plan").alias(names[2])
+    )
+    same_group = [documents[n].eqNullSafe(totals[f"__{n}"]) for n in groups]
+    return documents.join(totals, same_group).select(*groups, *names)
 
 
 def derived_key_rate(
