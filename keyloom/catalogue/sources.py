@@ -46,11 +46,12 @@ def delimited_preamble(t):
     path = scratch_dir(t.spark, "preamble")
     cells = F.concat_ws(";", F.col("c_custkey").cast("string"), F.substring("c_name", 10, 9), "c_mktsegment", F.col("c_nationkey").cast("string"))
     top = ["# extract", "# two lines", "c_custkey;code;c_mktsegment;c_nationkey"]
-    # one file per market segment: its preamble, then its rows
-    lines = t.customer.select("c_mktsegment", F.lit(len(top)).alias("o"), cells.alias("value"))
-    heads = t.customer.select("c_mktsegment").distinct().select("c_mktsegment", F.posexplode(F.array(*[F.lit(x) for x in top])).alias("o", "value"))
-    ordered = heads.unionAll(lines).repartition("c_mktsegment").sortWithinPartitions("c_mktsegment", "o")
-    ordered.select("c_mktsegment", "value").withColumnRenamed("c_mktsegment", "part").write.partitionBy("part").text(path)
+    # one file per 100,000 customers: its preamble, then its rows
+    part = F.floor(F.col("c_custkey") / 100_000).alias("part")
+    lines = t.customer.select(part, F.lit(len(top)).alias("o"), cells.alias("value"))
+    heads = t.customer.select(part).distinct().select("part", F.posexplode(F.array(*[F.lit(x) for x in top])).alias("o", "value"))
+    ordered = heads.unionAll(lines).repartition("part").sortWithinPartitions("part", "o")
+    ordered.select("part", "value").write.partitionBy("part").text(path)
     return delimited.read_delimited(t.spark, f"{path}/part=*", sep=";", skip_rows=2)
 
 

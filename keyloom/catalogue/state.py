@@ -96,6 +96,23 @@ def merge_latest(t):
     return merge.merge_latest(old, new, ["l_orderkey", "l_linenumber"], [F.col("q").desc()])
 
 
+@query(
+    "partitioned_merge",
+    """
+    SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND year(o_orderdate) >= 1999 THEN 'changed' ELSE o_orderpriority END AS o_orderpriority, year(o_orderdate) AS ano FROM orders
+    """,
+)
+def partitioned_merge(t):
+    """Upsert that rewrites only the years it touches."""
+    path = scratch_dir(t.spark, "partitioned")
+    year = F.year("o_orderdate").cast("bigint").alias("ano")
+    # rows of a year spread over several files when there are many
+    t.orders.select("o_orderkey", "o_orderpriority", year).write.partitionBy("ano").parquet(path)
+    changes = t.orders.where("o_orderstatus = 'F' AND year(o_orderdate) >= 1999").select("o_orderkey", F.lit("changed").alias("o_orderpriority"), year)
+    merge.merge_touched_partitions(path, changes, ["o_orderkey", "ano"], "ano")
+    return t.spark.read.schema("o_orderkey bigint, o_orderpriority string, ano bigint").parquet(path)
+
+
 @query(
     "append_copy",
     "SELECT 'first' AS load, count(*) AS n, count(DISTINCT o_orderkey) AS orders FROM orders WHERE o_orderstatus = 'F' UNION ALL "

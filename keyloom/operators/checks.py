@@ -236,13 +236,14 @@ def mutually_exclusive_ranges(
         F.expr(upper).alias("upper_bound"),
     )
     counted = picked.groupBy(*keys, "lower_bound", "upper_bound").agg(F.count(F.lit(1)).alias("__n"))
-    greatest = F.max(F.struct(F.col("upper_bound").isNull().alias("none"), F.col("upper_bound").alias("v")))
-    bounds = counted.groupBy(*keys, "lower_bound").agg(greatest.alias("__top"))
-    bounds = with_next(bounds, keys, "lower_bound", "__next", sample=picked)
+    # an upper bound that is NULL comes last
+    greatest = F.when(F.count("upper_bound") == F.count(F.lit(1)), F.max("upper_bound"))
+    bounds = picked.groupBy(*keys, "lower_bound").agg(greatest.alias("__top"))
+    bounds = with_next(bounds, keys, "lower_bound", "__next", raw=picked)
     bounds = bounds.select(
         *[F.col(k).alias(f"__{k}") for k in keys],
         F.col("lower_bound").alias("__lower"),
-        F.col("__top.v").alias("__top"),
+        "__top",
         "__next",
     )
     match = [counted[k].eqNullSafe(bounds[f"__{k}"]) for k in keys] + [counted["lower_bound"].eqNullSafe(bounds["__lower"])]
@@ -290,7 +291,7 @@ def sequential_values(df, column: str, interval: int = 1, datepart: str | None =
     previous = f"previous_{name_form(column, 'slug')}"
     present = _filtered(df, where).where(F.col(column).isNotNull()).select(*groups, F.col(column).alias("__v"))
     counted = present.groupBy(*groups, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    linked = with_next(counted, groups, "__v", "__next", sample=present)
+    linked = with_next(counted, groups, "__v", "__next", raw=present)
     step = (lambda c: F.timestamp_add(datepart.upper(), F.lit(interval), c)) if datepart else (lambda c: c + F.lit(interval))
     moment = (lambda c: c.cast("timestamp")) if datepart else (lambda c: c)
     after = F.struct(F.col("__next.v").alias("value"), F.col("__v").alias("before"), F.when(F.col("__next").isNotNull(), 1).otherwise(0).cast("bigint").alias("n"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.operators.relational import latest_per_key
+from keyloom.session import settled
 
 
 def _same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], null_safe: bool) -> Column:
@@ -108,3 +109,25 @@ def incremental_merge(
     if target is None:
         return fresh
     return merge_latest(target, fresh, keys, order)
+
+
+def merge_touched_partitions(path: str, updates: DataFrame, keys: Sequence[str], partition: str, order: Sequence[Column] | None = None) -> None:
+    """Upsert into a Parquet table partitioned by ``partition``, rewriting touched partitions only.
+
+    A key must always fall in the same partition (``partition`` is a key, or follows from
+    one).  The new partitions are written aside before they replace the old ones, so
+    nothing is overwritten while it is read.
+    """
+    spark = updates.sparkSession
+    if order is not None:
+        updates = latest_per_key(updates, keys, order)
+    updates = settled(updates, "updates")
+    touched = [r[0] for r in updates.select(partition).distinct().collect()]  # partition values only
+    if not touched:
+        return
+    target = spark.read.parquet(path)
+    old = target.where(F.col(partition).isin([v for v in touched if v is not None]))
+    if None in touched:
+        old = old.unionAll(target.where(F.col(partition).isNull()))
+    merged = settled(merge_latest(old, align(updates, target), keys), "merged")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)

@@ -60,44 +60,38 @@ def _limits(sample: DataFrame, position: Column) -> list[float]:
 
 
 def with_next(
-    df: DataFrame, groups: Sequence[str], value: str, out: str = "next", sample: DataFrame | None = None, fine: int | None = None
+    df: DataFrame, groups: Sequence[str], value: str, out: str = "next", raw: DataFrame | None = None, fine: int | None = None
 ) -> DataFrame:
     """Add ``out = struct(v)`` holding the following value of ``value`` within its group.
 
     ``df`` must hold each (group, value) once; NULL counts as the last value.  ``out`` is
     NULL exactly for the last value of a group, while ``out.v`` is NULL when the following
-    value is the NULL one.  ``sample`` may name an ungrouped table with the same value
-    column to draw the range limits from without repeating a shuffle.  The
-    number of ranges grows with the session's shuffle partitions.
+    value is the NULL one.  ``raw`` may name the table ``df`` was grouped from, with the
+    same group and value columns: quantiles and range starts come from it without
+    repeating the grouping.  The number of ranges grows with the session's shuffle
+    partitions.
     """
-    data_type = df.schema[value].dataType
-    position = _position(F.col(f"`{value}`"), data_type)
-    limits = _limits(df if sample is None else sample, position)
+    source = df if raw is None else raw
+    v = F.col(f"`{value}`")
+    position = _position(v, df.schema[value].dataType)
+    limits = _limits(source, position)
     if fine is None:
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         fine = max(1, -(-4 * partitions // CUTS))
     beyond = len(limits) * fine + 1
-    at = F.when(F.col(f"`{value}`").isNull(), F.lit(beyond)).otherwise(_range_number(limits, fine))
-    cut = df.withColumn("__position", position).withColumn("__range", at.cast("bigint")).drop("__position")
 
-    held = F.struct(F.col(f"`{value}`").isNull().alias("last"), F.col(f"`{value}`").alias("v"))
-    firsts = cut.groupBy(*groups, "__range").agg(F.min(held).alias("__first"))
+    def ranged(table: DataFrame) -> DataFrame:
+        at = F.when(v.isNull(), F.lit(beyond)).otherwise(_range_number(limits, fine))
+        return table.withColumn("__position", position).withColumn("__range", at.cast("bigint")).drop("__position")
+
+    # NULLs have a range of their own, so the least value is the first of its range
+    firsts = ranged(source).groupBy(*groups, "__range").agg(F.min(v).alias(value))
     # a group has at most one row per range from here on
     before = F.lag("__range").over(Window.partitionBy(*groups).orderBy("__range"))
     handed = firsts.withColumn("__range", before).where(F.col("__range").isNotNull())
 
-    rows = cut.withColumn("__held", held).withColumn("__own", F.lit(True))
-    guests = handed.select(
-        *[F.col(g) for g in groups], "__range", F.col("__first").alias("__held"), F.lit(False).alias("__own")
-    )
-    both = rows.unionByName(guests, allowMissingColumns=True)
-    inside = Window.partitionBy(*groups, "__range").orderBy("__own_last", "__held")
     # the handed value comes after every value of the range it is handed to
-    both = both.withColumn("__own_last", ~F.col("__own"))
-    following = F.lead("__held").over(inside)
-    return (
-        both.withColumn("__following", following)
-        .where("__own")
-        .withColumn(out, F.when(F.col("__following").isNotNull(), F.struct(F.col("__following.v").alias("v"))))
-        .drop("__range", "__held", "__own", "__own_last", "__following")
-    )
+    guests = handed.select(*[F.col(g) for g in groups], "__range", value, F.lit(True).alias("__guest"))
+    both = ranged(df).withColumn("__guest", F.lit(False)).unionByName(guests, allowMissingColumns=True)
+    inside = Window.partitionBy(*groups, "__range").orderBy("__guest", v.asc_nulls_last())
+    return both.withColumn(out, F.lead(F.struct(v.alias("v"))).over(inside)).where("NOT __guest").drop("__range", "__guest")

@@ -62,6 +62,20 @@ def test_schema_sync(rows):
     assert out.columns == ["k", "added"] and got(out) == [(1, None), (2, 9)]
 
 
+def test_only_touched_partitions_are_rewritten(spark, rows, tmp_path):
+    path = str(tmp_path / "t")
+    ddl = "k int, v string, ano int"
+    rows([(1, "a", 2020), (2, "b", 2021), (3, "c", 2021)], ddl).write.partitionBy("ano").parquet(path)
+    untouched = sorted(p.name for p in (tmp_path / "t" / "ano=2020").iterdir())
+    updates = rows([(2, "x", 2021), (2, "y", 2021), (9, "n", 2022)], ddl)
+    for _ in range(2):
+        merge.merge_touched_partitions(path, updates, ["k", "ano"], "ano", [F.col("v").desc()])
+        assert got(spark.read.parquet(path).select("k", "v", "ano")) == [(1, "a", 2020), (2, "y", 2021), (3, "c", 2021), (9, "n", 2022)]
+    assert sorted(p.name for p in (tmp_path / "t" / "ano=2020").iterdir()) == untouched
+    merge.merge_touched_partitions(path, updates.where("k > 99"), ["k", "ano"], "ano")
+    assert spark.read.parquet(path).count() == 4
+
+
 def test_versions(spark, tmp_path):
     table = VersionedTable(spark, str(tmp_path / "t"))
     assert table.read() is None
