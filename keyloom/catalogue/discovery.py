@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.catalogue import discovery_sql as sql
+from keyloom.catalogue.discovery_sql import KEYS
 from keyloom.catalogue.registry import joined, query
 from keyloom.functions import strings
 from keyloom.functions.vocabulary import Vocabulary, load_vocabulary
@@ -13,17 +17,6 @@ from keyloom.operators import profile
 from keyloom.plans import discovery, models
 from keyloom.session import scratch_dir
 
-KEYS = {
-    "orders": ["o_orderkey"],
-    "customer": ["c_custkey"],
-    "lineitem": ["l_orderkey", "l_linenumber"],
-    "part": ["p_partkey"],
-    "supplier": ["s_suppkey"],
-    "nation": ["n_nationkey"],
-    "region": ["r_regionkey"],
-}
-
-
 def _tables(t, *names, **options):
     return discovery.Tables({n: getattr(t, n) for n in names}, order_by={n: KEYS[n] for n in names}, **options)
 
@@ -198,33 +191,52 @@ def content_evidence(t):
 # -- candidates -----------------------------------------------------------------------------------
 
 
-@query("candidate_ranking")
+@query("candidate_ranking", sql.candidates_sql(["orders", "customer"]))
 def candidate_ranking(t):
-    return discovery.candidates(_tables(t, "orders", "customer"))
+    return discovery.candidates(_tables(t, "orders", "customer")).select(sql.RESULT_COLUMNS)
+
+
+@query("candidate_ranking_lines", sql.candidates_sql(["lineitem", "orders"]))
+def candidate_ranking_lines(t):
+    return discovery.candidates(_tables(t, "lineitem", "orders")).select(sql.RESULT_COLUMNS)
+
+
+@query("candidate_evidence")
+def candidate_evidence(t):
+    """The evidence texts of each candidate; their wording is checked in the unit tests."""
+    found = discovery.candidates(_tables(t, "lineitem", "part"))
+    texts = [joined(F.col(c)).alias(c) for c in ("evidence_for", "evidence_against", "required_transformations")]
+    return found.select("table_a", "column_a", "table_b", "column_b", "rank", *texts)
 
 
-@query("key_decision")
+@query("key_decision", sql.decision_sql(["customer", "nation"]))
 def key_decision(t):
-    tables = _tables(t, "lineitem", "orders")
-    return discovery.decide(discovery.candidates(tables), tables.pairs())
+    tables = _tables(t, "customer", "nation")
+    best = discovery.decide(discovery.candidates(tables), tables.pairs())
+    return best.select("table_a", "column_a", "table_b", "column_b", "confidence", "summary")
 
 
-@query("compare_columns")
+@query("compare_columns", sql.compare_sql(["customer", "nation"], "c_nationkey", "n_nationkey"))
 def compare_columns(t):
-    return discovery.compare_columns(_tables(t, "customer", "nation"), "c_nationkey", "n_nationkey")
+    return discovery.compare_columns(_tables(t, "customer", "nation"), "c_nationkey", "n_nationkey").select(sql.COMPARE_COLUMNS)
 
 
-@query("affinity")
+@query("affinity", sql.affinity_sql(list(KEYS)))
 def affinity(t):
-    return discovery.affinity(_tables(t, *KEYS))
+    """Affinity of all table pairs, with the sizes of the tables."""
+    found = discovery.affinity(_tables(t, *KEYS))
+    counts = reduce(DataFrame.unionAll, [getattr(t, n).agg(F.count(F.lit(1)).alias("rows")).withColumn("t", F.lit(n)) for n in KEYS])
+    for s in "ab":
+        found = found.join(counts.select(F.col("t").alias(f"table_{s}"), F.col("rows").alias(f"rows_{s}")), f"table_{s}")
+    return found
 
 
-@query("map_tables")
+@query("map_tables", sql.candidates_sql(list(KEYS), by_affinity=True))
 def map_tables(t):
-    return discovery.map_tables(_tables(t, "orders", "customer", "lineitem", "part", "supplier", "nation", "region"))
+    return discovery.map_tables(_tables(t, *KEYS)).select(sql.RESULT_COLUMNS)
 
 
-@query("auto_pairs")
+@query("auto_pairs", sql.auto_pairs_sql(["customer", "supplier", "part"]))
 def auto_pairs(t):
     return discovery.auto_pairs(_tables(t, "customer", "supplier", "part"))
 

@@ -10,7 +10,8 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from keyloom.catalogue.discovery import SHADES
-from keyloom.catalogue.registry import joined, query
+from keyloom.catalogue.discovery_sql import decision_sql
+from keyloom.catalogue.registry import query
 from keyloom.operators import merge
 from keyloom.sources import context, versions
 from keyloom.session import scratch_dir
@@ -291,6 +292,7 @@ def stored_discoveries(t):
 
 @query(
     "persisted_key",
+    f"SELECT table_a, column_a, table_b, column_b, confidence, 'semantic+content' AS discovery_method FROM ({decision_sql(['orders', 'customer'])}) WHERE confidence >= 0.7",
 )
 def persisted_key(t):
     """The decided key of two tables, kept as a discovery and read back."""
@@ -302,4 +304,4 @@ def persisted_key(t):
     store = context.ContextStore(t.spark, scratch_dir(t.spark, "context"))
     store.put_discoveries(context.best_as_discovery(best))
     found = store.discoveries("orders")
-    return found.select("table_a", "column_a", "table_b", "column_b", "confidence", "discovery_method", joined(F.col("evidence_for")).alias("evidence_for"))
+    return found.select("table_a", "column_a", "table_b", "column_b", "confidence", "discovery_method")

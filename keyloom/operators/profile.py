@@ -168,7 +168,7 @@ def _first_rows(df: DataFrame, columns: Sequence[str], n: int, order_by: Sequenc
     """``(column_name, sample, rows)``: non-null values among the first ``n`` rows, per column."""
     keys = list(dict.fromkeys([*order_by, *columns]))
     rows = df.select(*[F.col(f"`{k}`") for k in keys]).orderBy(*[F.col(f"`{k}`").asc_nulls_last() for k in keys]).limit(n)
-    order = [x.alias(f"o{i}") for i, x in enumerate(x for k in order_by for x in (F.col(f"`{k}`").isNull(), F.col(f"`{k}`")))]
+    order = [x.alias(f"o{i}") for i, x in enumerate(x for k in keys for x in (F.col(f"`{k}`").isNull(), F.col(f"`{k}`")))]
     texts = F.array(*[plain_text(F.col(f"`{c}`"), df.schema[c].dataType) for c in columns]).alias("texts")
     # n rows at most, turned into one list of non-null texts per column
     taken = rows.agg(F.sort_array(F.collect_list(F.struct(*order, texts))).alias("r"))
