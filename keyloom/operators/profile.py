@@ -74,13 +74,12 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, top: int
             F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("present"),
             F.sum("n").alias("rows"),
         )
-        best = top_per_group(
-            counts.where(F.col("value").isNotNull()), ["column_name"], [F.col("n").desc(), F.col("value").asc()], top, "__r"
-        )
-        # at most `top` rows per column are gathered
-        shown = best.groupBy("column_name").agg(
-            F.transform(F.sort_array(F.collect_list(F.struct("__r", "value"))), lambda x: x["value"]).alias("top_values")
-        )
+        # NULL may be among the ranked values and is dropped afterwards: filtering it here
+        # would give the frequency table a second plan instead of reusing its shuffle
+        best = top_per_group(counts, ["column_name"], [F.col("n").desc(), F.col("value").asc_nulls_last()], top + 1, "__r")
+        # at most `top` + 1 rows per column are gathered
+        ranked = F.sort_array(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("__r", "value"))))
+        shown = best.groupBy("column_name").agg(F.slice(F.transform(ranked, lambda x: x["value"]), 1, top).alias("top_values"))
     out = listed.join(facts, "column_name", "left")
     if shown is not None:
         out = out.join(shown, "column_name", "left")

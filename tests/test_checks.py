@@ -4,11 +4,18 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.operators import checks
+from keyloom.operators import checks, neighbours
 from keyloom.operators.neighbours import with_next
 from keyloom.operators.suite import RowRule, TableRule, run_suite
 
 
+@pytest.fixture(params=["whole groups", "cut groups"])
+def group_size(request, monkeypatch):
+    """Once with groups in one piece, once with all larger ones cut into ranges."""
+    if request.param == "cut groups":
+        monkeypatch.setattr(neighbours, "HOT_ROWS", 40)
+
+
 def got(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
@@ -141,7 +148,7 @@ def plain_ranges(data, gaps, zero):
 
 @pytest.mark.parametrize("gaps", ["allowed", "not_allowed", "required"])
 @pytest.mark.parametrize("zero", [False, True])
-def test_ranges_against_brute_force(rows, gaps, zero):
+def test_ranges_against_brute_force(rows, gaps, zero, group_size):
     rng = random.Random(3)
     data = []
     for i in range(600):
@@ -162,7 +169,7 @@ def test_ranges_arguments(rows):
     assert got(checks.mutually_exclusive_ranges(df, "a", "coalesce(b, 9)")) == []
 
 
-def test_sequences_against_brute_force(rows):
+def test_sequences_against_brute_force(rows, group_size):
     rng = random.Random(5)
     data = [(rng.choice([1, 1, 1, 2]), rng.randrange(300) * 2) for _ in range(500)] + [(2, None)]
     expected = []
@@ -183,7 +190,7 @@ def test_hourly_sequence(rows):
 
 @pytest.mark.parametrize("ddl,make", [("v string", lambda i: f"k{i:04d}"), ("v date", lambda i: dt.date(2020, 1, 1) + dt.timedelta(i)), ("v double", lambda i: i / 7)])
 @pytest.mark.parametrize("fine", [1, 5])
-def test_next_value_over_ranges(rows, ddl, make, fine):
+def test_next_value_over_ranges(rows, ddl, make, fine, group_size):
     data = [make(i) for i in range(0, 900, 3)]
     df = rows([(v,) for v in data] + [(None,)], ddl)
     found = {r["v"]: (None if r["next"] is None else (r["next"]["v"],)) for r in with_next(df, [], "v", fine=fine).collect()}
@@ -191,6 +198,20 @@ def test_next_value_over_ranges(rows, ddl, make, fine):
     assert found == {**expected, None: None}
 
 
+def test_hot_group_is_cut_and_the_rest_is_not(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "HOT_ROWS", 1000)
+    hot = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500 + 1)
+    df = spark.range(9000).select(hot.alias("k"), F.col("id").alias("v"))
+    groups = neighbours._hot_groups(df, ["k"], 4)
+    assert [tuple(r) for r in groups.collect()] == [(0,)]
+    assert neighbours._hot_groups(df.where("k > 0"), ["k"], 4) is None
+    limits = neighbours._limits(df.where("k = 0"), F.col("v").cast("double"))
+    cut = df.where("k = 0").withColumn("__position", F.col("v").cast("double")).withColumn("r", neighbours._range_number(limits, 1))
+    assert cut.groupBy("r").count().agg(F.max("count")).head()[0] < 100
+    found = with_next(df, ["k"], "v").where("k = 0").selectExpr("v", "next.v AS n").collect()
+    assert all(r["n"] == (r["v"] + 3 if r["v"] < 8997 else None) for r in found) and len(found) == 3000
+
+
 def test_column_set_and_non_empty(spark, rows):
     df = rows([(1, 2)], "Field_1 int, field_2 int")
     assert got(checks.column_set(spark, df, ["FIELD_1", "field_3"])) == [("FIELD_2", None), (None, "FIELD_3")]
