@@ -154,7 +154,7 @@ def streaming_merge(t):
 
 _FOUND_SQL = """
     SELECT 'cust_' || o_custkey AS table_a, o_orderstatus AS column_a, 'prio_' || substr(o_orderpriority, 1, 1) AS table_b, 'year_' || year(o_orderdate) AS column_b,
-      round(max(o_totalprice) / 500000, 4) AS confidence, CASE min(o_orderkey) % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_validated
+      floor(max(o_totalprice) / 50) / 10000 AS confidence, CASE min(o_orderkey) % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_validated
     FROM orders GROUP BY 1, 2, 3, 4"""
 
 
@@ -171,7 +171,7 @@ def _found(t):
     )
     state = F.min("o_orderkey") % 3
     rows = keys.groupBy("table_a", "column_a", "table_b", "column_b").agg(
-        F.round(F.max("o_totalprice") / 500000, 4).alias("confidence"),
+        (F.floor(F.max("o_totalprice") / 50) / 10000).alias("confidence"),
         F.when(state == 0, True).when(state == 1, False).alias("is_validated"),
     )
     stamp = F.lit("2024-01-01 00:00:00").cast("timestamp")
