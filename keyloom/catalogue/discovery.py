@@ -50,14 +50,20 @@ def vocabulary_group(t):
 @query(
     "vocabulary_coverage",
     f"""
-    SELECT p_brand, count(*) AS total_columns, count(g) AS recognized, count(g) / count(*) AS coverage, count(g) / count(*) >= 0.6 AS passes_threshold,
-      coalesce(string_agg(DISTINCT CASE WHEN g IS NULL THEN p_name END, ',' ORDER BY CASE WHEN g IS NULL THEN p_name END), '') AS unrecognized
+    SELECT p_brand, count(*) AS total_columns, count(g) AS recognized, count(g) / count(*) AS coverage, count(g) / count(*) >= 0.6 AS passes_threshold
     FROM (SELECT *, {_GROUP_SQL} AS g FROM (SELECT *, replace(lower(p_name), ' ', '_') AS n FROM part)) GROUP BY 1
     """,
 )
 def vocabulary_coverage(t):
-    got = discovery.name_coverage(t.part, "p_name", SHADES, groups=["p_brand"])
-    return got.withColumn("unrecognized", joined(F.col("unrecognized_columns"))).drop("unrecognized_columns")
+    return discovery.name_coverage(t.part, "p_name", SHADES, groups=["p_brand"])
+
+
+@query(
+    "unrecognized_names",
+    f"SELECT DISTINCT p_brand, p_name FROM (SELECT *, {_GROUP_SQL} AS g FROM (SELECT *, replace(lower(p_name), ' ', '_') AS n FROM part)) WHERE g IS NULL",
+)
+def unrecognized_names(t):
+    return discovery.unrecognized_names(t.part, "p_name", SHADES, groups=["p_brand"])
 
 
 @query(

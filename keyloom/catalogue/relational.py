@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyloom.catalogue.registry import joined, money, query
-from keyloom.functions.strings import plain_text
 from keyloom.operators import joins, profile, projection, relational
-from keyloom.plans import discovery, models
+from keyloom.plans import models
 
 # -- projections ----------------------------------------------------------------------------
 

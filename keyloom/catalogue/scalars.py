@@ -217,8 +217,6 @@ def structured_identifier(t):
     return parts.select("o_orderkey", "p.*", "short_form", (again == F.col("id")).alias("rebuilt"))
 
 
-_QTY = "l_quantity, nullif(l_tax, 0) AS tax, nullif(l_discount, 0) AS discount"
-
 
 def _lines(t):
     tax, discount = (F.nullif(c, F.lit(0.0)) for c in ("l_tax", "l_discount"))

@@ -305,7 +305,7 @@ def with_content(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     )
 
 
-def compare_columns(tables: Tables, column_a: str, column_b: str, order_samples: bool = True) -> DataFrame:
+def compare_columns(tables: Tables, column_a: str, column_b: str) -> DataFrame:
     """Every signal for one chosen pair of columns of two tables."""
     table_a, table_b = list(tables.frames)
     cid = {(t, f.name): c for c, t, _, f in tables.columns}
@@ -550,26 +550,28 @@ def auto_pairs(tables: Tables) -> DataFrame:
 
 def coverage(tables: Tables, threshold: float = 0.60) -> DataFrame:
     """Share of the tables' column names the vocabulary recognises (all, when there is none)."""
-    names = small_table(tables.spark, 
-        [(i, f.name) for i, (_, _, _, f) in enumerate(tables.columns)], "ord int, name string"
+    names = small_table(
+        tables.spark, [(i, f.name) for i, (_, _, _, f) in enumerate(tables.columns)], "ord int, name string"
     )
-    return name_coverage(names, "name", tables.vocabulary, threshold, order="ord")
-
-
-def name_coverage(
-    names: DataFrame, name: str, vocabulary: Vocabulary, threshold: float = 0.60, groups: Sequence[str] = (), order: str | None = None
-) -> DataFrame:
-    """Recognised share of the names in a table of names, with those not recognised."""
-    known = vocabulary.group_of(F.col(name), form="coverage").isNotNull()
-    marked = names.withColumn("__known", known)
-    missing = F.when(~F.col("__known"), F.struct(F.col(order or name).alias("o"), F.col(name).alias("n")))
-    n, k = F.count(F.lit(1)), F.count_if("__known")
+    known = tables.vocabulary.group_of(F.col("name"), form="coverage")
+    missing = F.when(known.isNull(), F.struct("ord", "name"))
+    # column names of the tables: schema-sized
+    listed = names.agg(F.transform(F.sort_array(F.collect_list(missing)), lambda x: x["name"]).alias("unrecognized_columns"))
+    counted = name_coverage(names, "name", tables.vocabulary, threshold)
+    return counted.withColumn("__k", F.lit(1)).join(listed.withColumn("__k", F.lit(1)), "__k").drop("__k")
+
+
+def name_coverage(names: DataFrame, name: str, vocabulary: Vocabulary, threshold: float = 0.60, groups: Sequence[str] = ()) -> DataFrame:
+    """Recognised share of the names in a table of names, per group."""
+    known = vocabulary.group_of(F.col(name), form="coverage")
+    n, k = F.count(F.lit(1)), F.count(known)
     share = F.when(n > 0, k / n).otherwise(1.0)
-    return marked.groupBy(*groups).agg(
-        n.alias("total_columns"),
-        k.alias("recognized"),
-        share.alias("coverage"),
-        (share >= threshold).alias("passes_threshold"),
-        # names of one group: schema-sized
-        F.transform(F.sort_array(F.collect_set(missing)), lambda x: x["n"]).alias("unrecognized_columns"),
+    return names.groupBy(*groups).agg(
+        n.alias("total_columns"), k.alias("recognized"), share.alias("coverage"), (share >= threshold).alias("passes_threshold")
     )
+
+
+def unrecognized_names(names: DataFrame, name: str, vocabulary: Vocabulary, groups: Sequence[str] = ()) -> DataFrame:
+    """The distinct names the vocabulary does not recognise, per group."""
+    unknown = vocabulary.group_of(F.col(name), form="coverage").isNull()
+    return names.where(unknown).select(*groups, name).distinct()
