@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, lines, ngram_join, packing, quality, token_files
+from keyloom.llm import decontaminate, langid, lines, ngram_join, packing, quality, suffix_dedup, token_files
 from keyloom.session import scratch_dir
 
 QUERIES: dict = {}
@@ -122,6 +122,18 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op9_suffix_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffix_dedup.drop_repeated_strings(table(spark, folder, "documents").select("doc_id", "text"))
+    length = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
+    return out.select("doc_id", "n_bytes", length.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(table(spark, folder, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
