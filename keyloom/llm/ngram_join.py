@@ -1,12 +1,13 @@
 """N-gram Jaccard join: near-duplicate documents by their sets of word shingles.
 
-1. One pass turns every text into its set of shingle hashes, keeps size and fingerprint, and
-   counts shingles in a sketch of fixed size.  Sets are ordered by (count, hash), rare shingles
-   first, the same way everywhere.  Equal sets are one from here on.
+1. One pass turns every text into its set of shingle hashes, keeps size and fingerprint, counts
+   shingles in a sketch and marks those seen twice in a bit map, both of fixed size.  Sets are
+   ordered rare shingles first, the same way everywhere: those certainly of one text only,
+   then by (count, hash).  Equal sets are one from here on.
 2. A set of n can only reach the threshold with another when they share one of its first
-   n - ceil(t n) + 1 shingles.  Those go to a shuffle by shingle; a stream over each
-   shingle's sets, sorted by size, drops shingles of a single set and pairs each set with
-   the first set of a comparable size.
+   n - ceil(t n) + 1 shingles.  Those go to a shuffle by shingle, but for the ones certainly of
+   one text only; a stream over each shingle's sets, sorted by size, drops shingles of a single
+   set and pairs each set with the first set of a comparable size.
 3. Pairs are verified exactly: the sets paired with one set form a prefix tree, held as its
    leaves in depth-first order with the length each shares with the leaf before.  The
    overlap of a shared part is counted once, and a branch is left as soon as what remains of
@@ -44,7 +45,10 @@ WORDS = 5
 PART, OF = 75, 100
 SKETCH = 1 << 20
 SKETCH_CHUNK = 1 << 13
-FILTER_BITS = 1 << 26
+#: Bits of the map of shingles seen twice, and bits of it in one part while it is made.
+MAP_BITS = 1 << 28
+MAP_PART = 1 << 20
+FILTER_BITS = 1 << 24
 TREE = 512
 FOLD = byte_table()
 
@@ -70,68 +74,146 @@ def fingerprint(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def in_order(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The set in the global order: by rarity, then by value."""
-    return s[np.argsort(counts[s & np.uint64(SKETCH - 1)], kind="stable")]
+class Order:
+    """The global order of shingles: certainly of one text only, then by counted rarity, then by value."""
+
+    def __init__(self, counts: np.ndarray, twice: bytes):
+        self.counts, self.twice = counts, np.frombuffer(twice, np.uint8)
+
+    def alone(self, s: np.ndarray) -> np.ndarray:
+        at = map_places(s)
+        return (self.twice[at >> np.uint32(3)] >> (at & np.uint32(7)).astype(np.uint8)) & 1 == 0
+
+    def sort(self, s: np.ndarray) -> tuple[np.ndarray, int]:
+        """The set in order, and how many of its shingles come first as they are certainly alone."""
+        alone = self.alone(s)
+        rest = s[~alone]
+        rest = rest[np.argsort(self.counts[rest & np.uint64(SKETCH - 1)], kind="stable")]
+        first = s[alone]
+        return np.concatenate([first, rest]), len(first)
+
+
+def map_places(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - MAP_BITS.bit_length() + 1)).astype(np.uint32)
+
+
+def gaps_of(places: np.ndarray) -> bytes:
+    """Sorted places below 2 ** 20 as gaps of a byte each; 255 stands for 255 and goes on."""
+    gaps = np.diff(places, prepend=np.uint32(0)).astype(np.int64)
+    more = gaps // 255
+    out = np.full(len(gaps) + int(more.sum()), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = gaps % 255
+    return out.tobytes()
+
+
+def places_of(gaps: np.ndarray) -> np.ndarray:
+    return np.cumsum(gaps, dtype=np.int64)[gaps != 255]
 
 
 def scan(rows: DataFrame, words: int) -> DataFrame:
-    """Rows (id, n, fp, proof) of documents and, with ``chunk``, parts of the shingle sketch."""
+    """Rows (id, n, fp, proof) of documents and, with ``kind``, parts of the sketch (0) and of the map of places (1)."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     id_field = T.StructField("id", rows.schema["id"].dataType)
-    schema = T.StructType([id_field, *T.StructType.fromDDL("n int, fp long, proof binary, chunk int, counts binary").fields])
+    schema = T.StructType([id_field, *T.StructType.fromDDL("n int, fp long, proof binary, kind int, chunk int, data binary").fields])
+    names, id_type = schema.names, to_arrow_type(id_field.dataType)
+
+    def part_row(kind, k, data):
+        empty = [pa.nulls(1, t) for t in (id_type, pa.int32(), pa.int64(), pa.binary())]
+        return pa.RecordBatch.from_arrays([*empty, pa.array([kind], pa.int32()), pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=names)
+
+    def map_rows(held: list[np.ndarray]):
+        places = np.sort(np.concatenate(held))
+        cuts = np.searchsorted(places, np.arange(0, MAP_BITS + 1, MAP_PART))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            yield part_row(1, k, gaps_of(places[cuts[k] : cuts[k + 1]] - np.uint32(k * MAP_PART)))
 
     def run(batches):
         sketch = np.zeros(SKETCH, np.uint32)
+        held: list[np.ndarray] = []
         for batch in batches:
             n, fp, proof = [], [], []
             for _, s in shingle_sets(batch.column(1), words):
                 n.append(len(s))
                 fp.append(fingerprint(s))
                 proof.append(xxhash.xxh3_128_digest(s.tobytes()))
+                held.append(map_places(s))
                 np.add.at(sketch, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
             m = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(proof, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=schema.names)
+            nothing = [pa.nulls(m, t) for t in (pa.int32(), pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(proof, pa.binary()), *nothing], names=names)
+            if sum(map(len, held)) > 8_000_000:
+                yield from map_rows(held)
+                held = []
+        if held:
+            yield from map_rows(held)
         for k, part in enumerate(sketch.reshape(-1, SKETCH_CHUNK)):
             if part.any():
-                empty = [pa.nulls(1, t) for t in (id_type, pa.int32(), pa.int64(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*empty, pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=schema.names)
-
-    from pyspark.sql.pandas.types import to_arrow_type
+                yield part_row(0, k, part.tobytes())
 
-    id_type = to_arrow_type(id_field.dataType)
     return rows.mapInArrow(run, schema)
 
 
-def merged_sketch(parts: DataFrame) -> np.ndarray:
-    """The sum of all sketch parts: ``SKETCH`` counters, at any size of data."""
+def folded(parts: DataFrame, start, add, end) -> DataFrame:
+    """(chunk, data): all parts of a chunk, one after the other, in one value; a task holds one at a time."""
 
     def run(batches):
         at, total = None, None
 
         def done():
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([end(total)], pa.binary())], names=["chunk", "data"])
 
         for batch in batches:
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1)):
-                c = np.frombuffer(c.as_buffer(), np.uint32)
-                if k == at:
-                    total += np.minimum(c, ~total)  # stays at the greatest value rather than begin anew
-                else:
+                if k != at:
                     if at is not None:
                         yield done()
-                    at, total = k, c.copy()
+                    at, total = k, start()
+                total = add(total, c.as_buffer())
         if at is not None:
             yield done()
 
-    out = np.zeros((SKETCH // SKETCH_CHUNK, SKETCH_CHUNK), np.uint32)
-    merged = parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "chunk int, counts binary")
-    for row in merged.toLocalIterator():
-        out[row["chunk"]] = np.frombuffer(bytes(row["counts"]), np.uint32)
-    return out.ravel()
-
-
-def prefix_rows(rows: DataFrame, counts, words: int, part: int, of: int) -> DataFrame:
-    """(shingle, fp, n, at): the necessary prefix of every set; copies in a task appear once."""
+    return parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "chunk int, data binary")
+
+
+def global_order(parts: DataFrame) -> Order:
+    """The sketch and the map of shingles seen twice: ``4 * SKETCH + MAP_BITS / 8`` bytes, at any size of data."""
+
+    def add_counts(total, c):
+        c = np.frombuffer(c, np.uint32)
+        total += np.minimum(c, ~total)  # stays at the greatest value rather than begin anew
+        return total
+
+    def add_places(total, c):
+        once, twice = total
+        places = places_of(np.frombuffer(c, np.uint8))
+        again = places[1:][places[1:] == places[:-1]]
+        twice[again] = True
+        twice[places[once[places]]] = True
+        once[places] = True
+        return total
+
+    counts = np.zeros((SKETCH // SKETCH_CHUNK, SKETCH_CHUNK), np.uint32)
+    for row in folded(parts.where("kind = 0").select("chunk", "data"), lambda: np.zeros(SKETCH_CHUNK, np.uint32), add_counts, lambda t: t.tobytes()).toLocalIterator():
+        counts[row["chunk"]] = np.frombuffer(bytes(row["data"]), np.uint32)
+    twice = bytearray(MAP_BITS // 8)
+    width = MAP_PART // 8
+    maps = folded(
+        parts.where("kind = 1").select("chunk", "data"),
+        lambda: (np.zeros(MAP_PART, bool), np.zeros(MAP_PART, bool)),
+        add_places,
+        lambda t: np.packbits(t[1], bitorder="little").tobytes(),
+    )
+    for row in maps.toLocalIterator():
+        twice[row["chunk"] * width : (row["chunk"] + 1) * width] = row["data"]
+    return Order(counts.ravel(), bytes(twice))
+
+
+def prefix_rows(rows: DataFrame, order, words: int, part: int, of: int) -> DataFrame:
+    """(shingle, fp, n, at): the necessary prefix of every set, without shingles certainly alone.
+
+    Copies in a task appear once.
+    """
 
     def run(batches):
         seen: set[int] = set()
@@ -159,11 +241,14 @@ def prefix_rows(rows: DataFrame, counts, words: int, part: int, of: int) -> Data
                 if len(seen) > 1_000_000:  # only saves rows: copies meet again in the shuffle
                     seen.clear()
                 take = len(s) - -(-part * len(s) // of) + 1
-                shingles.append(in_order(s, counts.value)[:take])
+                ordered, alone = order.value.sort(s)
+                if alone >= take:
+                    continue
+                shingles.append(ordered[alone:take])
                 fps.append(fp)
                 ns.append(len(s))
-                places.append(np.arange(take, dtype=np.int32))
-                held += take
+                places.append(np.arange(alone, take, dtype=np.int32))
+                held += take - alone
                 if held > 50_000:
                     yield out()
                     shingles, fps, ns, places, held = [], [], [], [], 0
@@ -245,7 +330,7 @@ def filter_bits(ids: DataFrame, bits: int) -> bytes:
     return bytes(out)
 
 
-def wanted_sets(rows: DataFrame, wanted: DataFrame, counts, words: int, bits: int) -> DataFrame:
+def wanted_sets(rows: DataFrame, wanted: DataFrame, order, words: int, bits: int) -> DataFrame:
     """(fp, members): the ordered sets whose ``fp`` is in ``wanted``, once each."""
     shared = rows.sparkSession.sparkContext.broadcast(filter_bits(wanted, bits))
 
@@ -258,7 +343,7 @@ def wanted_sets(rows: DataFrame, wanted: DataFrame, counts, words: int, bits: in
                 if len(s) and fp not in seen and may_contain(shared.value, bits, np.array([fp], np.int64).view(np.uint64))[0]:
                     seen.add(fp)
                     fps.append(fp)
-                    sets.append(in_order(s, counts.value).tobytes())
+                    sets.append(order.value.sort(s)[0].tobytes())
                 if len(fps) >= 500:
                     yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, pa.binary())], names=["fp", "members"])
                     fps, sets = [], []
@@ -344,16 +429,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     scanned = settled(scan(rows, words), "scan")
-    documents = scanned.where("chunk IS NULL").select("id", "n", "fp", "proof")
+    documents = scanned.where("kind IS NULL").select("id", "n", "fp", "proof")
     clash = documents.where("n > 0").groupBy("fp").agg(F.min("proof").alias("x"), F.max("proof").alias("y")).where("x != y")
     if not clash.isEmpty():
         raise RuntimeError("two different shingle sets have one fingerprint")
-    counts = spark.sparkContext.broadcast(merged_sketch(scanned.where("chunk IS NOT NULL").select("chunk", "counts")))
+    order = spark.sparkContext.broadcast(global_order(scanned))
 
-    shared = settled(shared_shingles(prefix_rows(rows, counts, words, part, of), part, of), "shared")
+    shared = settled(shared_shingles(prefix_rows(rows, order, words, part, of), part, of), "shared")
     first = settled(shared.where("hub IS NOT NULL").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct(), "pairs")
     every = shared.select("fp").distinct()
-    sets = settled(wanted_sets(rows, settled(every, "wanted"), counts, words, bits), "sets")
+    sets = settled(wanted_sets(rows, settled(every, "wanted"), order, words, bits), "sets")
     links = settled(verified(first, sets, part, of), "links")
     found = components(links)
 
