@@ -421,24 +421,13 @@ def verified(pairs: DataFrame, sets: DataFrame, part: int, of: int, tree: int =
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, part: int = PART, of: int = OF, bits: int = FILTER_BITS) -> DataFrame:
-    """One row per row of ``df``: ``doc_id``, ``n_shingles``, ``component_id``.
+def connected(shared: DataFrame, sets_of, part: int, of: int) -> DataFrame:
+    """(node, component) of all sets linked to others, from the rows of ``shared_shingles``.
 
-    Two documents link when ``of`` x intersection >= ``part`` x union of their shingle sets.
+    ``sets_of`` gives (fp, members) for a table of wanted ``fp``.
     """
-    spark = df.sparkSession
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    scanned = settled(scan(rows, words), "scan")
-    documents = scanned.where("kind IS NULL").select("id", "n", "fp", "proof")
-    clash = documents.where("n > 0").groupBy("fp").agg(F.min("proof").alias("x"), F.max("proof").alias("y")).where("x != y")
-    if not clash.isEmpty():
-        raise RuntimeError("two different shingle sets have one fingerprint")
-    order = spark.sparkContext.broadcast(global_order(scanned))
-
-    shared = settled(shared_shingles(prefix_rows(rows, order, words, part, of), part, of), "shared")
     first = settled(shared.where("hub IS NOT NULL").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct(), "pairs")
-    every = shared.select("fp").distinct()
-    sets = settled(wanted_sets(rows, settled(every, "wanted"), order, words, bits), "sets")
+    sets = settled(sets_of(settled(shared.select("fp").distinct(), "wanted")), "sets")
     links = settled(verified(first, sets, part, of), "links")
     found = components(links)
 
@@ -446,19 +435,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = shared.join(found, shared["fp"] == found["node"], "left").select("shingle", "fp", "n", "at", F.coalesce("component", "fp").alias("component"))
     placed = settled(placed, "placed")
     split = placed.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("shingle")
-    across = placed.join(split, "shingle", "left_semi")
+    across = settled(placed.join(split, "shingle", "left_semi"), "across")
     a, b = (across.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("fp", "n", "at", "component")]) for side in "ab")
     before = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("fp_a") < F.col("fp_b")))
     may = bounded(F.col("n_a"), F.col("n_b"), F.col("at_a"), F.col("at_b"), part, of)
     pairs = a.join(b, (a["shingle"] == b["shingle"]) & (F.col("component_a") != F.col("component_b")) & before & may)
     pairs = pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = settled(verified(settled(pairs, "pairs"), sets, part, of), "links")
-    if not more.isEmpty():
-        found = components(links.unionAll(more))
+    return found if more.isEmpty() else components(links.unionAll(more))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, part: int = PART, of: int = OF, bits: int = FILTER_BITS) -> DataFrame:
+    """One row per row of ``df``: ``doc_id``, ``n_shingles``, ``component_id``.
+
+    Two documents link when ``of`` x intersection >= ``part`` x union of their shingle sets.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    scanned = settled(scan(rows, words), "scan")
+    documents = scanned.where("kind IS NULL").select("id", "n", "fp", "proof")
+    clash = documents.where("n > 0").groupBy("fp").agg(F.min("proof").alias("x"), F.max("proof").alias("y")).where("x != y")
+    if not clash.isEmpty():
+        raise RuntimeError("two different shingle sets have one fingerprint")
+    order = spark.sparkContext.broadcast(global_order(scanned))
+    shared = settled(shared_shingles(prefix_rows(rows, order, words, part, of), part, of), "shared")
+    found = connected(shared, lambda wanted: wanted_sets(rows, wanted, order, words, bits), part, of)
 
     group = documents.join(found, documents["fp"] == found["node"], "left").select("id", "n", F.coalesce("component", "fp").alias("component"))
     group = settled(group, "groups")
-    least = group.where("n > 0").groupBy("component").agg(F.min("id").alias("least"))
+    least = settled(group.where("n > 0").groupBy("component").agg(F.min("id").alias("least")), "least")
     named = group.where("n > 0").join(least, "component").select("id", "n", F.col("least"))
     alone = group.where("n = 0").select("id", "n", F.col("id").alias("least"))
     return named.unionAll(alone).select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("least").alias("component_id"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, langid, lines, ngram_join, packing, quality, suffix_dedup, token_files
+from keyloom.llm import decontaminate, langid, lines, ngram_join, packing, paragraphs, pseudonyms, quality, suffix_dedup, token_files
 from keyloom.session import scratch_dir
 
 QUERIES: dict = {}
@@ -112,6 +112,22 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", text_sha(F.col("text")).alias("kept_sha256"))
 
 
+#: Stands for a key that a deployment keeps secret.
+PSEUDONYM_KEY = "registered-query-key"
+
+
+@query("op5_feistel_pseudonyms")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    out = pseudonyms.pseudonymize(table(spark, folder, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return out.select("doc_id", "text", F.size("kinds").cast("long").alias("n_pseudonyms"), F.array_join("kinds", ",").alias("kinds"))
+
+
+@query("op6_paragraph_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    out = paragraphs.drop_repeated_paragraphs(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped_lines"), text_sha(F.col("text")).alias("kept_sha256"))
+
+
 @query("op7_vector_packing")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
