@@ -147,7 +147,7 @@ RESULT_COLUMNS = [
 
 def candidates_sql(tables: list[str], by_affinity: bool = False, where: str = "true") -> str:
     by_name = "semantic >= 0.3 AND kept" if by_affinity else "semantic >= 0.3"
-    eligible = "kept OR type_score = 1.0" if by_affinity else "true"
+    eligible = "true"
     return f"""WITH {evidence_ctes(tables)},
     judged AS (SELECT p.*, {by_name} AS named FROM pairs p JOIN near USING (table_a, table_b) WHERE {eligible}),
     scored AS (SELECT *, CASE WHEN named THEN 'semantic' ELSE 'content' END AS discovery_method, CASE WHEN named THEN match_rate_a_in_b ELSE overlap_rate END AS match_rate,

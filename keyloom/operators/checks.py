@@ -214,8 +214,21 @@ def _rounded(df: DataFrame, column: str, precision: int | None) -> Column:
     c = F.col(f"`{column}`")
     if precision is None or not isinstance(df.schema[column].dataType, T.NumericType):
         return c
-    # decimal first: rounding is then half-up on the written digits
-    return F.round(c.cast(T.DecimalType(38, 18)), precision)
+    # half-up on the written digits; very large numbers and NaN stay what they are
+    return F.round(c, precision)
+
+
+def repeated(df: DataFrame, n: str, most: int = 1 << 16) -> DataFrame:
+    """Every row ``n`` times, without that column.
+
+    A row repeated very often is first cut into shares of ``most``, which are dealt out anew.
+    """
+    whole = [F.col(f"`{c}`") for c in df.columns if c != n]
+    last = F.ceil(F.col(n) / most).cast("bigint")
+    shares = df.where(F.col(n) > 0).select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), last)).alias("__share"))
+    size = F.least(F.lit(most).cast("bigint"), F.col(n) - (F.col("__share") - 1) * most)
+    shares = shares.withColumn(n, size).repartition(F.xxhash64(*whole, "__share"))
+    return shares.select(*whole, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(n))).alias("__copy")).drop("__copy")
 
 
 def mutually_exclusive_ranges(
@@ -239,7 +252,7 @@ def mutually_exclusive_ranges(
     # an upper bound that is NULL comes last
     greatest = F.when(F.count("upper_bound") == F.count(F.lit(1)), F.max("upper_bound"))
     bounds = picked.groupBy(*keys, "lower_bound").agg(greatest.alias("__top"))
-    bounds = with_next(bounds, keys, "lower_bound", "__next", raw=picked)
+    bounds = with_next(bounds, keys, "lower_bound", "__next")
     bounds = bounds.select(
         *[F.col(k).alias(f"__{k}") for k in keys],
         F.col("lower_bound").alias("__lower"),
@@ -278,8 +291,7 @@ def mutually_exclusive_ranges(
         gap_name, F.coalesce(gap_ok, F.col("is_last_record"), F.lit(False))
     )
     failing = judged.where(~(F.col(length_name) & F.col(gap_name)))
-    copies = F.explode(F.sequence(F.lit(1), F.col("n"))).alias("__copy")
-    return failing.select(*[c for c in failing.columns if c != "n"], copies).drop("__copy")
+    return repeated(failing, "n")
 
 
 def sequential_values(df, column: str, interval: int = 1, datepart: str | None = None, groups: Sequence[str] = (), where=None) -> DataFrame:
@@ -291,16 +303,14 @@ def sequential_values(df, column: str, interval: int = 1, datepart: str | None =
     previous = f"previous_{name_form(column, 'slug')}"
     present = _filtered(df, where).where(F.col(column).isNotNull()).select(*groups, F.col(column).alias("__v"))
     counted = present.groupBy(*groups, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    linked = with_next(counted, groups, "__v", "__next", raw=present)
+    linked = with_next(counted, groups, "__v", "__next")
     step = (lambda c: F.timestamp_add(datepart.upper(), F.lit(interval), c)) if datepart else (lambda c: c + F.lit(interval))
     moment = (lambda c: c.cast("timestamp")) if datepart else (lambda c: c)
     after = F.struct(F.col("__next.v").alias("value"), F.col("__v").alias("before"), F.when(F.col("__next").isNotNull(), 1).otherwise(0).cast("bigint").alias("n"))
     repeat = F.struct(F.col("__v").alias("value"), F.col("__v").alias("before"), (F.col("__n") - 1).alias("n"))
     cases = linked.select(*groups, F.explode(F.array(after, repeat)).alias("c")).select(*groups, "c.*").where("n > 0")
     failing = cases.where(~(moment(F.col("value")) == moment(step(F.col("before")))))
-    return failing.select(
-        *groups, F.col("value").alias(column), F.col("before").alias(previous), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("__copy")
-    ).drop("__copy")
+    return repeated(failing.select(*groups, F.col("value").alias(column), F.col("before").alias(previous), "n"), "n")
 
 
 def recency(df, column, datepart, interval, now: Column | None = None, ignore_time: bool = False, groups: Sequence[str] = (), where=None) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyloom.operators.relational import latest_per_key
 from keyloom.session import settled
@@ -50,12 +51,16 @@ def merge_greatest(
     """Upsert that keeps the greater ``greatest`` value and overwrites the other fields.
 
     ``keep`` columns stay as the target has them on a match, ``stamp`` columns are set on
-    a match only.  A full outer join on the keys needs one shuffle of each side.
+    a match only.  Of several updates for a key the one with the greatest ``greatest`` counts
+    (ties: by the other columns).  A full outer join on the keys needs one shuffle of each side.
     """
     stamp = stamp or {}
-    u = updates.select([F.col(f"`{c}`").alias(f"__u_{c}") for c in updates.columns])
-    joined = target.join(u, [target[k] == u[f"__u_{k}"] for k in keys], "full")
-    has_t, has_u = F.col(f"`{keys[0]}`").isNotNull(), F.col(f"__u_{keys[0]}").isNotNull()
+    rest = [F.col(f"`{f.name}`").asc_nulls_last() for f in updates.schema if f.name not in keys and f.name != greatest and not isinstance(f.dataType, T.MapType)]
+    updates = latest_per_key(updates, keys, [F.col(greatest).desc_nulls_last(), *rest])
+    u = updates.select([F.col(f"`{c}`").alias(f"__u_{c}") for c in updates.columns] + [F.lit(True).alias("__u")])
+    mine = target.withColumn("__t", F.lit(True))
+    joined = mine.join(u, [mine[k] == u[f"__u_{k}"] for k in keys], "full")
+    has_t, has_u = F.col("__t").isNotNull(), F.col("__u").isNotNull()
     out = []
     for f in target.schema:
         mine = F.col(f"`{f.name}`")

@@ -1,133 +1,43 @@
 """Next value within a group when one group may hold much of the table.
 
-``lead``/``lag`` over a plain window sort a whole group in one task.  Groups too large for
-that are first cut into value ranges; a window runs inside each range, and the first value
-of the following range is handed to the range before it, so no task ever sees a whole hot
-group.  Groups of ordinary size stay in one piece.
+``lead``/``lag`` over a plain window sort a whole group in one task.  Here rows are dealt out by
+ranges of (group, value), which Spark samples itself; a window runs inside each range, and the
+first value a group has in a range is handed to the range where it came before.  No task
+sees a whole group, whatever its size, and there is one plan at every size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from keyloom.session import settled
 
-CUTS = 128
-HOT_ROWS = 1_000_000
 
-
-def _position(c: Column, data_type: T.DataType) -> Column:
-    """A double that never decreases as the value grows; used to pick ranges only."""
-    if isinstance(data_type, T.StringType):
-        head = F.rpad(F.substring(F.hex(c), 1, 12), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    if isinstance(data_type, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(data_type, T.TimestampType):
-        return F.unix_micros(c).cast("double")
-    if isinstance(data_type, T.TimestampNTZType):
-        day = F.unix_date(F.to_date(c)).cast("double") * 86400
-        return day + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
-    return c.cast("double")
-
-
-def _range_number(limits: Sequence[float], fine: int) -> Column:
-    """Number of the range the ``__position`` column falls in; never decreases with it.
-
-    A balanced tree of comparisons finds the stretch between two limits, which is then
-    divided into ``fine`` equal widths.
-    """
-    stretches = len(limits) - 1
-    if stretches < 1:
-        return F.lit(0)
-
-    def stretch(lo: int, hi: int) -> str:
-        if lo == hi:
-            offset = f"(__position - {limits[lo]!r}D) * {fine / (limits[lo + 1] - limits[lo])!r}D"
-            return f"{lo * fine} + least(greatest(floor({offset}), 0), {fine - 1})" if fine > 1 else f"{lo}L"
-        mid = (lo + hi) // 2
-        return f"CASE WHEN __position < {limits[mid + 1]!r}D THEN {stretch(lo, mid)} ELSE {stretch(mid + 1, hi)} END"
-
-    return F.expr(stretch(0, stretches - 1))
-
-
-def _limits(sample: DataFrame, position: Column) -> list[float]:
-    """Distinct quantiles of the positions; they steer balance only, never the result."""
-    shares = [i / CUTS for i in range(CUTS + 1)]
-    found = sample.agg(F.percentile_approx(position, shares, 1000).alias("cuts")).head()["cuts"]
-    return sorted(set(found or []))
-
-
-def _hot_groups(source: DataFrame, groups: Sequence[str], partitions: int) -> DataFrame | None:
-    """Groups with more rows than a task should sort, None when there is none.
-
-    A group is hot above ``HOT_ROWS`` and a quarter of an even share of the rows, so there
-    are at most ``4 * partitions`` of them.  Without groups the result has no columns.
-    """
-    rows = source.count()
-    limit = max(HOT_ROWS, rows // (4 * partitions))
-    if rows <= limit:
-        return None
-    if not groups:
-        return source.select().limit(1)
-    hot = source.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit).drop("__n")
-    hot = settled(hot.toDF(*[f"__hot_{g}" for g in groups]), "hot")
-    return None if hot.isEmpty() else hot
-
-
-def with_next(
-    df: DataFrame, groups: Sequence[str], value: str, out: str = "next", raw: DataFrame | None = None, fine: int | None = None
-) -> DataFrame:
+def with_next(df: DataFrame, groups: Sequence[str], value: str, out: str = "next") -> DataFrame:
     """Add ``out = struct(v)`` holding the following value of ``value`` within its group.
 
-    ``df`` must hold each (group, value) once; NULL counts as the last value.  ``out`` is
-    NULL exactly for the last value of a group, while ``out.v`` is NULL when the following
-    value is the NULL one.  ``raw`` may name the table ``df`` was grouped from, with the
-    same group and value columns: sizes, quantiles and range starts come from it without
-    repeating the grouping.  The number of ranges grows with the session's shuffle
-    partitions.
+    ``df`` must hold each (group, value) once; NULL counts as the last value, NaN as the last
+    number.  ``out`` is NULL exactly for the last value of a group, while ``out.v`` is NULL when
+    the following value is the NULL one.
     """
     groups = list(groups)
-    source = df if raw is None else raw
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     v = F.col(f"`{value}`")
-    hot = _hot_groups(source, groups, partitions)
-    if hot is None:
-        whole = Window.partitionBy(*groups).orderBy(v.asc_nulls_last())
-        return df.withColumn(out, F.lead(F.struct(v.alias("v"))).over(whole))
-
-    def marked(table: DataFrame, how: str) -> DataFrame:
-        if not groups:
-            return table.withColumn("__hot", F.lit(True))
-        flagged = hot.withColumn("__hot", F.lit(True))
-        match = [table[g].eqNullSafe(flagged[f"__hot_{g}"]) for g in groups]
-        return table.join(flagged, match, how).drop(*hot.columns)
-
-    position = _position(v, df.schema[value].dataType)
-    in_hot = marked(source, "inner")
-    limits = _limits(in_hot, position)
-    if fine is None:
-        fine = max(1, -(-4 * partitions // CUTS))
-    beyond = len(limits) * fine + 1
-
-    def ranged(table: DataFrame) -> DataFrame:
-        at = F.when(F.col("__hot").isNull(), F.lit(0)).when(v.isNull(), F.lit(beyond)).otherwise(_range_number(limits, fine))
-        return table.withColumn("__position", position).withColumn("__range", at.cast("bigint")).drop("__position", "__hot")
+    order = [F.col(f"`{g}`").asc_nulls_first() for g in groups] + [v.asc_nulls_last()]
+    # written once: the ranges are sampled, and both uses below must see the same ones
+    ranged = settled(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
 
-    # NULLs have a range of their own, so the least value is the first of its range
-    firsts = ranged(in_hot).groupBy(*groups, "__range").agg(F.min(v).alias(value))
+    least = F.min_by(v, F.struct(v.isNull(), v)).alias(value)
+    firsts = ranged.groupBy(*groups, "__range").agg(least)
     # a group has at most one row per range from here on
     before = F.lag("__range").over(Window.partitionBy(*groups).orderBy("__range"))
     handed = firsts.withColumn("__range", before).where(F.col("__range").isNotNull())
 
     # the handed value comes after every value of the range it is handed to
-    guests = handed.select(*[F.col(g) for g in groups], "__range", value, F.lit(True).alias("__guest"))
-    rows = ranged(marked(df, "left")).withColumn("__guest", F.lit(False))
-    both = rows.unionByName(guests, allowMissingColumns=True)
+    guests = handed.select(*[F.col(f"`{g}`") for g in groups], "__range", F.col(f"`{value}`"), F.lit(True).alias("__guest"))
+    both = ranged.withColumn("__guest", F.lit(False)).unionByName(guests, allowMissingColumns=True)
     inside = Window.partitionBy(*groups, "__range").orderBy("__guest", v.asc_nulls_last())
     return both.withColumn(out, F.lead(F.struct(v.alias("v"))).over(inside)).where("NOT __guest").drop("__range", "__guest")

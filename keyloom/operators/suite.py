@@ -63,23 +63,23 @@ def run_suite(df: DataFrame, rules: Sequence[RowRule | TableRule]) -> DataFrame:
                 F.explode(
                     F.array(
                         *[
-                            F.struct(F.lit(r.name).alias("check"), F.lit(r.column).cast("string").alias("column"), F.col(f"c{i}").alias("__failures"))
+                            F.struct(F.lit(next(k for k, x in enumerate(rules) if x is r)).alias("__rule"), F.lit(r.name).alias("check"), F.lit(r.column).cast("string").alias("column"), F.col(f"c{i}").alias("__failures"))
                             for i, r in enumerate(local)
                         ]
                     )
                 ).alias("r")
             ).select("r.*")
         )
-    for r in rules:
+    for k, r in enumerate(rules):
         if isinstance(r, TableRule):
             check = r.check if isinstance(r.check, checks.Check) else checks.Check(r.check)
             parts.append(
                 check.failures().select(
-                    F.lit(r.name).alias("check"), F.lit(r.column).cast("string").alias("column"), F.col("failures").alias("__failures")
+                    F.lit(k).alias("__rule"), F.lit(r.name).alias("check"), F.lit(r.column).cast("string").alias("column"), F.col("failures").alias("__failures")
                 )
             )
     counted = reduce(DataFrame.unionAll, parts)
     status = F.lit(None).cast("string")
-    for r in rules:
-        status = F.when(F.col("check") == r.name, _status(r, F.col("__failures"))).otherwise(status)
+    for k, r in enumerate(rules):
+        status = F.when(F.col("__rule") == k, _status(r, F.col("__failures"))).otherwise(status)
     return counted.select("check", "column", F.col("__failures").cast("bigint").alias("failures"), status.alias("status"))

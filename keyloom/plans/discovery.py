@@ -417,19 +417,24 @@ def candidates(
     by_affinity: bool = False,
     max_candidates: int = MAX_CANDIDATES,
     name_threshold: float = NAME_THRESHOLD,
+    same_types: bool = False,
 ) -> DataFrame:
     """Ranked, explained candidate keys of each table pair.
 
     A pair of columns is judged by name where its name score reaches the threshold, else
     by content, where it must earn promotion.  With ``by_affinity`` (mapping many tables)
-    table pairs of low affinity are judged by content only, among compatible types.
+    table pairs of low affinity are judged by content only; ``same_types`` leaves out their
+    column pairs of incompatible types, in either direction.
     """
     pairs = column_pairs(tables, table_pairs)
     by_name = F.col("semantic") >= name_threshold
     if by_affinity:
         pairs = settled(pairs)
         near = affinity(tables, pairs).select("table_a", "table_b", "kept")
-        pairs = pairs.join(near, ["table_a", "table_b"]).where("kept or type_score = 1.0")
+        pairs = pairs.join(near, ["table_a", "table_b"])
+        if same_types:
+            either = sim.types_compatible(F.col("family_a"), F.col("family_b")) | sim.types_compatible(F.col("family_b"), F.col("family_a"))
+            pairs = pairs.where(F.col("kept") | either)
         by_name = by_name & F.col("kept")
     pairs = pairs.withColumn("discovery_method", F.when(by_name, "semantic").otherwise("content"))
     # two independent, schema-sized jobs
@@ -532,8 +537,8 @@ def map_tables(tables: Tables, **options) -> DataFrame:
     return candidates(tables, by_affinity=True, **options)
 
 
-def auto_pairs(tables: Tables) -> DataFrame:
-    """The best 15 column pairs by name score among key-like columns, before any values are compared."""
+def auto_pairs(tables: Tables, most: int = AUTO_PAIRS) -> DataFrame:
+    """The best ``most`` column pairs by name score among key-like columns, before any values are compared."""
     unique = reduce(
         DataFrame.unionAll,
         [
@@ -544,7 +549,7 @@ def auto_pairs(tables: Tables) -> DataFrame:
     pairs = column_pairs(tables).where(F.col("semantic") >= NAME_THRESHOLD)
     for s in "ab":
         pairs = pairs.join(unique.select(F.col("t").alias(f"table_{s}"), F.col("name").alias(f"column_{s}")), [f"table_{s}", f"column_{s}"], "left_semi")
-    ordered = top(pairs, [F.col("semantic").desc(), F.col("table_a"), F.col("table_b"), F.col("ord_a"), F.col("ord_b")], AUTO_PAIRS)
+    ordered = top(pairs, [F.col("semantic").desc(), F.col("table_a"), F.col("table_b"), F.col("ord_a"), F.col("ord_b")], most)
     return ordered.select("table_a", "column_a", "table_b", "column_b", "semantic")
 
 

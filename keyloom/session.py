@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -51,8 +54,8 @@ def local_session(cores: int | str = 8, app: str = "keyloom", shuffle_partitions
 def scratch_root(spark: SparkSession) -> str:
     """Folder every executor can reach, used for written intermediates.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset,
-    as on one machine in tests, a fresh temporary folder is made.
+    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset and the session
+    runs on one machine, as in tests, a fresh temporary folder is made, and removed at the end.
     """
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
@@ -60,8 +63,11 @@ def scratch_root(spark: SparkSession) -> str:
     if shared:
         return shared.rstrip("/")
     app = spark.sparkContext.applicationId
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if app not in _SCRATCH:
         _SCRATCH[app] = tempfile.mkdtemp(prefix="keyloom-")
+        atexit.register(shutil.rmtree, _SCRATCH[app], ignore_errors=True)
         spark.sparkContext.setCheckpointDir(_SCRATCH[app])
     return _SCRATCH[app]
 

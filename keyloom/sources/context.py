@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions.vocabulary import Vocabulary
 from keyloom.operators.merge import align, merge_greatest, merge_latest
+from keyloom.operators.relational import latest_per_key
 from keyloom.sources.versions import VersionedTable
 from keyloom.session import small_table
 
@@ -57,6 +58,8 @@ def active_discoveries(discoveries: DataFrame, min_confidence: float = MIN_CONFI
 def review(discoveries: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
     """Set the review state of the keys in ``decisions`` (four key columns, ``is_valid``)."""
     keys = KEYS["integration_discoveries"]
+    # several decisions for a key: a rejection counts
+    decisions = decisions.groupBy(*keys).agg(F.min("is_valid").alias("is_valid"))
     named = decisions.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("is_valid").alias("__valid"), F.lit(True).alias("__hit"))
     joined = discoveries.join(named, [F.col(k) == F.col(f"__{k}") for k in keys], "left")
     changed = {
@@ -104,6 +107,9 @@ class ContextStore:
     def _upsert(self, name: str, updates: DataFrame, created: str | None = None, stamped: str | None = None) -> None:
         target = self.read(name)
         now = F.current_timestamp()
+        # several rows for a key: the first by their other columns
+        order = [F.to_json(F.struct(*[F.col(f"`{c}`") for c in updates.columns])).asc_nulls_last()]
+        updates = latest_per_key(updates, KEYS[name], order)
         if stamped:
             updates = updates.withColumn(stamped, now)
         if created:

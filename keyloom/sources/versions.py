@@ -10,7 +10,8 @@ class VersionedTable:
     """A table kept as ``<path>/v00000001``, ``v00000002``, ...
 
     A version counts once Spark has put its ``_SUCCESS`` marker there; a crashed write
-    leaves an unmarked folder, which the next write of that version replaces.
+    leaves an unmarked folder, which the next write of that version replaces.  A version may
+    carry a tag (``v00000003.tag``): writing the same tag again changes nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str, keep: int = 2):
@@ -21,32 +22,43 @@ class VersionedTable:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def versions(self) -> list[int]:
+        return sorted(self._finished())
+
+    def _finished(self) -> dict[int, str]:
+        """Folder names of the finished versions."""
         fs, root = self._fs(self.path)
         if not fs.exists(root):
-            return []
-        found = []
+            return {}
+        found = {}
         for status in fs.listStatus(root):
             name = status.getPath().getName()
             marker = self.spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if name.startswith("v") and name[1:].isdigit() and fs.exists(marker):
-                found.append(int(name[1:]))
-        return sorted(found)
+            number = name[1:].partition(".")[0]
+            if name.startswith("v") and number.isdigit() and fs.exists(marker):
+                found[int(number)] = name
+        return found
+
+    def folder(self, version: int, tag: str | None = None) -> str:
+        """Where a finished version lies, or a new one goes."""
+        return f"{self.path}/{self._finished().get(version) or f'v{version:08d}' + (f'.{tag}' if tag else '')}"
 
-    def folder(self, version: int) -> str:
-        return f"{self.path}/v{version:08d}"
+    def has(self, tag: str) -> bool:
+        return any(name.endswith(f".{tag}") for name in self._finished().values())
 
     def read(self, before: int | None = None) -> DataFrame | None:
         """The newest finished version (older than ``before``), None when there is none."""
         found = [v for v in self.versions() if before is None or v < before]
         return self.spark.read.parquet(self.folder(found[-1])) if found else None
 
-    def write(self, df: DataFrame, version: int | None = None) -> int:
-        """Write the next version, or a given one, which makes a retry harmless."""
+    def write(self, df: DataFrame, version: int | None = None, tag: str | None = None) -> int:
+        """Write the next version, or a given one; a given version or tag makes a retry harmless."""
         done = self.versions()
+        if tag is not None and self.has(tag):
+            return next(v for v, name in self._finished().items() if name.endswith(f".{tag}"))
         version = version if version is not None else (done[-1] if done else 0) + 1
         if version in done:
             return version
-        df.write.mode("overwrite").parquet(self.folder(version))
+        df.write.mode("overwrite").parquet(self.folder(version, tag))
         for old in done[: -self.keep] if self.keep else []:
             fs, folder = self._fs(self.folder(old))
             fs.delete(folder, True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from keyloom.operators.merge import align, incremental_merge, merge_latest
+from keyloom.operators.merge import align, merge_latest
 from keyloom.operators.relational import latest_per_key
 from keyloom.sources.versions import VersionedTable
 
@@ -29,24 +30,39 @@ def stream_merge(
     """Process all files there are, merging each batch into ``table``.
 
     ``skip_late`` keeps the batch rule: rows at or below the high-water mark are left out;
-    without it every row is an upsert by key.  The version written carries the batch
-    number, so a batch repeated after a failure gives the same table.
+    without it every row is an upsert by key.  The mark is read once, when the run starts, and
+    every batch is judged by it, so the number of files in a batch doesn't matter.  The
+    table is keyed from the start: of several rows for a key the first under ``order`` stays.
+
+    Each batch takes the next free version, tagged with the stream and the batch: a batch
+    repeated after a failure finds its tag and changes nothing.
     """
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     ordering = list(order) if order is not None else [F.col(stamp).desc_nulls_last()]
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    start = table.read()
+    mark = start.agg(F.max(stamp).alias("mark")).head()["mark"] if start is not None and skip_late else None
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        version = batch_id + 1
-        target = table.read(before=version)
+        tag = f"{stream}-{batch_id}"
+        if table.has(tag):
+            return
+        target = table.read()
         if target is None:
-            state = latest_per_key(batch, keys, ordering)
-        elif skip_late:
-            state = incremental_merge(batch, target, keys, stamp, ordering)
-        else:
-            state = merge_latest(align(target, batch), batch, keys, ordering)
-        table.write(state, version)
+            table.write(latest_per_key(batch, keys, ordering), tag=tag)
+            return
+        target = align(target, batch)
+        if not skip_late:
+            table.write(merge_latest(target, batch, keys, ordering), tag=tag)
+            return
+        limit = F.lit(mark).cast(batch.schema[stamp].dataType)
+        new = lambda rows: rows if mark is None else rows.where(F.col(stamp) > limit)
+        # rows of this run's earlier batches compete with this batch's; older ones give way to both
+        fresh = latest_per_key(new(target).unionByName(new(batch)), keys, ordering)
+        old = target.where(F.lit(False)) if mark is None else target.where((F.col(stamp) <= limit) | F.col(stamp).isNull())
+        table.write(merge_latest(old, fresh, keys), tag=tag)
 
     return (
         reader.parquet(raw_dir)

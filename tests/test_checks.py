@@ -4,18 +4,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.operators import checks, neighbours
+from keyloom.operators import checks
 from keyloom.operators.neighbours import with_next
 from keyloom.operators.suite import RowRule, TableRule, run_suite
 
 
-@pytest.fixture(params=["whole groups", "cut groups"])
-def group_size(request, monkeypatch):
-    """Once with groups in one piece, once with all larger ones cut into ranges."""
-    if request.param == "cut groups":
-        monkeypatch.setattr(neighbours, "HOT_ROWS", 40)
-
-
 def got(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
@@ -148,7 +141,7 @@ def plain_ranges(data, gaps, zero):
 
 @pytest.mark.parametrize("gaps", ["allowed", "not_allowed", "required"])
 @pytest.mark.parametrize("zero", [False, True])
-def test_ranges_against_brute_force(rows, gaps, zero, group_size):
+def test_ranges_against_brute_force(rows, gaps, zero):
     rng = random.Random(3)
     data = []
     for i in range(600):
@@ -169,7 +162,7 @@ def test_ranges_arguments(rows):
     assert got(checks.mutually_exclusive_ranges(df, "a", "coalesce(b, 9)")) == []
 
 
-def test_sequences_against_brute_force(rows, group_size):
+def test_sequences_against_brute_force(rows):
     rng = random.Random(5)
     data = [(rng.choice([1, 1, 1, 2]), rng.randrange(300) * 2) for _ in range(500)] + [(2, None)]
     expected = []
@@ -188,30 +181,62 @@ def test_hourly_sequence(rows):
     assert got(checks.sequential_values(df, "my_timestamp", 1, datepart="hour")) == [(hours[3], hours[2])]
 
 
-@pytest.mark.parametrize("ddl,make", [("v string", lambda i: f"k{i:04d}"), ("v date", lambda i: dt.date(2020, 1, 1) + dt.timedelta(i)), ("v double", lambda i: i / 7)])
-@pytest.mark.parametrize("fine", [1, 5])
-def test_next_value_over_ranges(rows, ddl, make, fine, group_size):
-    data = [make(i) for i in range(0, 900, 3)]
-    df = rows([(v,) for v in data] + [(None,)], ddl)
-    found = {r["v"]: (None if r["next"] is None else (r["next"]["v"],)) for r in with_next(df, [], "v", fine=fine).collect()}
+NAN, INF = float("nan"), float("inf")
+
+
+@pytest.mark.parametrize(
+    "ddl,data",
+    [
+        ("v string", [f"Customer#{i:018d}" for i in range(0, 900, 3)]),  # a long common prefix
+        ("v date", [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(300)]),
+        ("v double", [-INF, *[i / 7 for i in range(300)], INF]),
+    ],
+)
+def test_next_value_over_ranges(rows, ddl, data):
+    df = rows([(v,) for v in data] + [(None,)], ddl).repartition(5)
+    found = {r["v"]: (None if r["next"] is None else (r["next"]["v"],)) for r in with_next(df, [], "v").collect()}
     expected = dict(zip(data, [(v,) for v in data[1:] + [None]]))
     assert found == {**expected, None: None}
 
 
-def test_hot_group_is_cut_and_the_rest_is_not(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "HOT_ROWS", 1000)
+def test_next_value_with_nan(rows):
+    df = rows([(1, 1.0), (1, NAN), (1, 3.0), (2, NAN), (3, None), (3, 2.0)], "k int, v double")
+    found = {(r["k"], str(r["v"])): r["next"] and str(r["next"]["v"]) for r in with_next(df, ["k"], "v").collect()}
+    assert found == {(1, "1.0"): "3.0", (1, "3.0"): "nan", (1, "nan"): None, (2, "nan"): None, (3, "2.0"): "None", (3, "None"): None}
+
+
+def test_a_hot_group_is_spread_over_ranges(spark):
     hot = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500 + 1)
     df = spark.range(9000).select(hot.alias("k"), F.col("id").alias("v"))
-    groups = neighbours._hot_groups(df, ["k"], 4)
-    assert [tuple(r) for r in groups.collect()] == [(0,)]
-    assert neighbours._hot_groups(df.where("k > 0"), ["k"], 4) is None
-    limits = neighbours._limits(df.where("k = 0"), F.col("v").cast("double"))
-    cut = df.where("k = 0").withColumn("__position", F.col("v").cast("double")).withColumn("r", neighbours._range_number(limits, 1))
-    assert cut.groupBy("r").count().agg(F.max("count")).head()[0] < 100
     found = with_next(df, ["k"], "v").where("k = 0").selectExpr("v", "next.v AS n").collect()
     assert all(r["n"] == (r["v"] + 3 if r["v"] < 8997 else None) for r in found) and len(found) == 3000
 
 
+def test_rows_are_repeated_in_shares(spark):
+    df = spark.createDataFrame([(1, 3), (2, 0), (3, 100_000)], "k int, n long")
+    assert got(checks.repeated(df, "n").groupBy("k").count()) == [(1, 3), (3, 100_000)]
+    assert got(checks.repeated(df, "n", most=2).groupBy("k").count()) == [(1, 3), (3, 100_000)]
+
+
+def test_one_value_repeated_very_often(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") < 29_000, 7).otherwise(F.col("id")).alias("v"))
+    failing = checks.sequential_values(df, "v").groupBy("v").count().collect()
+    assert sorted(tuple(r) for r in failing) == [(7, 28_999), (29_000, 1)]
+
+
+def test_equality_with_very_large_numbers(rows):
+    a = rows([(1e21,), (NAN,), (1.234,), (None,)], "x double")
+    b = rows([(1e21,), (1.2344,), (None,), (None,)], "x double")
+    left = checks.equality(a, b, precision=2).rows.collect()
+    assert len(left) == 1 and str(left[0]["x"]) == "nan"
+
+
+def test_suite_tells_rules_of_one_name_apart(rows):
+    df = rows([(None, None)], "a int, b int")
+    rules = [RowRule("not_null", "a", F.col("a").isNotNull()), RowRule("not_null", "b", F.col("b").isNotNull(), severity="warn")]
+    assert got(run_suite(df, rules)) == [("not_null", "a", 1, "fail"), ("not_null", "b", 1, "warn")]
+
+
 def test_column_set_and_non_empty(spark, rows):
     df = rows([(1, 2)], "Field_1 int, field_2 int")
     assert got(checks.column_set(spark, df, ["FIELD_1", "field_3"])) == [("FIELD_2", None), (None, "FIELD_3")]

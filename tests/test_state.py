@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,3 +184,57 @@ def test_stream_upsert_takes_late_rows(spark, loads, tmp_path):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "raw"))
         run_stream(spark, tmp_path, source.schema, table, skip_late=False)
     assert got(table.read().select("k", "v")) == [(1, "late"), (2, "newer"), (3, "c"), (4, "none")]
+
+
+def test_stream_batches_do_not_change_the_result(spark, tmp_path):
+    """Two files, the newer one first: one batch or two, the same table."""
+    schema = "k int, dt_ingest timestamp, v string"
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    files = [[(1, at(5), "new"), (2, at(5), "x")], [(1, at(3), "old"), (3, at(2), "y")]]
+    results = []
+    for per_batch in (None, 1):
+        root = tmp_path / f"run{per_batch}"
+        table = VersionedTable(spark, str(root / "staged"))
+        spark.createDataFrame([(9, at(1), "seed"), (1, at(1), "seed")], schema).coalesce(1).write.parquet(str(root / "raw"))
+        run_stream(spark, root, spark.createDataFrame([], schema).schema, table)
+        for f in files:
+            spark.createDataFrame(f, schema).coalesce(1).write.mode("append").parquet(str(root / "raw"))
+            time.sleep(1.1)  # file times order the batches
+        run_stream(spark, root, spark.createDataFrame([], schema).schema, table, files_per_batch=per_batch)
+        results.append(got(table.read().select("k", "v")))
+    assert results[0] == results[1] == [(1, "new"), (2, "x"), (3, "y"), (9, "seed")]
+
+
+def test_stream_on_a_table_with_versions(spark, tmp_path):
+    schema = "k int, dt_ingest timestamp, v string"
+    table = VersionedTable(spark, str(tmp_path / "staged"))
+    for v in "ab":
+        table.write(spark.createDataFrame([(1, dt.datetime(2024, 1, 1), v)], schema))
+    spark.createDataFrame([(2, dt.datetime(2024, 1, 2), "c")], schema).write.parquet(str(tmp_path / "raw"))
+    run_stream(spark, tmp_path, table.read().schema, table)
+    assert got(table.read().select("k", "v")) == [(1, "b"), (2, "c")]
+
+
+def test_repeated_keys_leave_one_row(spark, rows, tmp_path):
+    store = ContextStore(spark, str(tmp_path))
+    tags = "table_name string, column_name string, domain_group string, semantic_tags array<string>"
+    store.put_annotations(rows([("t", "c", "x", None), ("t", "c", "y", None)], tags))
+    assert store.annotations("t").count() == 1
+    found = "table_a string, column_a string, table_b string, column_b string, confidence double, discovery_method string"
+    store.put_discoveries(rows([("a", "x", "b", "y", 0.5, "s"), ("a", "x", "b", "y", 0.9, "c")], found))
+    store.put_discoveries(rows([("a", "x", "b", "y", 0.7, "s"), ("a", "x", "b", "y", 0.8, "c")], found))
+    kept = store.read("integration_discoveries").collect()
+    assert [r["confidence"] for r in kept] == [0.9]
+    store.review(rows([("a", "x", "b", "y", True), ("a", "x", "b", "y", False)], "table_a string, column_a string, table_b string, column_b string, is_valid boolean"))
+    assert [r["is_validated"] for r in store.read("integration_discoveries").collect()] == [False]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from keyloom import session
+
+    conf = SimpleNamespace(get=lambda key, default=None: None)
+    context = SimpleNamespace(getConf=lambda: conf, master="spark://host:7077", applicationId="x")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.scratch_root(SimpleNamespace(sparkContext=context, conf=conf))
