@@ -93,7 +93,7 @@ def vocabulary_from_file(t):
         WHEN avg(CASE WHEN regexp_matches(v, '^\d{4}$') THEN 1.0 ELSE 0 END) > 0.5 THEN 'exercicio' END AS best_pattern,
       greatest(avg(CASE WHEN regexp_matches(v, '^\d{5}$') THEN 1.0 ELSE 0 END), avg(CASE WHEN regexp_matches(v, '^\d{4}$') THEN 1.0 ELSE 0 END)) AS best_score,
       avg(length(v)) AS avg_length, string_agg(v, ',' ORDER BY r) FILTER (r <= 5) AS sample_values
-    FROM n WHERE r <= 200 GROUP BY 1
+    FROM n GROUP BY 1
     """,
 )
 def pattern_profile(t):
@@ -162,34 +162,33 @@ def overlap_matrix(t):
     return got.withColumn("sample_matches", joined(F.col("sample_matches")))
 
 
-_SAMPLES = """
-    WITH a AS (SELECT {a} AS v FROM {ta} ORDER BY {ka} LIMIT 100), b AS (SELECT {b} AS v FROM {tb} ORDER BY {kb} LIMIT 100),
-      s AS (SELECT round(greatest((SELECT count(*) FILTER (EXISTS (SELECT 1 FROM b WHERE contains(b.v, a.v))) / count(*) FROM a),
-              (SELECT count(*) FILTER (EXISTS (SELECT 1 FROM a WHERE contains(a.v, b.v))) / count(*) FROM b)), 4) AS sub,
-          round((SELECT count(DISTINCT v) FROM a WHERE v IN (SELECT v FROM b)) / (SELECT count(DISTINCT v) FROM a), 4) AS ov)"""
+_CONTAINED = """
+    WITH a AS (SELECT DISTINCT {a} AS v FROM {ta}), b AS (SELECT DISTINCT {b} AS v FROM {tb}),
+      lens AS (SELECT DISTINCT length(v) AS l FROM (SELECT v FROM a UNION SELECT v FROM b)),
+      ca AS (SELECT DISTINCT substr(v, i, l) AS s FROM (SELECT v, l, unnest(range(1, length(v) - l + 2)) AS i FROM a, lens WHERE l <= length(v))),
+      cb AS (SELECT DISTINCT substr(v, i, l) AS s FROM (SELECT v, l, unnest(range(1, length(v) - l + 2)) AS i FROM b, lens WHERE l <= length(v))),
+      s AS (SELECT round(greatest((SELECT count(*) FROM a WHERE v IN (SELECT s FROM cb)) / (SELECT count(*) FROM a), (SELECT count(*) FROM b WHERE v IN (SELECT s FROM ca)) / (SELECT count(*) FROM b)), 4) AS sub,
+          round((SELECT count(*) FROM a WHERE v IN (SELECT v FROM b)) / (SELECT count(*) FROM a), 4) AS ov)"""
 
 
 @query(
     "substring_rate",
-    _SAMPLES.format(a="CAST(c_custkey AS VARCHAR)", ta="customer", ka="c_custkey", b="s_name", tb="supplier", kb="s_suppkey") + " SELECT sub AS substring_match_rate FROM s",
+    _CONTAINED.format(a="CAST(c_custkey AS VARCHAR)", ta="customer", b="s_name", tb="supplier") + " SELECT sub AS substring_match_rate FROM s",
 )
 def substring_rate(t):
-    a = profile.column_samples(t.customer, ["c_custkey"], 100, ["c_custkey"]).select(F.col("sample").alias("a"), F.lit(1).alias("k"))
-    b = profile.column_samples(t.supplier, ["s_name"], 100, ["s_suppkey"]).select(F.col("sample").alias("b"), F.lit(1).alias("k"))
-    return a.join(b, "k").select(discovery.substring_rate(F.col("a"), F.col("b")).alias("substring_match_rate"))
+    tables = discovery.Tables({"customer": t.customer.select("c_custkey"), "supplier": t.supplier.select("s_name")})
+    return discovery.with_content(tables, discovery.column_pairs(tables)).select("substring_match_rate")
 
 
 @query(
     "content_evidence",
-    _SAMPLES.format(a="CAST(o_custkey AS VARCHAR)", ta="orders", ka="o_orderkey", b="CAST(c_custkey AS VARCHAR)", tb="customer", kb="c_custkey")
+    _CONTAINED.format(a="CAST(o_custkey AS VARCHAR)", ta="orders", b="CAST(c_custkey AS VARCHAR)", tb="customer")
     + " SELECT false AS format_match, ov AS overlap_rate, sub AS substring_match_rate, round(greatest(0.6 * ov + 0.4 * sub, 0.8 * sub), 4) AS content_score,"
     " round(greatest(0.6 * ov + 0.4 * sub, 0.8 * sub), 4) >= 0.5 AS promoted FROM s",
 )
 def content_evidence(t):
-    a = t.orders.select("o_orderkey", "o_custkey")
-    tables = discovery.Tables({"orders": a, "customer": t.customer.select("c_custkey")}, order_by={"orders": ["o_orderkey"], "customer": ["c_custkey"]})
-    pairs = discovery.column_pairs(tables).where("column_a = 'o_custkey'")
-    return discovery.with_content(pairs, discovery.sample_table(tables)).select(
+    tables = discovery.Tables({"orders": t.orders.select("o_custkey"), "customer": t.customer.select("c_custkey")})
+    return discovery.with_content(tables, discovery.column_pairs(tables)).select(
         "format_match", "overlap_rate", "substring_match_rate", "content_score", "promoted"
     )
 

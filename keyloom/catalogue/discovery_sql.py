@@ -90,20 +90,18 @@ def _form(text: str, family: str) -> str:
     return text if family in ("int64", "float64") else f"regexp_replace(upper(trim({text})), '[.\\-/\\s]', '', 'g')"
 
 
-def _values(tables: list[str], numbered: bool) -> str:
-    """Long form (t, c, [r,] v, f): value text and match form, of all rows or of the first 200 in order."""
+def _values(tables: list[str]) -> str:
+    """Long form (t, c, v, f): value text and match form of all rows."""
     parts = []
     for t in tables:
-        order = ", ".join(dict.fromkeys([*KEYS[t], *COLUMNS[t]]))
-        source = f"(SELECT *, row_number() OVER (ORDER BY {order}) AS r FROM {t} ORDER BY {order} LIMIT 200)" if numbered else t
         for c, family in COLUMNS[t].items():
             text = _text(c, family)
-            parts.append(f"SELECT '{t}' AS t, '{c}' AS c, {'r, ' if numbered else ''}{text} AS v, {_form(text, family)} AS f FROM {source}")
+            parts.append(f"SELECT '{t}' AS t, '{c}' AS c, {text} AS v, {_form(text, family)} AS f FROM {t}")
     return " UNION ALL ".join(parts)
 
 
-def _best_pattern(condition: str) -> str:
-    shares = {p: f"avg(CASE WHEN regexp_matches(v, '{rx}') THEN 1.0 ELSE 0.0 END) FILTER ({condition})" for p, rx in BUILTIN_PATTERNS.items()}
+def _best_pattern() -> str:
+    shares = {p: f"avg(CASE WHEN regexp_matches(v, '{rx}') THEN 1.0 ELSE 0.0 END)" for p, rx in BUILTIN_PATTERNS.items()}
     top = f"greatest({', '.join(shares.values())})"
     cases = " ".join(f"WHEN {s} = {top} THEN '{p}'" for p, s in shares.items())
     return f"CASE WHEN {top} > 0.5 THEN CASE {cases} END END"
@@ -112,29 +110,27 @@ def _best_pattern(condition: str) -> str:
 def evidence_ctes(tables: list[str]) -> str:
     """CTEs up to ``pairs``: every column pair with name, content and overlap signals."""
     return f"""{names_cte(tables)}, {AFFINITY_CTE},
-    first AS ({_values(tables, True)}), few AS (SELECT * FROM first WHERE r <= 100),
-    pat AS (SELECT t, c, {_best_pattern('r <= 200')} AS pattern, {_best_pattern('r <= 100')} AS fmt FROM first GROUP BY 1, 2),
-    everything AS ({_values(tables, False)}),
+    everything AS ({_values(tables)}),
+    pat AS (SELECT t, c, {_best_pattern()} AS pattern FROM everything GROUP BY 1, 2),
     facts AS (SELECT t, c, count(*) AS n, count(DISTINCT v) AS raw, count(DISTINCT f) AS forms FROM everything GROUP BY 1, 2),
     forms AS (SELECT DISTINCT t, c, f FROM everything),
     shared AS (SELECT a.t AS table_a, a.c AS column_a, b.t AS table_b, b.c AS column_b, count(*) AS n FROM forms a JOIN forms b ON a.f = b.f AND a.t <> b.t GROUP BY ALL),
-    few_forms AS (SELECT DISTINCT t, c, f FROM few),
-    few_counts AS (SELECT t, c, count(*) AS n FROM few_forms GROUP BY 1, 2),
-    few_shared AS (SELECT a.t AS table_a, a.c AS column_a, b.t AS table_b, b.c AS column_b, count(*) AS n FROM few_forms a JOIN few_forms b ON a.f = b.f AND a.t <> b.t GROUP BY ALL),
-    few_values AS (SELECT DISTINCT t, c, v FROM few),
-    inside AS (SELECT it, ic, ot, oc, count(*) FILTER (hit) / count(*) AS share FROM
-        (SELECT i.t AS it, i.c AS ic, o.t AS ot, o.c AS oc, i.r, bool_or(contains(o.v, i.v)) AS hit FROM few i JOIN few_values o ON i.t <> o.t GROUP BY ALL) GROUP BY ALL),
-    signals AS (SELECT m.*, pa.pattern AS pattern_a, pa.fmt AS format_a, pb.fmt AS format_b, coalesce(pa.fmt = pb.fmt, false) AS format_match,
-        round(coalesce(fs.n, 0) / fc.n, 4) AS overlap_rate, round(greatest(ab.share, ba.share), 4) AS substring_match_rate,
+    vals AS (SELECT DISTINCT t, c, v FROM everything),
+    val_counts AS (SELECT t, c, count(*) AS n FROM vals GROUP BY 1, 2),
+    lens AS (SELECT DISTINCT length(v) AS l FROM vals),
+    cuts AS (SELECT DISTINCT t, c, substr(v, i, l) AS s FROM (SELECT t, c, v, l, unnest(range(1, length(v) - l + 2)) AS i FROM vals, lens WHERE l <= length(v))),
+    inside AS (SELECT it, ic, ot, oc, x.n / k.n AS share FROM
+        (SELECT i.t AS it, i.c AS ic, o.t AS ot, o.c AS oc, count(*) AS n FROM vals i JOIN cuts o ON i.v = o.s AND i.t <> o.t GROUP BY ALL) x
+        JOIN val_counts k ON k.t = it AND k.c = ic),
+    signals AS (SELECT m.*, pa.pattern AS pattern_a, pa.pattern AS format_a, pb.pattern AS format_b, coalesce(pa.pattern = pb.pattern, false) AS format_match,
+        round(coalesce(s.n, 0) / fa.forms, 4) AS overlap_rate, round(greatest(coalesce(ab.share, 0), coalesce(ba.share, 0)), 4) AS substring_match_rate,
         fa.forms AS unique_a, fb.forms AS unique_b, coalesce(s.n, 0) AS intersection, coalesce(s.n, 0) / fa.forms AS match_rate_a_in_b, coalesce(s.n, 0) / fb.forms AS match_rate_b_in_a,
         greatest(fa.raw / fa.n, fb.raw / fb.n) AS uniqueness
       FROM names m JOIN pat pa ON m.table_a = pa.t AND m.column_a = pa.c JOIN pat pb ON m.table_b = pb.t AND m.column_b = pb.c
       JOIN facts fa ON m.table_a = fa.t AND m.column_a = fa.c JOIN facts fb ON m.table_b = fb.t AND m.column_b = fb.c
-      JOIN few_counts fc ON m.table_a = fc.t AND m.column_a = fc.c
       LEFT JOIN shared s USING (table_a, column_a, table_b, column_b)
-      LEFT JOIN few_shared fs ON fs.table_a = m.table_a AND fs.column_a = m.column_a AND fs.table_b = m.table_b AND fs.column_b = m.column_b
-      JOIN inside ab ON ab.it = m.table_a AND ab.ic = m.column_a AND ab.ot = m.table_b AND ab.oc = m.column_b
-      JOIN inside ba ON ba.it = m.table_b AND ba.ic = m.column_b AND ba.ot = m.table_a AND ba.oc = m.column_a),
+      LEFT JOIN inside ab ON ab.it = m.table_a AND ab.ic = m.column_a AND ab.ot = m.table_b AND ab.oc = m.column_b
+      LEFT JOIN inside ba ON ba.it = m.table_b AND ba.ic = m.column_b AND ba.ot = m.table_a AND ba.oc = m.column_a),
     pairs AS (SELECT *, round(CASE WHEN format_match THEN greatest(overlap_rate, substring_match_rate)
         ELSE greatest(0.6 * overlap_rate + 0.4 * substring_match_rate, 0.8 * substring_match_rate) END, 4) AS content FROM signals)"""
 

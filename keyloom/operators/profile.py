@@ -20,8 +20,6 @@ from keyloom.session import settled, small_table
 _NESTED = (T.StructType, T.ArrayType, T.MapType, T.BinaryType)
 
 # Sample sizes and thresholds of the profiles.
-PATTERN_SAMPLE = 200
-CONTENT_SAMPLE = 100
 SHOWN_SAMPLE = 5
 PATTERN_MAJORITY = 0.5
 NULL_SHARE_LIMIT = 0.20
@@ -229,12 +227,40 @@ def pattern_facts(sample: Column, patterns: Mapping[str, str] = BUILTIN_PATTERNS
     }
 
 
+def pattern_counts(df: DataFrame, columns: Sequence[str], patterns: Mapping[str, str] = BUILTIN_PATTERNS) -> DataFrame:
+    """Pattern facts over all non-null values of each column: one aggregate, one scan.
+
+    The columns are those of :func:`pattern_facts`, without ``sample_values``.
+    """
+    facts = []
+    for name in columns:
+        text = plain_text(F.col(f"`{name}`"), df.schema[name].dataType)
+        hits = F.array(*[F.count_if(F.rlike(text, F.lit(p))) for p in patterns.values()])
+        facts.append(F.struct(F.lit(name).alias("column_name"), F.count(text).alias("n"), F.sum(F.length(text)).alias("total"), hits.alias("hits")))
+    rows = df.agg(F.array(*facts).alias("f")).select(F.explode("f").alias("f")).select("f.*")
+    names = F.array(*[F.lit(p) for p in patterns])
+    shares = F.transform("hits", lambda h: F.when(F.col("n") > 0, h / F.col("n")).otherwise(0.0))
+    rows = rows.withColumn("shares", shares).withColumn("best_score", F.array_max("shares"))
+    # the first pattern in order wins a tie
+    best = F.element_at(names, F.array_position("shares", F.col("best_score")).cast("int"))
+    return rows.select(
+        "column_name",
+        F.map_from_arrays(names, F.col("shares")).alias("pattern_scores"),
+        F.when(F.col("best_score") > PATTERN_MAJORITY, best).alias("best_pattern"),
+        "best_score",
+        F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("avg_length"),
+    )
+
+
 def pattern_profile(
     df: DataFrame, columns: Sequence[str] | None = None, patterns: Mapping[str, str] = BUILTIN_PATTERNS,
-    sample_size: int = PATTERN_SAMPLE, order_by: Sequence[str] = (),
+    sample_size: int | None = None, order_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Which value pattern the first non-null values of each column follow."""
+    """Which value pattern the non-null values of each column follow; all of them, or the first ``sample_size``."""
     chosen = list(columns) if columns is not None else [f.name for f in plain_columns(df)]
+    if sample_size is None:
+        shown = column_samples(df, chosen, SHOWN_SAMPLE, order_by).withColumnRenamed("sample", "sample_values")
+        return pattern_counts(df, chosen, patterns).join(shown, "column_name")
     samples = column_samples(df, chosen, sample_size, order_by)
     facts = pattern_facts(F.col("sample"), patterns)
     return samples.select("column_name", *[c.alias(k) for k, c in facts.items()])

@@ -3,16 +3,16 @@
 The work is laid out so that data-sized steps are few:
 
 1. names, types and vocabulary are compared on a table of column pairs (schema-sized);
-2. pairs the names do not settle are compared on bounded samples of their values;
-3. only columns that are still in play enter the value index: one shuffle turns every
-   value into the bit set of columns holding it, a second grouping counts equal bit sets,
-   and pairs are read off those few sets.  Values are never paired with each other.
+2. pairs the names do not settle are compared by all their values: patterns and lengths from
+   one aggregate per table, overlap and containment from the value index;
+3. the value index: one shuffle turns every value into the bit set of columns holding it, a
+   second grouping counts equal bit sets, and pairs are read off those few sets.  Values are
+   never paired with each other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import combinations
@@ -24,12 +24,9 @@ from keyloom.functions import similarity as sim
 from keyloom.functions.strings import is_numeric, normalize_text, plain_text
 from keyloom.functions.vocabulary import Vocabulary
 from keyloom.operators.profile import (
-    CONTENT_SAMPLE,
-    PATTERN_SAMPLE,
     column_profile,
-    pattern_facts,
+    pattern_counts,
     plain_columns,
-    table_samples,
 )
 from keyloom.operators.relational import top, top_per_group
 from keyloom.session import settled, small_table
@@ -48,7 +45,7 @@ _BITS = 60
 
 @dataclass
 class Tables:
-    """Tables taking part, with the sample order of each and columns to leave out."""
+    """Tables taking part, with the order of each and columns to leave out."""
 
     frames: Mapping[str, DataFrame]
     order_by: Mapping[str, Sequence[str]] = field(default_factory=dict)
@@ -164,10 +161,10 @@ def match_form_sets(sets: DataFrame, words: int) -> DataFrame:
     return sets.groupBy(form.alias("value")).agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(words)])
 
 
-def _set_members(words: int) -> Column:
+def _set_members(words: int, prefix: str = "w") -> Column:
     """Bit numbers present in the words of a row."""
     def members(word: int) -> Column:
-        bits = F.col(f"w{word}")
+        bits = F.col(f"{prefix}{word}")
         present = F.filter(F.sequence(F.lit(0), F.lit(_BITS - 1)), lambda i: F.call_function("bit_get", bits, i) == 1)
         return F.transform(present, lambda i: i + word * _BITS)
 
@@ -248,36 +245,37 @@ def overlap_matrix(tables: Tables, normalize: bool = True, samples: int = 5) ->
 # -- content evidence -------------------------------------------------------------------------
 
 
-def sample_table(tables: Tables, cids: Sequence[int] | None = None) -> DataFrame:
-    """Per column: pattern facts of the first 200 values, and the first 100 for comparing."""
-    chosen = set(range(len(tables.columns))) if cids is None else set(cids)
-    mine = [(cid, t, f.name, is_numeric(f.dataType)) for cid, t, _, f in tables.columns if cid in chosen]
-    columns = {t: [name for _, u, name, _ in mine if u == t] for t in tables.frames}
-    listed = small_table(tables.spark, mine, "cid int, table_name string, column_name string, number boolean")
-    rows = table_samples(tables.frames, columns, PATTERN_SAMPLE, tables.order_by).join(listed, ["table_name", "column_name"])
-    patterns = dict(tables.vocabulary.patterns)
-    wide = pattern_facts(F.col("sample"), patterns)
-    few = F.slice("sample", 1, CONTENT_SAMPLE)
-    narrow = pattern_facts(F.col("few"), patterns)
-    norm = lambda v: F.when(F.col("number"), F.trim(v)).otherwise(normalize_text(v))
-    return rows.withColumn("few", few).select(
-        "cid",
-        wide["best_pattern"].alias("pattern"),
-        wide["avg_length"].alias("avg_length"),
-        narrow["best_pattern"].alias("format"),
-        "few",
-        F.array_distinct(F.transform("few", norm)).alias("forms"),
-    )
+def column_patterns(tables: Tables) -> DataFrame:
+    """``(cid, pattern, avg_length)`` over all values: one aggregate per table."""
+    listed = small_table(tables.spark, [(cid, t, f.name) for cid, t, _, f in tables.columns], "cid int, t string, column_name string")
+    parts = []
+    for t, df in tables.frames.items():
+        mine = [f.name for _, u, _, f in tables.columns if u == t]
+        if mine:
+            parts.append(pattern_counts(df, mine, dict(tables.vocabulary.patterns)).withColumn("t", F.lit(t)))
+    found = reduce(DataFrame.unionAll, parts).join(listed, ["t", "column_name"])
+    return found.select("cid", F.col("best_pattern").alias("pattern"), "avg_length")
 
 
-def substring_rate(a: Column, b: Column) -> Column:
-    """Greater share, of the two directions, of sample values contained in a value of the other."""
-    def share(inner: Column, outer: Column) -> Column:
-        held = F.array_distinct(outer)
-        return F.size(F.filter(inner, lambda v: F.exists(held, lambda w: F.contains(w, v)))) / F.size(inner)
+def inside_counts(sets: DataFrame, words: int, cids: Sequence[int]) -> DataFrame:
+    """``(inner, outer, held)``: how many distinct values of one column lie in some value of another.
 
-    filled = (F.size(a) > 0) & (F.size(b) > 0)
-    return F.when(filled, F.round(F.greatest(share(a, b), share(b, a)), 4)).otherwise(0.0)
+    Values give their substrings of the lengths that occur, with the columns they come from;
+    a grouping unites those, and an equi join finds the values among them.  Values are never
+    compared one with another.
+    """
+    keys = [f"w{w}" for w in range(words)]
+    texts = sets.groupBy("value").agg(*[F.bit_or(k).alias(k) for k in keys])
+    lengths = [r["n"] for r in texts.select(F.length("value").alias("n")).distinct().collect()]  # as many as the longest value's length
+    cuts = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: n <= F.length("value"))
+    spots = lambda n: F.transform(F.sequence(F.lit(1), F.length("value") - n + 1), lambda i: F.substring(F.col("value"), i, n))
+    parts = F.array_distinct(F.flatten(F.transform(cuts, spots)))
+    pieces = texts.select(F.explode(parts).alias("value"), *keys).groupBy("value").agg(*[F.bit_or(k).alias(f"o{k}") for k in keys])
+    sides = texts.join(pieces, "value").groupBy(*keys, *[f"o{k}" for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+    both = sides.select(_set_members(words).alias("inner"), _set_members(words, "ow").alias("outer"), "n")
+    ids = F.array(*[F.lit(c) for c in cids])
+    spread = both.select(F.explode("inner").alias("i"), "outer", "n").select("i", F.explode("outer").alias("o"), "n").where("i <> o")
+    return spread.groupBy(F.get(ids, F.col("i")).alias("inner"), F.get(ids, F.col("o")).alias("outer")).agg(F.sum("n").alias("held"))
 
 
 def content_score(format_match: Column, overlap_rate: Column, substring: Column) -> Column:
@@ -289,19 +287,29 @@ def content_score(format_match: Column, overlap_rate: Column, substring: Column)
     return F.round(F.when(format_match, F.greatest(overlap_rate, substring)).otherwise(mixed), 4)
 
 
-def with_content(pairs: DataFrame, samples: DataFrame) -> DataFrame:
-    """Add format, sampled overlap, substring rate and content score to column pairs."""
-    side = lambda s: samples.select(*[F.col(c).alias(f"{c}_{s}") for c in ("cid", "format", "few", "forms")])
-    joined = pairs.join(side("a"), "cid_a").join(side("b"), "cid_b")
-    shared = F.size(F.array_intersect("forms_a", "forms_b"))
-    rate = F.when(F.size("forms_a") > 0, F.round(shared / F.size("forms_a"), 4)).otherwise(0.0)
+def with_content(tables: Tables, pairs: DataFrame) -> DataFrame:
+    """Add format, overlap, substring rate and content score, over all values, to column pairs."""
+    cids = [c for c, *_ in tables.columns]
+    sets, words = value_sets(tables, cids)
+    sets = settled(sets, "values")
+    patterns = column_patterns(tables)
+    side = lambda s: patterns.select(F.col("cid").alias(f"cid_{s}"), F.col("pattern").alias(f"format_{s}"))
+    matched = _pair_counts(set_counts(match_form_sets(sets, words), words), cids)
+    joined = _attach_overlap(pairs.join(side("a"), "cid_a").join(side("b"), "cid_b"), matched)
+    held = inside_counts(sets, words, cids)
+    own = _pair_counts(set_counts(sets.groupBy("value").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(words)]), words), cids)
+    own = own.where("left = right").select(F.col("left").alias("inner"), F.col("shared").alias("values"))
+    share = settled(held.join(own, "inner").select("inner", "outer", (F.col("held") / F.col("values")).alias("share")), "inside")
+    for x, y in ("ab", "ba"):
+        joined = joined.join(share.select(F.col("inner").alias(f"cid_{x}"), F.col("outer").alias(f"cid_{y}"), F.col("share").alias(f"share_{x}")), ["cid_a", "cid_b"], "left")
+    rate = F.round(F.greatest(F.coalesce("share_a", F.lit(0.0)), F.coalesce("share_b", F.lit(0.0))), 4)
     return (
         joined.withColumn("format_match", F.coalesce(F.col("format_a") == F.col("format_b"), F.lit(False)))
-        .withColumn("overlap_rate", rate)
-        .withColumn("substring_match_rate", substring_rate(F.col("few_a"), F.col("few_b")))
+        .withColumn("overlap_rate", F.round("match_rate_a_in_b", 4))
+        .withColumn("substring_match_rate", rate)
         .withColumn("content_score", content_score(F.col("format_match"), F.col("overlap_rate"), F.col("substring_match_rate")))
         .withColumn("promoted", F.col("content_score") >= PROMOTION_THRESHOLD)
-        .drop("few_a", "few_b", "forms_a", "forms_b")
+        .drop("share_a", "share_b", "unique_a", "unique_b", "intersection", "match_rate_a_in_b", "match_rate_b_in_a")
     )
 
 
@@ -311,7 +319,7 @@ def compare_columns(tables: Tables, column_a: str, column_b: str) -> DataFrame:
     cid = {(t, f.name): c for c, t, _, f in tables.columns}
     ids = [cid[table_a, column_a], cid[table_b, column_b]]
     pair = column_pairs(tables).where((F.col("cid_a") == ids[0]) & (F.col("cid_b") == ids[1]))
-    seen = with_content(pair, sample_table(tables, ids))
+    seen = with_content(tables, pair)
     return overlap(tables, seen, ids, samples=5).drop("cid_a", "cid_b")
 
 
@@ -437,13 +445,10 @@ def candidates(
             pairs = pairs.where(F.col("kept") | either)
         by_name = by_name & F.col("kept")
     pairs = pairs.withColumn("discovery_method", F.when(by_name, "semantic").otherwise("content"))
-    # two independent, schema-sized jobs
-    with ThreadPoolExecutor(2) as pool:
-        waiting = pool.submit(settled, pairs)
-        samples = sample_table(tables)
-        pairs = waiting.result()
+    pairs = settled(pairs)
+    patterns = settled(column_patterns(tables), "patterns")
     named = pairs.where("discovery_method = 'semantic'")
-    promoted = settled(with_content(pairs.where("discovery_method = 'content'"), samples).where("promoted"))
+    promoted = settled(with_content(tables, pairs.where("discovery_method = 'content'")).where("promoted"))
 
     in_play = named.select("cid_a", "cid_b").unionAll(promoted.select("cid_a", "cid_b"))
     in_play = in_play.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).distinct()
@@ -467,7 +472,7 @@ def candidates(
     merged = full.unionByName(sampled, allowMissingColumns=True)
     for s in "ab":
         merged = merged.join(
-            samples.select(F.col("cid").alias(f"cid_{s}"), F.col("pattern").alias(f"pattern_{s}"), F.col("avg_length").alias(f"avg_length_{s}")),
+            patterns.select(F.col("cid").alias(f"cid_{s}"), F.col("pattern").alias(f"pattern_{s}"), F.col("avg_length").alias(f"avg_length_{s}")),
             f"cid_{s}",
         ).join(
             facts.select(F.col("cid").alias(f"cid_{s}"), F.col("null_rate").alias(f"null_rate_{s}"), F.col("uniqueness").alias(f"uniqueness_{s}")),

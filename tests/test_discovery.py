@@ -13,7 +13,7 @@ def text(rows):
 
 def evidence(text, a, b):
     tables = discovery.two_tables("a", text("x", a), "b", text("y", b))
-    return discovery.with_content(discovery.column_pairs(tables), discovery.sample_table(tables)).head()
+    return discovery.with_content(tables, discovery.column_pairs(tables)).head()
 
 
 def test_same_format_is_promoted(text):
@@ -225,3 +225,31 @@ def test_derived_key_and_panel(rows):
     plans = rows([(1, "p"), (1, "q"), (1, "q")], "num int, plano string")
     panel = models.execution_panel(facts, plans, {"num": "num"}, {"ug": "ug"}, "num", F.col("valor"), "plano")
     assert sorted((tuple(r) for r in panel.collect()), key=str) == [("A", 2, 35, 2), (None, 1, 7, 0)]
+
+
+@pytest.mark.parametrize("n", [100, 10_000])
+def test_growth_and_order_do_not_lose_a_key(spark, n):
+    """The same keys, one table sorted the other way."""
+    a = spark.range(n).select(F.format_string("%06d", F.col("id")).alias("chave_x"))
+    b = spark.range(n).select(F.format_string("%06d", n - 1 - F.col("id")).alias("id_y"))
+    best = discovery.candidates(discovery.two_tables("a", a, "b", b)).head()
+    assert (best["column_a"], best["column_b"], best["match_rate"]) == ("chave_x", "id_y", 1.0)
+
+
+def test_types_do_not_hide_a_key_in_either_order(spark):
+    words = spark.range(60).select(F.col("id").cast("string").alias("kkkk"), F.lit("z").alias("uuuu"))
+    numbers = spark.range(60).select(F.col("id").alias("qqqq"), F.lit("y").alias("wwww"))
+    for first, second in ((words, numbers), (numbers, words)):
+        best = discovery.map_tables(discovery.two_tables("a", first, "b", second)).where("rank = 1").head()
+        assert best is not None and {best["column_a"], best["column_b"]} == {"kkkk", "qqqq"}
+
+
+def test_inside_counts_against_brute_force(rows):
+    data = {"x": ["ab", "b", "abc", ""], "y": ["zabz", "abc", "q"], "z": ["a", "zz", "éb"]}
+    frames = {k: rows([(v,) for v in vs], f"{k} string") for k, vs in data.items()}
+    tables = discovery.Tables(frames)
+    cids = [c for c, *_ in tables.columns]
+    sets, words = discovery.value_sets(tables, cids)
+    got = {(tables.columns[r["inner"]][1], tables.columns[r["outer"]][1]): r["held"] for r in discovery.inside_counts(sets, words, cids).collect()}
+    want = {(i, o): sum(any(v in w for w in data[o]) for v in set(data[i])) for i in data for o in data if i != o}
+    assert got == {k: n for k, n in want.items() if n}
