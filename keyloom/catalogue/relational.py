@@ -39,7 +39,7 @@ def blank_to_null(t):
     "SELECT c_custkey, TRY_CAST(c_mktsegment AS BIGINT) AS c_mktsegment, TRY_CAST(substr(c_name, 10) AS BIGINT) AS c_name FROM customer",
 )
 def typed_projection(t):
-    df = t.customer.select("c_custkey", "c_mktsegment", F.substring("c_name", 10, 100).alias("c_name"))
+    df = t.customer.select("c_custkey", "c_mktsegment", F.expr("substr(c_name, 10)").alias("c_name"))
     return projection.cast_columns(df, {"c_mktsegment": "bigint", "c_name": "bigint"})
 
 

@@ -28,7 +28,7 @@ def name_forms(t):
         names.name_form_col(url, "staged").alias("staged"),
         names.name_form_col(url, "match").alias("matched"),
         names.name_form_col(url, "coverage").alias("coverage"),
-        names.name_form_col(F.substring(url, 12, 10000), "slug").alias("slug"),
+        names.name_form_col(F.substr(url, F.lit(12)), "slug").alias("slug"),
     )
 
 

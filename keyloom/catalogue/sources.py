@@ -20,7 +20,7 @@ _DAY = date(2024, 1, 31)
 
 def _landed_csv(t, header=True, **options):
     path = scratch_dir(t.spark, "csv")
-    t.customer.select("c_custkey", F.substring("c_name", 10, 9).alias("code"), "c_mktsegment", "c_nationkey").write.csv(
+    t.customer.select("c_custkey", F.expr("substr(c_name, 10)").alias("code"), "c_mktsegment", "c_nationkey").write.csv(
         path, sep=";", header=header, **options
     )
     return path
@@ -44,7 +44,7 @@ def delimited_text(t):
 def delimited_preamble(t):
     """Every file starts with two comment lines and a header line."""
     path = scratch_dir(t.spark, "preamble")
-    cells = F.concat_ws(";", F.col("c_custkey").cast("string"), F.substring("c_name", 10, 9), "c_mktsegment", F.col("c_nationkey").cast("string"))
+    cells = F.concat_ws(";", F.col("c_custkey").cast("string"), F.expr("substr(c_name, 10)"), "c_mktsegment", F.col("c_nationkey").cast("string"))
     top = ["# extract", "# two lines", "c_custkey;code;c_mktsegment;c_nationkey"]
     # one file per 100,000 customers: its preamble, then its rows
     part = F.floor(F.col("c_custkey") / 100_000).alias("part")
