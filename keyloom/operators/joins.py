@@ -66,14 +66,21 @@ def match_rate(
     return out.where("rows_a > 0") if grouped else out
 
 
+GROUP_LITERALS = 1000
+
+
 def common_groups(a: DataFrame, by_a: Column, b: DataFrame, by_b: Column) -> tuple[DataFrame, DataFrame]:
     """Both tables restricted to the groups (fiscal years) they share.
 
-    The group lists are distinct first, so each semi join meets one row per group.
+    Years are few: up to ``GROUP_LITERALS`` shared groups become literals, which filter and prune
+    the scans without moving a row.  More are a semi join with the distinct list.
     """
     in_a = a.select(by_a.alias("__by")).distinct()
     in_b = b.select(by_b.alias("__by")).distinct()
     shared = in_a.join(in_b, "__by", "left_semi")
+    few = [r[0] for r in shared.limit(GROUP_LITERALS + 1).collect()]
+    if len(few) <= GROUP_LITERALS:
+        return a.where(by_a.isin(few)), b.where(by_b.isin(few))
     keep = lambda df, c: df.withColumn("__by", c).join(shared, "__by", "left_semi").drop("__by")
     return keep(a, by_a), keep(b, by_b)
 

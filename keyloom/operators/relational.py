@@ -247,10 +247,11 @@ def number_series(spark: SparkSession, upper: int) -> DataFrame:
     return spark.range(1, upper + 1).select(F.col("id").alias("generated_number"))
 
 
-_UNIT_STEP = {
-    "day": "1 day", "week": "7 days", "month": "1 month", "quarter": "3 months", "year": "1 year",
-    "hour": "1 hour", "minute": "1 minute", "second": "1 second",
+_UNITS = {
+    "day": ("DAY", 1), "week": ("DAY", 7), "month": ("MONTH", 1), "quarter": ("MONTH", 3), "year": ("MONTH", 12),
+    "hour": ("HOUR", 1), "minute": ("MINUTE", 1), "second": ("SECOND", 1),
 }
+_SPINE_SHARE = 1 << 12
 
 
 def date_spine(bounds: DataFrame, part: str, start: str = "start", end: str = "end", out_type: str = "timestamp_ntz") -> DataFrame:
@@ -259,11 +260,16 @@ def date_spine(bounds: DataFrame, part: str, start: str = "start", end: str = "e
     ``bounds`` is a one-row table, often an aggregate over data.  An end that does not lie
     after its start is an error.  Column ``date_<part>``.
     """
-    step = F.expr(f"interval {_UNIT_STEP[part]}")
+    unit, per_step = _UNITS[part]
     lo, hi = F.col(start).cast(out_type), F.col(end).cast(out_type)
     checked = bounds.select(
         F.when(lo < hi, lo).otherwise(F.raise_error(F.lit("end of the spine must lie after its start")).cast(out_type)).alias("lo"),
         hi.alias("hi"),
     )
-    points = checked.select(F.explode(F.sequence("lo", "hi", step)).alias(f"date_{part}"), "hi")
+    # shares of the spine first, dealt out, then their points: no array holds it whole
+    last = F.timestamp_diff(unit, F.col("lo").cast("timestamp"), F.col("hi").cast("timestamp")) / per_step
+    shares = checked.withColumn("last", F.floor(last).cast("bigint"))
+    shares = shares.select("lo", "hi", "last", F.explode(F.expr(f"sequence(0L, last DIV {_SPINE_SHARE})")).alias("share")).repartition("share")
+    steps = shares.select("lo", "hi", F.explode(F.expr(f"sequence(share * {_SPINE_SHARE}, least(last, share * {_SPINE_SHARE} + {_SPINE_SHARE - 1}))")).alias("i"))
+    points = steps.select(F.timestamp_add(unit, (F.col("i") * per_step).cast("int"), F.col("lo").cast("timestamp")).cast(out_type).alias(f"date_{part}"), "hi")
     return points.where(F.col(f"date_{part}") < F.col("hi")).select(f"date_{part}")
