@@ -48,6 +48,7 @@ SKETCH_CHUNK = 1 << 13
 #: Bits of the map of shingles seen twice, and bits of it in one part while it is made.
 MAP_BITS = 1 << 28
 MAP_PART = 1 << 20
+MAP_HELD = 1 << 22
 FILTER_BITS = 1 << 24
 TREE = 512
 FOLD = byte_table()
@@ -122,31 +123,34 @@ def scan(rows: DataFrame, words: int) -> DataFrame:
         empty = [pa.nulls(1, t) for t in (id_type, pa.int32(), pa.int64(), pa.binary())]
         return pa.RecordBatch.from_arrays([*empty, pa.array([kind], pa.int32()), pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=names)
 
-    def map_rows(held: list[np.ndarray]):
-        places = np.sort(np.concatenate(held))
+    def map_rows(places: np.ndarray):
+        places = np.sort(places)
         cuts = np.searchsorted(places, np.arange(0, MAP_BITS + 1, MAP_PART))
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             yield part_row(1, k, gaps_of(places[cuts[k] : cuts[k + 1]] - np.uint32(k * MAP_PART)))
 
     def run(batches):
         sketch = np.zeros(SKETCH, np.uint32)
-        held: list[np.ndarray] = []
+        held, used = np.empty(MAP_HELD, np.uint32), 0
         for batch in batches:
             n, fp, proof = [], [], []
             for _, s in shingle_sets(batch.column(1), words):
                 n.append(len(s))
                 fp.append(fingerprint(s))
                 proof.append(xxhash.xxh3_128_digest(s.tobytes()))
-                held.append(map_places(s))
+                if used + len(s) > len(held):
+                    yield from map_rows(held[:used])
+                    used = 0
+                if len(s) > len(held):
+                    yield from map_rows(map_places(s))
+                else:
+                    held[used : used + len(s)] = map_places(s)
+                    used += len(s)
                 np.add.at(sketch, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
             m = batch.num_rows
             nothing = [pa.nulls(m, t) for t in (pa.int32(), pa.int32(), pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(proof, pa.binary()), *nothing], names=names)
-            if sum(map(len, held)) > 8_000_000:
-                yield from map_rows(held)
-                held = []
-        if held:
-            yield from map_rows(held)
+        yield from map_rows(held[:used])
         for k, part in enumerate(sketch.reshape(-1, SKETCH_CHUNK)):
             if part.any():
                 yield part_row(0, k, part.tobytes())

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 WHITE = b" \t\n\x0b\x0c\r"
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD1342543DE82EF95)
