@@ -134,20 +134,29 @@ def level_rows(column: pa.Array, size: int, length: int, gram: int):
 
 
 def level(rows: DataFrame, size: int, length: int, gram: int, open_names: bytes | None, bits: int) -> DataFrame:
-    """(core, hull, key, id, low, n) of all blocks of a level; below the first, of open ones only."""
+    """(core, hull, key, id, low, n) of all blocks of a level; below the first, parts of open ones only.
+
+    An open block occurs once.  A settled one goes on as a partner, and is enough once a task.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(open_names) if open_names is not None else None
     id_field = rows.schema["id"]
     names = ["core", "hull", "key", "id", "low", "n"]
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             for owner, core, hull, low, n, parent, grand in level_rows(batch.column(2), size, length, gram):
                 if shared is not None:
                     ask = parent if size == FINE else grand
                     new = np.ones(len(ask), bool)
                     new[1:] = ask[1:] != ask[:-1]
-                    groups = np.cumsum(new) - 1
-                    keep = may_contain(shared.value, bits, ask[new])[groups]
+                    named = ask[new]
+                    take = may_contain(shared.value, bits, named)
+                    for g in np.flatnonzero(take).tolist():
+                        name = int(named[g])
+                        take[g] = name not in seen
+                        seen.add(name)
+                    keep = take[np.cumsum(new) - 1]
                     owner, core, hull, low, n = (x[keep] for x in (owner, core, hull, low, n))
                 for s in range(0, len(owner), 50_000):
                     cut = slice(s, s + 50_000)
