@@ -13,7 +13,8 @@
    overlap of a shared part is counted once, and a branch is left as soon as what remains of
    both sets can't reach the threshold.
 4. Components of the links.  Sets that share a shingle in different components are
-   then paired and verified too, under the same bounds; sets already connected need no
+   then paired and verified too, under the same bounds and one more: parity bits of both
+   sets differ in no more places than the sets do.  Sets already connected need no
    further link.  So no link between different components is lost, and groups of many near
    copies never become all their pairs.
 
@@ -51,6 +52,7 @@ MAP_PART = 1 << 20
 MAP_HELD = 1 << 22
 FILTER_BITS = 1 << 24
 TREE = 512
+PARITY_BITS = 512
 FOLD = byte_table()
 
 
@@ -425,6 +427,22 @@ def verified(pairs: DataFrame, sets: DataFrame, part: int, of: int, tree: int =
     return rows.mapInArrow(run, "a long, b long")
 
 
+def parities(sets: DataFrame) -> DataFrame:
+    """(fp, p0, p1, ...): for each of ``PARITY_BITS`` classes of shingles, whether a set has an odd number of them."""
+    names = ["fp", *[f"p{k}" for k in range(PARITY_BITS // 64)]]
+
+    def run(batches):
+        for batch in batches:
+            odd = np.zeros((batch.num_rows, PARITY_BITS), np.uint8)
+            for i, members in enumerate(batch.column(1)):
+                s = np.frombuffer(members.as_buffer(), np.uint64)
+                odd[i] = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+            words = np.packbits(odd, axis=1, bitorder="little").view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(words.shape[1])]], names=names)
+
+    return sets.select("fp", "members").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
 def connected(shared: DataFrame, sets_of, part: int, of: int) -> DataFrame:
     """(node, component) of all sets linked to others, from the rows of ``shared_shingles``.
 
@@ -439,10 +457,13 @@ def connected(shared: DataFrame, sets_of, part: int, of: int) -> DataFrame:
     placed = shared.join(found, shared["fp"] == found["node"], "left").select("shingle", "fp", "n", "at", F.coalesce("component", "fp").alias("component"))
     placed = settled(placed, "placed")
     split = placed.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("shingle")
-    across = settled(placed.join(split, "shingle", "left_semi"), "across")
-    a, b = (across.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("fp", "n", "at", "component")]) for side in "ab")
+    across = settled(placed.join(split, "shingle", "left_semi").join(parities(sets), "fp"), "across")
+    bits = [f"p{k}" for k in range(PARITY_BITS // 64)]
+    a, b = (across.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("fp", "n", "at", "component", *bits)]) for side in "ab")
     before = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("fp_a") < F.col("fp_b")))
     may = bounded(F.col("n_a"), F.col("n_b"), F.col("at_a"), F.col("at_b"), part, of)
+    differ = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in bits), F.lit(0))
+    may = may & (differ * (of + part) <= (F.col("n_a") + F.col("n_b")) * (of - part))
     pairs = a.join(b, (a["shingle"] == b["shingle"]) & (F.col("component_a") != F.col("component_b")) & before & may)
     pairs = pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = settled(verified(settled(pairs, "pairs"), sets, part, of), "links")
