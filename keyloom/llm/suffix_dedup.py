@@ -41,8 +41,9 @@ from keyloom.session import settled
 LENGTH = 200
 GRAM = 64
 FINE = 8
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 26
 SEGMENT = 1 << 20
+BLOCK = 1 << 17
 CORE = byte_table(fold_case=False, seed=2)
 HULL = byte_table(fold_case=False, seed=3)
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -68,8 +69,8 @@ def pieces(column: pa.Array, length: int):
     Short texts come together; a very long one comes in overlapping segments.
     """
     data, offsets = buffers(column)
-    for i, j, part, at in blocks(data, offsets, SEGMENT // 2):
-        if len(part) <= SEGMENT:
+    for i, j, part, at in blocks(data, offsets, BLOCK):
+        if len(part) <= SEGMENT:  # one longer than BLOCK is a single text
             if len(part) < length:
                 continue
             ok = np.zeros(len(part) + 1, np.int32)
