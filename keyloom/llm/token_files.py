@@ -24,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +73,10 @@ def unpack_values(control: np.ndarray, data: np.ndarray, lengths: np.ndarray) ->
 
 
 def encode_documents(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    """(id, n, ids): the ids of every text and the end id, as little-endian integers of the width given."""
+    """(id, n, ids, tie): the ids of every text and the end id, as little-endian integers of the width given.
+
+    ``tie`` is a hash of them, to order rows of one id.
+    """
     width = "<u2" if max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16 else "<u4"
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
@@ -81,9 +85,11 @@ def encode_documents(df: DataFrame, tokenizer: str, end_id: int, id_col: str, te
         for batch in batches:
             for part in row_batches(batch, 500):
                 ids = [np.append(x, np.uint32(end_id)).astype(width) for x in encode.encode_all(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int32()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["id", "n", "ids"])
+                raw = [x.tobytes() for x in ids]
+                tie = [xxhash.xxh3_64_intdigest(x) >> 1 for x in raw]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int32()), pa.array(raw, pa.binary()), pa.array(tie, pa.int64())], names=["id", "n", "ids", "tie"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("n", T.IntegerType()), T.StructField("ids", T.BinaryType())])), width
+    return rows.mapInArrow(run, T.StructType([rows.schema["id"], *T.StructType.fromDDL("n int, ids binary, tie long").fields])), width
 
 
 def frequency_ranks(tokens: DataFrame, width: str, size: int) -> np.ndarray:
@@ -120,17 +126,8 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int, id_
     of[ranks] = np.arange(len(ranks), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(of)  # one entry per id of the vocabulary
 
-    def pack(batches):
-        for batch in batches:
-            coded = [pack_values(shared.value[np.frombuffer(x.as_buffer(), width)]) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())], names=["id", "n", "control", "data"]
-            )
-
     id_field = tokens.schema["id"]
-    coded = tokens.mapInArrow(pack, T.StructType([id_field, T.StructField("n", T.IntegerType()), T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType())]))
-    tie = F.xxhash64("n", "control", "data")
-    ordered = coded.withColumn("tie", tie).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "data")
+    ordered = tokens.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "ids")
     names = ["part", "block", "start", "doc_ids", "lengths", "control_sizes", "control", "data"]
     schema = T.StructType(
         [
@@ -161,20 +158,21 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int, id_
         held = 0
         for batch in batches:
             id_type = batch.column(0).type
-            for i, n, control, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            for i, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if held and held + n > block_tokens:
                     yield row()
                     block, start, held = block + 1, start + held, 0
                     ids, lengths, controls, datas = [], [], [], []
                 ids.append(i)
                 lengths.append(n)
-                controls.append(control.as_py())
-                datas.append(data.as_py())
+                control, data = pack_values(shared.value[np.frombuffer(raw.as_buffer(), width)])
+                controls.append(control)
+                datas.append(data)
                 held += n
         if held:
             yield row()
 
-    blocks = ordered.select("id", "n", "control", "data").mapInArrow(assemble, schema)
+    blocks = ordered.select("id", "n", "ids").mapInArrow(assemble, schema)
     blocks.write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 

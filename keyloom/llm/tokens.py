@@ -22,7 +22,8 @@ _MARK = "!\"#$%&()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~"
 TWO_SPACES = re.compile(f"[{_SPACE}][{_SPACE}]")
 #: Letters of one word, then marks: a tokenizer of either kind never joins the two.
 WORD_AND_MARKS = re.compile(f"([{_LETTER}]+)([{_MARK}]*)")
-REMEMBERED = 400_000
+#: Entries of each generation of a lookup; the older of two goes when the newer is full.
+REMEMBERED = 350_000
 LONGEST = 48
 
 
@@ -44,29 +45,49 @@ class _Lookup:
         self.owner, self.lead = owner, lead
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+
+    def turn(self, coming: int) -> bool:
+        """Begin a new generation of pieces if so many more would not fit."""
+        if len(self.pieces) + coming <= REMEMBERED:
+            return False
+        self.old_pieces, self.pieces = self.pieces, {}
+        return True
 
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Add pieces that are not known; long ones are returned, not remembered."""
-        split, odd, new = {}, [], set()
+        known, words, marks = self.pieces, self.words, self.owner.marks
+        if self.old_pieces:
+            old = self.old_pieces
+            back = {p: old[p] for p in pieces if p in old}
+            known.update(back)
+            pieces = [p for p in pieces if p not in back]
+        if len(words) + len(pieces) > REMEMBERED:
+            self.old_words, self.words = words, {}
+            words = self.words
+        split, odd, new = [], [], set()
+        match = WORD_AND_MARKS.fullmatch
         for p in pieces:
-            m = WORD_AND_MARKS.fullmatch(p)
-            if m and len(p) <= LONGEST:
-                split[p] = m.groups()
-                if m[1] not in self.words:
-                    new.add(m[1])
-            else:
+            m = match(p) if len(p) <= LONGEST else None
+            if m is None:
                 odd.append(p)
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            new = {w for w, _ in split.values()}
-        if len(self.pieces) + len(pieces) > REMEMBERED:
-            self.pieces.clear()
-        self.words.update(self.owner.encode_words(list(new), self.lead))
-        marks = self.owner.marks
-        for p, (word, mark) in split.items():
+                continue
+            word, mark = m.groups()
+            split.append((p, word, mark))
+            if word not in words:
+                if word in self.old_words:
+                    words[word] = self.old_words[word]
+                else:
+                    new.add(word)
+        words.update(self.owner.encode_words(list(new), self.lead))
+        for p, word, mark in split:
             if mark not in marks:
+                if len(marks) > REMEMBERED:
+                    marks.clear()
+                    marks[""] = b""
                 marks[mark] = self.owner.whole(mark)
-            self.pieces[p] = self.words[word] + marks[mark]
+            known[p] = words[word] + marks[mark]
         own = {}
         for p, ids in zip(odd, self.owner.batch([self.lead + p for p in odd])):
             (self.pieces if len(p) <= LONGEST else own)[p] = ids
@@ -123,6 +144,14 @@ class Encoder:
         """Ids of every text; a null text has none."""
         return [np.frombuffer(x, np.uint32) for i in range(0, len(texts), 200) for x in self._some(texts[i : i + 200])]
 
+    @staticmethod
+    def _learnt(lookup: _Lookup, pieces: set[str]) -> dict[str, bytes]:
+        """Make all pieces known; returns those that are not remembered."""
+        missing = pieces.difference(lookup.pieces)
+        if missing and lookup.turn(len(missing)):
+            missing = pieces
+        return lookup.learn(missing) if missing else {}
+
     def _some(self, texts: list[str | None]) -> list[bytes]:
         cut: list[list[list[str]] | None] = []
         for text in texts:
@@ -133,15 +162,13 @@ class Encoder:
                 cut.append([["", *text.replace("\n", " ").split(" ")]])
             else:
                 cut.append([line.split(" ") for line in text.split("\n")])
+        first = {line[0] for lines in cut if lines for line in lines}
+        others: set[str] = set()
+        for lines in cut:
+            for line in lines or ():
+                others.update(line[1:])
+        own_bare, own_spaced = self._learnt(self.bare, first), self._learnt(self.spaced, others)
         bare, spaced = self.bare.pieces, self.spaced.pieces
-        lacks_bare = {line[0] for lines in cut if lines for line in lines if line[0] not in bare}
-        lacks_spaced = {p for lines in cut if lines for line in lines for p in line[1:] if p not in spaced}
-        if len(bare) + len(lacks_bare) > REMEMBERED:
-            lacks_bare = {line[0] for lines in cut if lines for line in lines}
-        if len(spaced) + len(lacks_spaced) > REMEMBERED:
-            lacks_spaced = {p for lines in cut if lines for line in lines for p in line[1:]}
-        own_bare = self.bare.learn(lacks_bare) if lacks_bare else {}
-        own_spaced = self.spaced.learn(lacks_spaced) if lacks_spaced else {}
         out = []
         for text, lines in zip(texts, cut):
             if lines is None:
