@@ -53,6 +53,7 @@ MAP_HELD = 1 << 22
 FILTER_BITS = 1 << 24
 TREE = 512
 PARITY_BITS = 512
+HUB_PERCENT = 104
 FOLD = byte_table()
 
 
@@ -277,8 +278,9 @@ def bounded(a_n, b_n, a_at, b_at, part: int, of: int):
 def shared_shingles(prefixes: DataFrame, part: int, of: int) -> DataFrame:
     """Prefix rows whose shingle several sets have, each with ``hub``: a set to compare it with, or null.
 
-    Rows of a shingle come sorted by size.  The first of them is the hub until a set is too
-    large to be similar to it and takes its place.  The stream holds one row of a group.
+    Rows of a shingle come sorted by size.  The first of them is the hub until a set is some
+    percent larger, is compared with it and takes its place: sets of like size are the likeliest to
+    be similar.  The stream holds one row of a group.
     """
     names = ["shingle", "fp", "n", "at", "hub"]
 
@@ -302,11 +304,9 @@ def shared_shingles(prefixes: DataFrame, part: int, of: int) -> DataFrame:
                     if alone:
                         out.append((*last, None))
                         alone = False
-                    mine = None
-                    if of * hub[2] < part * m:
+                    mine = hub[1] if bounded(hub[2], m, hub[3], p, part, of) else None
+                    if 100 * m > HUB_PERCENT * hub[2]:
                         hub = (s, f, m, p)
-                    elif bounded(hub[2], m, hub[3], p, part, of):
-                        mine = hub[1]
                     last = (s, f, m, p)
                     out.append((*last, mine))
                 else:
