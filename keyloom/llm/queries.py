@@ -124,7 +124,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_paragraph_dedup")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    out = paragraphs.drop_repeated_paragraphs(table(spark, folder, "documents").select("doc_id", "text"))
+    out = paragraphs.drop_repeated_passages(table(spark, folder, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped_lines"), text_sha(F.col("text")).alias("kept_sha256"))
 
 
