@@ -148,3 +148,17 @@ def test_forest_sets_apart_what_lies_outside(spark):
 
 def test_runs_are_united():
     assert decontaminate.united([(3, 5), (1, 3), (7, 9), (8, 10)]) == [(1, 5), (7, 10)]
+
+
+def stuttered(texts, labels, times):
+    """Good documents, and the same with every word repeated in a row."""
+    good = [i for i, q in labels.items() if q == 1 and len(texts[i].split()) > 60][:5]
+    return [(10**6 + i, " ".join(w for w in texts[i].split() for _ in range(times))) for i in good]
+
+
+def test_stuttered_documents_go(spark, documents, texts):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    rows = stuttered(texts, {r["doc_id"]: r["quality"] for r in labels.collect()}, 6)
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = [r for r in quality.score_documents(docs, labels).collect() if r["doc_id"] >= 10**6]
+    assert len(got) == 5 and not any(r["base_failed"] or r["kept"] for r in got)
