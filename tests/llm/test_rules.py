@@ -162,3 +162,19 @@ def test_stuttered_documents_go(spark, documents, texts):
     docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
     got = [r for r in quality.score_documents(docs, labels).collect() if r["doc_id"] >= 10**6]
     assert len(got) == 5 and not any(r["base_failed"] or r["kept"] for r in got)
+
+
+def test_good_labels_alone_give_a_forest(spark, documents, texts):
+    """No labelled bad document passes the base rules, or none scores above the good ones."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "quality")
+    known = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = stuttered(texts, known, 6)
+    plain = next(t for i, t in texts.items() if known.get(i) == 1 and len(t.split()) > 60)
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame([*rows, (-1, plain)], "doc_id long, text string"))
+    good = labels.where("quality = 1")
+    for some in (good, good.unionByName(spark.createDataFrame([(-1, 0)], labels.schema))):
+        forest = quality.fit(docs, some)
+        assert forest is not None and np.isfinite(forest.threshold)
+        got = {r["doc_id"]: r for r in quality.judge(docs, forest).collect()}
+        assert not any(got[i]["kept"] for i, _ in rows)
+        assert np.mean([got[i]["kept"] for i, q in known.items() if q == 1 and not got[i]["base_failed"]]) > 0.98
