@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from keyloom.llm.bloom import CHUNK_DDL, TwiceFilter, may_contain, merged_chunks
 from keyloom.llm.components import components
-from keyloom.llm.textops import NOT_WHITE, blocks, buffers, byte_table, mix, span_hashes, window_hashes, word_spans
+from keyloom.llm.textops import NOT_WHITE, blocks, buffers, byte_table, mix, span_hashes, spare_name, window_hashes, word_spans
 from keyloom.session import settled
 
 WORDS = 5
@@ -499,3 +499,19 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     found = near_duplicates(df, id_col, text_col, **options)
     first = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__first")).distinct()
     return df.join(first, df[id_col].eqNullSafe(first["__first"]), "left_semi")
+
+
+def keep_one_row(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of every group of near duplicates: of the least id (a null one after all others), then of the least hash of the text.
+
+    ``keep_one`` keeps all rows of an id; here equal rows count as copies too.  Rows without words stay.
+    """
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    row = F.struct(id_.isNull().alias("none"), id_.alias("id"), F.xxhash64(text).alias("hash"))
+    found = near_duplicates(df.select(row.alias("doc_id"), text.alias("text")), **options)
+    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
+    mine = [spare_name(df.columns, c) for c in ("first_none", "first_id", "first_hash", "first_n", "first_row")]
+    first = first.select(*[F.col(f"doc_id.{c}") for c in ("none", "id", "hash")], "n").toDF(*mine[:4])
+    kept = df.join(first, F.xxhash64(text).eqNullSafe(F.col(mine[2])) & id_.eqNullSafe(F.col(mine[1])))
+    kept = kept.withColumn(mine[4], F.when(F.col(mine[3]) == 0, F.monotonically_increasing_id()))
+    return kept.dropDuplicates([mine[1], mine[2], mine[4]]).select([F.col(f"`{c}`") for c in df.columns])

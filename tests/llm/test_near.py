@@ -93,3 +93,13 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 700), (700, 600)], "a long, b long")
     got = {tuple(r) for r in components.components(links).collect()}
     assert got == {(i, 0) for i in range(201)} | {(i, 500) for i in (500, 600, 700)}
+
+
+def test_one_row_of_a_group(spark, edge, empty):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(4, "one"), (4, "one"), (4, a), (4, a + " end"), (9, a), (None, b), (None, b + " end"), (None, b), (None, c), (3, c), (7, ""), (7, ""), (8, None), (None, "alone")]
+    kept = ngram_join.keep_one_row(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    got = sorted(((r["doc_id"], (r["text"] or "").split(" end")[0]) for r in kept), key=str)
+    assert got == sorted([(4, "one"), (4, a), (None, b), (3, c), (7, ""), (7, ""), (8, ""), (None, "alone")], key=str)
+    assert ngram_join.keep_one_row(edge).columns == edge.columns
+    assert ngram_join.keep_one_row(empty).count() == 0
