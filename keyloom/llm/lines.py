@@ -48,7 +48,7 @@ def _hashes(keys) -> np.ndarray:
 
 
 def suspected(rows: DataFrame, min_chars: int, bits: int) -> DataFrame:
-    """(id, key) of every line whose key two documents may hold; ``rows`` has id and text."""
+    """(id, hash, key) of every line whose key two documents may hold; ``rows`` has id, text and a hash of the text."""
 
     def fill(batches):
         seen = TwiceFilter(bits)
@@ -64,6 +64,10 @@ def suspected(rows: DataFrame, min_chars: int, bits: int) -> DataFrame:
             seen.add(np.concatenate(found) if found else np.zeros(0, np.uint64))
         yield seen.chunks()
 
+    def found(batch, at, out):
+        of = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(2).take(of), pa.array(out, pa.binary())], names=["id", "hash", "key"])
+
     twice = rows.sparkSession.sparkContext.broadcast(twice_bits(rows.mapInArrow(fill, CHUNK_DDL), bits))
 
     def pick(batches):
@@ -76,23 +80,23 @@ def suspected(rows: DataFrame, min_chars: int, bits: int) -> DataFrame:
                     out += [keys[k] for k in np.flatnonzero(hit)]
                     at += [i] * int(hit.sum())
                 if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.binary())], names=["id", "key"])
+                    yield found(batch, at, out)
                     at, out = [], []
             if out:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.binary())], names=["id", "key"])
+                yield found(batch, at, out)
 
-    return rows.mapInArrow(pick, T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("key", T.BinaryType())]))
+    return rows.mapInArrow(pick, T.StructType([T.StructField("id", rows.schema["id"].dataType), *T.StructType.fromDDL("hash long, key binary").fields]))
 
 
 def repeated_lines(rows: DataFrame, min_chars: int = MIN_CHARS, bits: int = FILTER_BITS) -> DataFrame:
-    """(id, keys): digests of the lines each document loses."""
+    """(id, hash, keys): digests of the lines each text loses, so a list is bounded by its text; ``rows`` has id, text and hash."""
     lines = suspected(rows, min_chars, bits)
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"))
     first = lines.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     first = first.where("first != last").select("key", "first")
     lost = lines.join(first, "key").where(~(F.col("first.id").eqNullSafe(F.col("id"))))
     digest = F.unhex(F.substring(F.sha2("key", 256), 1, 32))
-    return lost.groupBy("id").agg(F.collect_set(digest).alias("keys"))
+    return lost.groupBy("id", "hash").agg(F.collect_set(digest).alias("keys"))
 
 
 def _digest(key: bytes) -> bytes:
@@ -108,11 +112,12 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     n_lines = spare_name(df.columns, "n_lines")
     n_dropped = spare_name([*df.columns, n_lines], "n_dropped")
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    lost = repeated_lines(rows, min_chars, bits)
-    keys = spare_name(df.columns, "lost_keys")
-    lost = lost.select(F.col("id").alias(spare_name(df.columns, "lost_id")), F.col("keys").alias(keys))
-    both = df.join(lost, df[id_col].eqNullSafe(lost[lost.columns[0]]), "left").drop(lost.columns[0])
+    text_hash = F.xxhash64(F.col(f"`{text_col}`"))
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), text_hash.alias("hash"))
+    mine = [spare_name(df.columns, c) for c in ("lost_id", "lost_hash", "lost_keys")]
+    lost = repeated_lines(rows, min_chars, bits).toDF(*mine)
+    keys = mine[2]
+    both = df.join(lost, text_hash.eqNullSafe(F.col(mine[1])) & F.col(f"`{id_col}`").eqNullSafe(F.col(mine[0])), "left")
     at, of = df.columns.index(text_col), len(df.columns)
     kind = pa.string()
     schema = T.StructType([*df.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])

@@ -178,3 +178,14 @@ def test_good_labels_alone_give_a_forest(spark, documents, texts):
         got = {r["doc_id"]: r for r in quality.judge(docs, forest).collect()}
         assert not any(got[i]["kept"] for i, _ in rows)
         assert np.mean([got[i]["kept"] for i, q in known.items() if q == 1 and not got[i]["base_failed"]]) > 0.98
+
+
+def test_lost_lines_are_bounded_by_their_text(spark):
+    """Many rows of one id or of none: no list holds the lines of others."""
+    first = [(0, "\n".join(f"the repeated line number {k}" for k in range(80)))]
+    rows = first + [(None if k % 2 else 5, f"the repeated line number {k}\nonly here is line {k}") for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lost = lines.repeated_lines(df.selectExpr("doc_id AS id", "text", "xxhash64(text) AS hash")).collect()
+    assert len(lost) == 80 and all(len(r["keys"]) == 1 for r in lost)
+    got = lines.drop_repeated_lines(df)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_lines(rows)
