@@ -9,7 +9,8 @@ different ones different pseudonyms, and nothing but the key leads back.
     ssn       valid area, group and serial; permuted among the valid ones
     phone     national digits, after a country code if there is one
     ip        four octets, permuted among all addresses
-    date      yyyy-mm-dd, dd/mm/yyyy or dd.mm.yyyy, 1900 to 2099; permuted among those days
+    date      yyyy-mm-dd, dd/mm/yyyy or dd.mm.yyyy, 1900 to 2099; permuted among those days;
+              mm/dd/yyyy where the second number can't be a month, permuted among such days
     email     letters and digits of the part before the @
     secret    32 or more hexadecimal digits of both kinds
 
@@ -155,6 +156,14 @@ def _date(layout: str, key: str) -> tuple[str, str]:
     return f"coalesce({day} BETWEEN DATE'1900-01-01' AND DATE'2099-12-31' AND date_format({day}, '{layout}') = m, false)", f"date_format(date_add(DATE'1900-01-01', cast({new} AS int)), '{layout}')"
 
 
+def _month_first(key: str) -> tuple[str, str]:
+    """Days after the 12th, which no day-first date reads like: all days are permuted until one of them comes."""
+    day = "to_date(try_to_timestamp(m, 'MM/dd/yyyy'))"
+    once = _permuted_number("d", 17, 4297, "month-first", key)
+    walk = f"aggregate(sequence(1, 100), cast(datediff({day}, DATE'1900-01-01') AS bigint), (d, w) -> IF(w > 1 AND day(date_add(DATE'1900-01-01', cast(d AS int))) > 12, d, {once}))"
+    return f"coalesce({day} BETWEEN DATE'1900-01-01' AND DATE'2099-12-31' AND date_format({day}, 'MM/dd/yyyy') = m, false)", f"date_format(date_add(DATE'1900-01-01', cast({walk} AS int)), 'MM/dd/yyyy')"
+
+
 def _replacement(key: str) -> str:
     """SQL of struct(kind, text) for a match ``m``; kind is null where it is not valid."""
     country = r"regexp_extract(m, '^([+]?[0-9]{1,3}[ .-]?(?=[(])|[+][0-9]{1,3}[ .-]?)', 1)"
@@ -163,6 +172,7 @@ def _replacement(key: str) -> str:
     dates = [("^....-", "yyyy-MM-dd"), ("/", "dd/MM/yyyy"), ("[.]", "dd.MM.yyyy")]
     whole = {k: f"m RLIKE {_sql('^(?:' + p + ')$')}" for k, p in PATTERNS.items()}
     cases = [(whole["email"], "email", "true", email), (whole["iban"], "iban", *_iban(key))]
+    cases.append((f"{whole['date']} AND m RLIKE '^../(1[3-9]|[2-9][0-9])/'", "date", *_month_first(key)))
     cases += [(f"{whole['date']} AND m RLIKE '{p}'", "date", *_date(layout, key)) for p, layout in dates]
     cases += [(whole["ip"], "ip", *_ip(key)), (whole["phone"], "phone", "true", phone), (whole["ssn"], "ssn", *_ssn(key)), (whole["card"], "card", *_card(key))]
     cases.append((whole["secret"], "secret", "true", _permuted_text("m", "secret", key, hexadecimal=True)))

@@ -99,3 +99,13 @@ def test_documents(documents, texts):
         if not re.search(r"[0-9@]", t):
             assert got[i]["text"] == t and not got[i]["kinds"]
     assert emails
+
+
+def test_month_first_dates(spark):
+    """They keep their layout, and no two share a pseudonym, nor one with a day-first date."""
+    days = [d.strftime("%m/%d/%Y") for k in range(73049) if (d := date(1900, 1, 1) + timedelta(k)).day > 12]
+    out = [r[0] for r in pseudonyms.pseudonymize(spark.createDataFrame([(d,) for d in days], "text string"), KEY).select("text").collect()]
+    assert sorted(out) == sorted(days)
+    (new, kinds), (same, none) = run(spark, ["born 03/25/1985, 03/04/1985.", "13/25/1985 02/30/1985 00/14/1985"])
+    assert kinds == ["date", "date"] and "03/25/1985" not in new and "03/04/1985" not in new
+    assert same == "13/25/1985 02/30/1985 00/14/1985" and not none
