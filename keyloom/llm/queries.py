@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, langid, lines, ngram_join, packing, paragraphs, pseudonyms, quality, suffix_dedup, token_files
+from keyloom.llm import decontaminate, divergence, langid, lexical, lines, ngram_join, onebit, packing, paragraphs, pseudonyms, quality, suffix_dedup, token_files
 from keyloom.session import scratch_dir
 
 QUERIES: dict = {}
@@ -155,3 +155,87 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
+
+
+OP11_SQL = """
+WITH usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x != 0)) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND q.vec_id != c.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+) WHERE rank <= 5
+"""
+
+
+@query("op11_rotated_codes", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return onebit.nearest(table(spark, folder, "embeddings"), "id % 50 = 0")
+
+
+OP12_SQL = rf"""
+WITH docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({_az('text')}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), kept AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM docs) GROUP BY ALL HAVING count(*) >= 30
+), seen AS (
+  SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM docs) JOIN kept USING (lang, term) GROUP BY ALL
+), sizes AS (
+  SELECT g.lang, g.source, (SELECT count(*) FROM kept k WHERE k.lang = g.lang) AS v,
+         coalesce((SELECT sum(n) FROM seen s WHERE s.lang = g.lang AND s.source = g.source), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) g
+), grid AS (
+  SELECT z.lang, z.source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (total + 5 * v) AS p
+  FROM sizes z JOIN kept USING (lang) LEFT JOIN seen USING (lang, source, term)
+), overall AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // (any_value(total) + 5 * any_value(v)) AS q
+  FROM grid JOIN (SELECT lang, sum(total) AS total, any_value(v) AS v FROM sizes GROUP BY lang) USING (lang) GROUP BY lang, term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(coalesce((SELECT sum(abs(x.p - y.p)) FROM grid x JOIN grid y ON x.lang = y.lang AND x.term = y.term
+         WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS BIGINT) AS value
+  FROM sizes a JOIN sizes b ON a.lang = b.lang AND a.source != b.source
+), terms AS (
+  SELECT lang, source, term AS item, CAST(p - q AS BIGINT) AS value FROM grid JOIN overall USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term', item, value, CAST(rank AS INTEGER) FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM terms
+) WHERE rank <= 50
+"""
+
+
+@query("op12_source_divergence", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(table(spark, folder, "documents"))
+
+
+OP13_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, regexp_extract_all({_az('text')}, {WORD_SQL}) AS w FROM documents) WHERE len(w) > 0
+), whole AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM docs
+), wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_az('text')}, {WORD_SQL})) AS term FROM benchmark
+), tf AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY term, docs
+), impacts AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))) AS impact FROM tf JOIN weights USING (term), whole
+), scores AS (
+  SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM wanted JOIN impacts USING (term) GROUP BY ALL HAVING sum(impact) > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores
+) WHERE rank <= 10
+"""
+
+
+@query("op13_best_position", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.lexical_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
