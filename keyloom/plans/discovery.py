@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from keyloom.functions import similarity as sim
 from keyloom.functions.strings import is_numeric, normalize_text, plain_text
 from keyloom.functions.vocabulary import Vocabulary
+from keyloom.operators.containment import containing
 from keyloom.operators.profile import (
     column_profile,
     pattern_counts,
@@ -245,12 +246,12 @@ def overlap_matrix(tables: Tables, normalize: bool = True, samples: int = 5) ->
 # -- content evidence -------------------------------------------------------------------------
 
 
-def column_patterns(tables: Tables) -> DataFrame:
-    """``(cid, pattern, avg_length)`` over all values: one aggregate per table."""
+def column_patterns(tables: Tables, cids: Sequence[int] | None = None) -> DataFrame:
+    """``(cid, pattern, avg_length)`` over all values of the (given) columns: one aggregate per table."""
     listed = small_table(tables.spark, [(cid, t, f.name) for cid, t, _, f in tables.columns], "cid int, t string, column_name string")
     parts = []
     for t, df in tables.frames.items():
-        mine = [f.name for _, u, _, f in tables.columns if u == t]
+        mine = [f.name for cid, u, _, f in tables.columns if u == t and (not cids or cid in set(cids))]
         if mine:
             parts.append(pattern_counts(df, mine, dict(tables.vocabulary.patterns)).withColumn("t", F.lit(t)))
     found = reduce(DataFrame.unionAll, parts).join(listed, ["t", "column_name"])
@@ -258,20 +259,10 @@ def column_patterns(tables: Tables) -> DataFrame:
 
 
 def inside_counts(sets: DataFrame, words: int, cids: Sequence[int]) -> DataFrame:
-    """``(inner, outer, held)``: how many distinct values of one column lie in some value of another.
-
-    Values give their substrings of the lengths that occur, with the columns they come from;
-    a grouping unites those, and an equi join finds the values among them.  Values are never
-    compared one with another.
-    """
+    """``(inner, outer, held)``: how many distinct values of one column lie in some value of another."""
     keys = [f"w{w}" for w in range(words)]
     texts = sets.groupBy("value").agg(*[F.bit_or(k).alias(k) for k in keys])
-    lengths = [r["n"] for r in texts.select(F.length("value").alias("n")).distinct().collect()]  # as many as the longest value's length
-    cuts = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: n <= F.length("value"))
-    spots = lambda n: F.transform(F.sequence(F.lit(1), F.length("value") - n + 1), lambda i: F.substring(F.col("value"), i, n))
-    parts = F.array_distinct(F.flatten(F.transform(cuts, spots)))
-    pieces = texts.select(F.explode(parts).alias("value"), *keys).groupBy("value").agg(*[F.bit_or(k).alias(f"o{k}") for k in keys])
-    sides = texts.join(pieces, "value").groupBy(*keys, *[f"o{k}" for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+    sides = containing(texts, keys).groupBy(*keys, *[f"o{k}" for k in keys]).agg(F.count(F.lit(1)).alias("n"))
     both = sides.select(_set_members(words).alias("inner"), _set_members(words, "ow").alias("outer"), "n")
     ids = F.array(*[F.lit(c) for c in cids])
     spread = both.select(F.explode("inner").alias("i"), "outer", "n").select("i", F.explode("outer").alias("o"), "n").where("i <> o")
@@ -287,17 +278,48 @@ def content_score(format_match: Column, overlap_rate: Column, substring: Column)
     return F.round(F.when(format_match, F.greatest(overlap_rate, substring)).otherwise(mixed), 4)
 
 
-def with_content(tables: Tables, pairs: DataFrame) -> DataFrame:
-    """Add format, overlap, substring rate and content score, over all values, to column pairs."""
-    cids = [c for c, *_ in tables.columns]
-    sets, words = value_sets(tables, cids)
-    sets = settled(sets, "values")
-    patterns = column_patterns(tables)
+@dataclass
+class ValueIndex:
+    """Every distinct value of some columns with the bit set of its columns, written once."""
+
+    sets: DataFrame
+    words: int
+    cids: list[int]
+
+    @classmethod
+    def of(cls, tables: Tables, cids: Sequence[int]) -> ValueIndex:
+        sets, words = value_sets(tables, cids)
+        return cls(settled(sets, "values"), words, list(cids))
+
+    def of_columns(self, cids: Sequence[int]) -> DataFrame:
+        """The values of some of the columns, with their bits of those alone."""
+        bits = [i for i, c in enumerate(self.cids) if c in set(cids)]
+        masks = [sum(1 << (i - w * _BITS) for i in bits if i // _BITS == w) for w in range(self.words)]
+        words = [F.col(f"w{w}").bitwiseAND(F.lit(m).cast("bigint")).alias(f"w{w}") for w, m in enumerate(masks)]
+        some = reduce(lambda x, y: x | y, [F.col(f"w{w}") != 0 for w in range(self.words)])
+        return self.sets.select("value", "number", *words).where(some)
+
+
+def _columns_in(pairs: DataFrame) -> list[int]:
+    """Column numbers of a table of column pairs: schema-sized."""
+    found = pairs.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).distinct()
+    return sorted(r["cid"] for r in found.collect())
+
+
+def with_content(tables: Tables, pairs: DataFrame, index: ValueIndex | None = None, patterns: DataFrame | None = None) -> DataFrame:
+    """Add format, overlap, substring rate and content score, over all values, to column pairs.
+
+    Only the columns of the given pairs are read.  Rates weigh distinct values.
+    """
+    cids = _columns_in(pairs)
+    index = index or ValueIndex.of(tables, cids or [0])
+    patterns = column_patterns(tables, cids) if patterns is None else patterns
+    sets, words = index.of_columns(cids), index.words
     side = lambda s: patterns.select(F.col("cid").alias(f"cid_{s}"), F.col("pattern").alias(f"format_{s}"))
-    matched = _pair_counts(set_counts(match_form_sets(sets, words), words), cids)
+    matched = _pair_counts(set_counts(match_form_sets(sets, words), words), index.cids)
     joined = _attach_overlap(pairs.join(side("a"), "cid_a").join(side("b"), "cid_b"), matched)
-    held = inside_counts(sets, words, cids)
-    own = _pair_counts(set_counts(sets.groupBy("value").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(words)]), words), cids)
+    held = inside_counts(sets, words, index.cids)
+    own = _pair_counts(set_counts(sets.groupBy("value").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(words)]), words), index.cids)
     own = own.where("left = right").select(F.col("left").alias("inner"), F.col("shared").alias("values"))
     share = settled(held.join(own, "inner").select("inner", "outer", (F.col("held") / F.col("values")).alias("share")), "inside")
     for x, y in ("ab", "ba"):
@@ -318,9 +340,11 @@ def compare_columns(tables: Tables, column_a: str, column_b: str) -> DataFrame:
     table_a, table_b = list(tables.frames)
     cid = {(t, f.name): c for c, t, _, f in tables.columns}
     ids = [cid[table_a, column_a], cid[table_b, column_b]]
-    pair = column_pairs(tables).where((F.col("cid_a") == ids[0]) & (F.col("cid_b") == ids[1]))
-    seen = with_content(tables, pair)
-    return overlap(tables, seen, ids, samples=5).drop("cid_a", "cid_b")
+    pair = settled(column_pairs(tables).where((F.col("cid_a") == ids[0]) & (F.col("cid_b") == ids[1])))
+    index = ValueIndex.of(tables, ids)
+    seen = with_content(tables, pair, index)
+    found = _pair_counts(set_counts(match_form_sets(index.sets, index.words), index.words, 5), ids, 5)
+    return _attach_overlap(seen, found, 5).drop("cid_a", "cid_b")
 
 
 # -- candidates -----------------------------------------------------------------------------
@@ -446,16 +470,17 @@ def candidates(
         by_name = by_name & F.col("kept")
     pairs = pairs.withColumn("discovery_method", F.when(by_name, "semantic").otherwise("content"))
     pairs = settled(pairs)
-    patterns = settled(column_patterns(tables), "patterns")
+    asked = _columns_in(pairs)
+    if not asked:
+        return _empty_candidates(tables.spark)
+    patterns = settled(column_patterns(tables, asked), "patterns")
+    index = ValueIndex.of(tables, asked)
     named = pairs.where("discovery_method = 'semantic'")
-    promoted = settled(with_content(tables, pairs.where("discovery_method = 'content'")).where("promoted"))
+    promoted = settled(with_content(tables, pairs.where("discovery_method = 'content'"), index, patterns).where("promoted"))
 
-    in_play = named.select("cid_a", "cid_b").unionAll(promoted.select("cid_a", "cid_b"))
-    in_play = in_play.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).distinct()
-    cids = sorted(r["cid"] for r in in_play.collect())  # column numbers: schema-sized
-    if not cids:
+    if not _columns_in(named.select("cid_a", "cid_b").unionAll(promoted.select("cid_a", "cid_b"))):
         return _empty_candidates(tables.spark)
-    raw, words = value_sets(tables, cids)
+    cids, raw, words = index.cids, index.sets, index.words
     # both count tables read the one value index; what they hold is column-set-sized
     counts = settled(
         set_counts(raw, words).withColumn("form", F.lit("raw"))
