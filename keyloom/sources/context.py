@@ -104,8 +104,14 @@ class ContextStore:
         found = self.tables[name].read()
         return found if found is not None else small_table(self.spark, [], SCHEMAS[name])
 
+    def _change(self, name: str, change) -> None:
+        """Commit what ``change`` makes of a table; made anew where another writer was first."""
+        self.tables[name].update(lambda found: change(found if found is not None else small_table(self.spark, [], SCHEMAS[name])))
+
     def _upsert(self, name: str, updates: DataFrame, created: str | None = None, stamped: str | None = None) -> None:
-        target = self.read(name)
+        self._change(name, lambda target: self._upserted(name, target, updates, created, stamped))
+
+    def _upserted(self, name: str, target: DataFrame, updates: DataFrame, created: str | None, stamped: str | None) -> DataFrame:
         now = F.current_timestamp()
         # several rows for a key: the first by their other columns
         order = [F.to_json(F.struct(*[F.col(f"`{c}`") for c in updates.columns])).asc_nulls_last()]
@@ -116,7 +122,7 @@ class ContextStore:
             # the creation stamp of a row that is replaced stays
             first = target.select(*KEYS[name], F.col(created).alias("__first"))
             updates = updates.join(first, KEYS[name], "left").withColumn(created, F.coalesce("__first", now)).drop("__first")
-        self.tables[name].write(merge_latest(target, align(updates, target), KEYS[name]))
+        return merge_latest(target, align(updates, target), KEYS[name])
 
     def put_vocabulary(self, rows: DataFrame) -> None:
         self._upsert("domain_contexts", rows, created="created_at")
@@ -128,12 +134,10 @@ class ContextStore:
         self._upsert("table_profiles", rows, stamped="profiled_at")
 
     def put_discoveries(self, rows: DataFrame) -> None:
-        target = self.read("integration_discoveries")
-        self.tables["integration_discoveries"].write(upsert_discoveries(target, rows, F.current_timestamp()))
+        self._change("integration_discoveries", lambda target: upsert_discoveries(target, rows, F.current_timestamp()))
 
     def review(self, decisions: DataFrame) -> None:
-        target = self.read("integration_discoveries")
-        self.tables["integration_discoveries"].write(review(target, decisions, F.current_timestamp()))
+        self._change("integration_discoveries", lambda target: review(target, decisions, F.current_timestamp()))
 
     def vocabulary(self, base: Vocabulary | None = None) -> Vocabulary:
         """The base vocabulary overlaid with the stored ones, in name order (configuration-sized)."""
