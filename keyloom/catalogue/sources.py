@@ -55,6 +55,36 @@ def delimited_preamble(t):
     return delimited.read_delimited(t.spark, f"{path}/part=*", sep=";", skip_rows=2)
 
 
+@query("delimited_quoted", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, source FROM documents")
+def delimited_quoted(t):
+    """Texts with line breaks, separators and quotes, in quoted cells below a line of comment."""
+    path = scratch_dir(t.spark, "quoted")
+    docs = t.documents.select("doc_id", "text", "source")
+    as_written = {"sep": ",", "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    docs.write.csv(path, header=True, **as_written)
+    return delimited.read_delimited(t.spark, path, types={"source": "string"})
+
+
+@query(
+    "delimited_mixed_headers",
+    """
+    SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS o_orderpriority,
+      CASE WHEN o_orderstatus <> 'F' THEN CAST(o_custkey AS VARCHAR) END AS "Unnamed: 1" FROM orders
+    """,
+)
+def delimited_mixed_headers(t):
+    """One folder, files of two kinds: other columns, another order, and a header cell left empty."""
+    path = scratch_dir(t.spark, "mixed")
+    t.orders.where("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus", "o_orderpriority").write.csv(f"{path}/a", sep=";", header=True)
+    # Spark writes no empty header cell: the header is the first line of each file
+    part = F.spark_partition_id()
+    body = t.orders.where("o_orderstatus <> 'F'").select(part.alias("part"), F.lit(1).alias("o"), F.concat_ws(";", "o_orderstatus", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")).alias("value"))
+    heads = body.select("part").distinct().select("part", F.lit(0).alias("o"), F.lit("o_orderstatus;;o_orderkey").alias("value"))
+    lines = heads.unionAll(body).repartition("part").sortWithinPartitions("part", "o")
+    lines.select("part", "value").write.partitionBy("part").text(f"{path}/b")
+    return delimited.read_delimited(t.spark, f"{path}/a,{path}/b/part=*".split(","), sep=";")
+
+
 @query(
     "compressed_dump",
     "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_mktsegment FROM customer",

@@ -13,7 +13,7 @@ from keyloom.catalogue.discovery import SHADES
 from keyloom.catalogue.discovery_sql import decision_sql
 from keyloom.catalogue.registry import query
 from keyloom.operators import merge
-from keyloom.sources import context, versions
+from keyloom.sources import context, keyed
 from keyloom.session import scratch_dir
 from keyloom.streaming.incremental import stream_merge
 
@@ -114,6 +114,21 @@ def partitioned_merge(t):
     return t.spark.read.schema("o_orderkey bigint, o_orderpriority string, ano bigint").parquet(path)
 
 
+@query(
+    "keyed_merge",
+    """
+    SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '2001-07-01' THEN 'changed' ELSE o_orderpriority END AS o_orderpriority, CAST(o_orderdate AS TIMESTAMP) AS o_orderdate FROM orders
+    """,
+)
+def keyed_merge(t):
+    """Two incremental loads into a bucketed table: all orders of earlier months, then the last month's, by the recorded mark."""
+    table = keyed.KeyedTable(t.spark, scratch_dir(t.spark, "keyed"), ["o_orderkey"], buckets=32)
+    table.load_newer(t.orders.where("o_orderdate < timestamp_ntz '2001-07-01'").select("o_orderkey", "o_orderpriority", "o_orderdate"), "o_orderdate")
+    late = F.when(F.col("o_orderdate") >= F.lit("2001-07-01").cast("timestamp_ntz"), "changed").otherwise("not newer")
+    table.load_newer(t.orders.select("o_orderkey", late.alias("o_orderpriority"), "o_orderdate"), "o_orderdate")
+    return table.read()
+
+
 @query(
     "append_copy",
     "SELECT 'first' AS load, count(*) AS n, count(DISTINCT o_orderkey) AS orders FROM orders WHERE o_orderstatus = 'F' UNION ALL "
@@ -123,7 +138,7 @@ def append_copy(t):
     """Append-only copies without a key: the second load repeats rows of the first."""
     path = scratch_dir(t.spark, "append")
     for load, condition in (("first", "o_orderstatus = 'F'"), ("second", "o_orderstatus <> 'P'")):
-        t.orders.where(condition).withColumn("load", F.lit(load)).write.mode("append").parquet(path)
+        keyed.append_copy(t.orders.where(condition).withColumn("load", F.lit(load)), path)
     copied = t.spark.read.parquet(path)
     return copied.groupBy("load").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("orders"))
 
@@ -135,11 +150,11 @@ def append_copy(t):
     """,
 )
 def streaming_merge(t):
-    """Landed files in, keyed table out, through a stream that stops once all is read."""
+    """Landed files in, bucketed table out, through a stream that stops once all is read."""
     root = scratch_dir(t.spark, "stream")
     everything, before = _split_events(t)
     cut = F.lit("2024-01-04 12:00:00").cast("timestamp_ntz")
-    table = versions.VersionedTable(t.spark, f"{root}/staged")
+    table = keyed.KeyedTable(t.spark, f"{root}/staged", ["user_id", "event_type"], buckets=16)
     order = [F.col("ts").desc(), F.col("event_id")]
     # two landings, one stream run after each
     for landed in (before, everything.where(F.col("ts") > cut)):

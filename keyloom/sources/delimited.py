@@ -16,14 +16,14 @@ from keyloom.sources.records import Records, read_records
 
 def read_delimited(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     sep: str = ",",
     encoding: str = "utf-8",
     skip_rows: int = 0,
     columns: Sequence[str] | None = None,
     types: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """A delimited text file or folder with a header row in every file.
+    """Delimited text files with a header row each: a file, a folder, a pattern or a list of them.
 
     Codes such as ``001`` must survive, so nothing is inferred: all columns are text and
     ``types`` names those to cast.  ``skip_rows`` drops lines above the header of each file.

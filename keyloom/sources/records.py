@@ -51,7 +51,7 @@ def state_after(line: bytes, state: int, sep: bytes) -> int:
         at += len(sep) + 1
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Physical lines with their file and split; a split's lines come in order within a task."""
     raw = spark.read.option("lineSep", "\n").text(path)
     lines = raw.select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
@@ -161,7 +161,7 @@ class Records:
     headers: list[str]
 
 
-def read_records(spark: SparkSession, path: str, sep: str, encoding: str, skip: int) -> Records:
+def read_records(spark: SparkSession, path: str | list[str], sep: str, encoding: str, skip: int) -> Records:
     """The records of all files below ``skip`` lines and a header record each.
 
     Distinct headers are numbered by the first file that has them.  Blank lines are no records.
