@@ -9,6 +9,7 @@ whole texts where they lie.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and never
 accepted; so is every text when no labelled rows exist.  Ties go to the label first in order.
+Repeated rows are judged alike, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.textops import blocks, buffers, mix
+from keyloom.llm.textops import blocks, buffers, mix, spare_name
 
 BUCKETS = 1 << 14
 SIZES = (1, 2, 3, 4)
@@ -203,11 +204,17 @@ LETTERS = bytes([*range(65, 91), *range(97, 123)])
 
 
 def predict(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``df``'s rows without the text, with ``lang_pred``, ``score`` (0 to 1) and ``accepted``."""
+    """``df``'s rows without the text, with ``lang_pred``, ``score`` (0 to 1) and ``accepted``.
+
+    A new name that ``df`` already has gets an underscore at its end.
+    """
     at = df.columns.index(text_col)
     shared = df.sparkSession.sparkContext.broadcast(model)
     fields = [f for f in df.schema.fields if f.name != text_col]
-    schema = T.StructType([*fields, *T.StructType.fromDDL("lang_pred string, score double, accepted boolean").fields])
+    added: list[str] = []
+    for name in ("lang_pred", "score", "accepted"):
+        added.append(spare_name([*(f.name for f in fields), *added], name))
+    schema = T.StructType([*fields, *T.StructType.fromDDL("`{}` string, `{}` double, `{}` boolean".format(*added)).fields])
     names = schema.names
 
     def run(batches):

@@ -21,7 +21,8 @@ what a hash of the other half gives; on numbers below a x b, the two digits to t
 bases are.  Both are permutations of their domain whatever the hash.
 
 Defined results: a null text stays null and an empty one empty; a value may meet itself by chance;
-only the text column is read.
+repeated rows are replaced alike; an empty table stays empty; only the text column is read.  Repetitions in the
+patterns are possessive or bounded, so no text is too long for the stack.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 #: In the order in which they are tried.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "iban": _EDGE + r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)" + _END,
     "date": r"(?<![\p{L}\p{N}./-])(?:(?:19|20)\d{2}-\d{2}-\d{2}|\d{2}/\d{2}/(?:19|20)\d{2}|\d{2}\.\d{2}\.(?:19|20)\d{2})(?![\p{L}\p{N}/-])",
     "ip": r"(?<![\p{L}\p{N}.])" + rf"(?:{_OCTET}\.)" + "{3}" + _OCTET + r"(?![\p{L}\p{N}]|\.\d)",

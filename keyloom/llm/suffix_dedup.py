@@ -69,7 +69,7 @@ def pieces(column: pa.Array, length: int):
     Short texts come together; a very long one comes in overlapping segments.
     """
     data, offsets = buffers(column)
-    for i, j, part, at in blocks(data, offsets, BLOCK):
+    for i, j, part, at in blocks(data, offsets, min(BLOCK, SEGMENT)):
         if len(part) <= SEGMENT:  # one longer than BLOCK is a single text
             if len(part) < length:
                 continue

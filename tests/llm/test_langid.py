@@ -40,3 +40,11 @@ def test_subwords_stay_in_their_text():
 def test_training_never_sees_held_out_rows(documents):
     sample = langid.labelled_sample(documents, "doc_id", "text", "lang", 10)
     assert max(r["count"] for r in sample.groupBy("label").count().collect()) <= 10
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "one text", 0.5, "x"), (1, "one text", 0.5, "x")], "doc_id long, text string, score double, lang_pred string")
+    out = langid.predict(df, None)
+    assert out.columns == ["doc_id", "score", "lang_pred", "lang_pred_", "score_", "accepted"]
+    assert [tuple(r) for r in out.select("score", "lang_pred_", "score_").collect()] == [(0.5, "und", 0.0)] * 2
+    assert langid.predict(df.limit(0), None).count() == 0

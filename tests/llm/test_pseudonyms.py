@@ -109,3 +109,16 @@ def test_month_first_dates(spark):
     (new, kinds), (same, none) = run(spark, ["born 03/25/1985, 03/04/1985.", "13/25/1985 02/30/1985 00/14/1985"])
     assert kinds == ["date", "date"] and "03/25/1985" not in new and "03/04/1985" not in new
     assert same == "13/25/1985 02/30/1985 00/14/1985" and not none
+
+
+def test_very_many_labels(spark):
+    """A domain of a million labels neither overflows the stack nor stays in clear."""
+    texts = [("a@b" + ".b" * n + " end",) for n in (5_000, 1_000_000)]
+    for r in pseudonyms.pseudonymize(spark.createDataFrame(texts, "text string"), "k").collect():
+        assert r["kinds"] == ["email"] and r["text"].endswith(".b end")
+
+
+def test_every_pattern_on_long_texts(spark):
+    units = ["1.", "a@", "12 ", "4111", "AB12", "ab1", "(123) ", "+1-", "25.", "19", "12/", "é."]
+    for r in pseudonyms.pseudonymize(spark.createDataFrame([(u * (2_000_000 // len(u)),) for u in units], "text string"), "k").collect():
+        assert r["text"]
