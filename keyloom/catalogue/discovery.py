@@ -206,9 +206,9 @@ def candidate_ranking_lines(t):
     return discovery.candidates(_tables(t, "lineitem", "orders")).select(sql.RESULT_COLUMNS)
 
 
-@query("candidate_evidence")
+@query("candidate_evidence", sql.evidence_sql(["lineitem", "part"]))
 def candidate_evidence(t):
-    """The evidence texts of each candidate; their wording is checked in the unit tests."""
+    """The evidence texts of each candidate."""
     found = discovery.candidates(_tables(t, "lineitem", "part"))
     texts = [joined(F.col(c)).alias(c) for c in ("evidence_for", "evidence_against", "required_transformations")]
     return found.select("table_a", "column_a", "table_b", "column_b", "rank", *texts)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from keyloom.catalogue.discovery_sql import match_form, ratio_ctes
 from keyloom.catalogue.registry import query
 from keyloom.functions import names, numbers, similarity, strings
 from keyloom.functions.vocabulary import BUILTIN_PATTERNS
@@ -307,9 +308,17 @@ def date_arithmetic(t):
     )
 
 
-@query("name_similarity")
+@query(
+    "name_similarity",
+    f"""
+    WITH RECURSIVE pairs AS (SELECT DISTINCT p_name, p_type, {match_form('p_name')} AS x, {match_form('p_type')} AS y FROM part),
+    {ratio_ctes('pairs')}
+    SELECT p_name, p_type, ratio AS similarity, CASE WHEN split_part(p_name, ' ', 1) = lower(substr(p_type, 1, 5)) THEN greatest(ratio, 0.75) ELSE ratio END AS semantic
+    FROM pairs JOIN ratios USING (x, y)
+    """,
+)
 def name_similarity(t):
-    """Ratcliff-Obershelp ratios of part names and types; SQL has no such function."""
+    """Ratcliff-Obershelp ratios of part names and types."""
     pairs = t.part.select("p_name", "p_type").distinct()
     ratio = similarity.name_similarity(F.col("p_name"), F.col("p_type"))
     scored = pairs.withColumn("similarity", ratio)

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,23 +11,67 @@ from pyspark.sql import types as T
 from keyloom.functions.names import name_form_col
 
 
-@F.pandas_udf(T.DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    # the same two names meet in many table pairs, so each pair is scored once per batch
-    seen: dict[tuple[str, str], float] = {}
-    for pair in zip(a, b):
-        if pair not in seen:
-            seen[pair] = SequenceMatcher(None, *pair).ratio()
-    return pd.Series([seen[pair] for pair in zip(a, b)], dtype="float64")
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp ratio of two column names in match form.
+def _characters(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
+def _longest_block(x: Column, y: Column, part: Column) -> Column:
+    """(k, i, j): length of the longest common block of a part of two texts and its negated places.
+
+    Of several the one that begins first in ``x``, then in ``y``.  One row of match lengths is
+    carried from character to character of ``x``.
+    """
+    others = F.slice(y, part["bl"] + 1, part["bh"] - part["bl"])
+
+    def along(s: Column, c: Column) -> Column:
+        row = F.transform(others, lambda d, t: F.when(c == d, F.coalesce(F.get(s["row"], t - 1), F.lit(0)) + 1).otherwise(F.lit(0)))
+        ends = lambda r: F.transform(r, lambda k, t: F.struct(k.alias("k"), (k - s["at"] - 1).alias("i"), (k - part["bl"] - t - 1).alias("j")))
+        return _bound(row, lambda r: F.struct((s["at"] + 1).alias("at"), r.alias("row"), F.greatest(s["best"], F.array_max(ends(r))).alias("best")))
+
+    none = F.struct(F.lit(0).alias("k"), F.lit(-(2**31) + 1).alias("i"), F.lit(0).alias("j"))
+    start = F.struct(part["al"].alias("at"), F.array().cast("array<int>").alias("row"), none.alias("best"))
+    return F.aggregate(F.slice(x, part["al"] + 1, part["ah"] - part["al"]), start, along, lambda s: s["best"])
+
+
+def _matched(x: Column, y: Column) -> Column:
+    """Characters in common blocks: the longest one, then those to its left and right, and so on.
 
-    Spark has no such function (``levenshtein`` is a different number); this runs on
-    tables of name pairs, never on data rows.
+    Parts still to be looked at wait in a list; every block leaves two at most.
     """
-    return _ratio(name_form_col(a, "match"), name_form_col(b, "match"))
+    part = lambda al, ah, bl, bh: F.struct(al.alias("al"), ah.alias("ah"), bl.alias("bl"), bh.alias("bh"))
+    zero = F.lit(0)
+
+    def step(s: Column, _: Column) -> Column:
+        def split(p: Column, m: Column) -> Column:
+            i, j = -m["i"], -m["j"]
+            sides = F.array(part(p["al"], i, p["bl"], j), part(i + m["k"], p["ah"], j + m["k"], p["bh"]))
+            more = F.filter(sides, lambda z: (m["k"] > 0) & (z["al"] < z["ah"]) & (z["bl"] < z["bh"]))
+            return F.struct(F.concat(F.slice(s["todo"], F.lit(1), F.size(s["todo"]) - 1), more).alias("todo"), (s["n"] + m["k"]).alias("n"))
+
+        look = _bound(F.element_at(s["todo"], -1), lambda p: _bound(_longest_block(x, y, p), lambda m: split(p, m)))
+        return F.when(F.size(s["todo"]) == 0, s).otherwise(look)
+
+    start = F.struct(F.array(part(zero, F.size(x), zero, F.size(y))).alias("todo"), zero.alias("n"))
+    steps = F.sequence(F.lit(0), 2 * F.least(F.size(x), F.size(y)))
+    return F.aggregate(steps, start, step, lambda s: s["n"])
+
+
+def text_ratio(a: Column, b: Column) -> Column:
+    """Ratcliff-Obershelp ratio of two texts: twice the characters in common blocks by all characters."""
+    total = lambda x, y: F.size(x) + F.size(y)
+    ratio = lambda x, y: F.when(total(x, y) == 0, F.lit(1.0)).otherwise(2.0 * _matched(x, y) / total(x, y))
+    scored = _bound(_characters(a), lambda x: _bound(_characters(b), lambda y: ratio(x, y)))
+    return F.when(a == b, F.lit(1.0)).when(a.isNotNull() & b.isNotNull(), scored)
+
+
+def name_similarity(a: Column, b: Column) -> Column:
+    """Ratio of two column names in match form; work grows with the product of their lengths."""
+    return text_ratio(name_form_col(a, "match"), name_form_col(b, "match"))
 
 
 # Fixed value: score two names of one vocabulary group reach at least.

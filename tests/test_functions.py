@@ -144,3 +144,17 @@ def test_months_are_counted_by_boundary(rows):
     df = rows([("2024-01-31", "2024-02-01")], "a string, b string").selectExpr("timestamp(a) a", "timestamp(b) b")
     assert values(df, numbers.date_diff("month", F.col("a"), F.col("b"))) == [1]
     assert math.isclose(values(df, numbers.date_diff("day", F.col("a"), F.col("b")))[0], 1)
+
+
+def test_text_ratio_equals_the_definition(spark):
+    from difflib import SequenceMatcher
+
+    import random
+
+    rng = random.Random(3)
+    pairs = [("", ""), ("", "a"), ("abc", "abc"), ("ab", "ba"), ("abcbdab", "bdcaba"), ("éa_b", "b_éa")]
+    pairs += [tuple("".join(rng.choices("abc_", k=rng.randint(0, 14))) for _ in "xy") for _ in range(300)]
+    got = spark.createDataFrame(pairs, "a string, b string").repartition(4).select("a", "b", similarity.text_ratio(F.col("a"), F.col("b")).alias("r"))
+    for r in got.collect():
+        assert r["r"] == SequenceMatcher(None, r["a"], r["b"]).ratio(), r
+    assert spark.createDataFrame([(None, "a")], "a string, b string").select(similarity.text_ratio(F.col("a"), F.col("b"))).head()[0] is None
