@@ -14,7 +14,7 @@ from keyloom.catalogue.registry import joined, query
 from keyloom.functions import strings
 from keyloom.functions.vocabulary import Vocabulary, load_vocabulary
 from keyloom.operators import profile
-from keyloom.plans import discovery, models
+from keyloom.plans import derived, discovery, models
 from keyloom.session import scratch_dir
 
 def _tables(t, *names, **options):
@@ -31,7 +31,7 @@ SHADES = Vocabulary(
     False,
 )
 
-_GROUP_SQL = """
+GROUP_SQL = """
     CASE WHEN n IN ('red', 'red_ring') THEN 'warm' WHEN n IN ('ring', 'small_ring') THEN 'round' WHEN n IN ('widget', 'gear', 'large') THEN 'tool' WHEN n = 'metal_blue' THEN 'rest'
       WHEN contains(n, 'red') OR contains('red', n) OR contains(n, 'red_ring') OR contains('red_ring', n) THEN 'warm'
       WHEN contains(n, 'ring') OR contains('ring', n) OR contains(n, 'small_ring') OR contains('small_ring', n) THEN 'round'
@@ -41,7 +41,7 @@ _GROUP_SQL = """
 
 @query(
     "vocabulary_group",
-    f"SELECT p_partkey, p_name, {_GROUP_SQL} AS grp FROM (SELECT *, replace(lower(p_name), ' ', '_') AS n FROM part)",
+    f"SELECT p_partkey, p_name, {GROUP_SQL} AS grp FROM (SELECT *, replace(lower(p_name), ' ', '_') AS n FROM part)",
 )
 def vocabulary_group(t):
     return t.part.select("p_partkey", "p_name", SHADES.group_of(F.col("p_name")).alias("grp"))
@@ -51,7 +51,7 @@ def vocabulary_group(t):
     "vocabulary_coverage",
     f"""
     SELECT p_brand, count(*) AS total_columns, count(g) AS recognized, count(g) / count(*) AS coverage, count(g) / count(*) >= 0.6 AS passes_threshold
-    FROM (SELECT *, {_GROUP_SQL} AS g FROM (SELECT *, replace(lower(p_name), ' ', '_') AS n FROM part)) GROUP BY 1
+    FROM (SELECT *, {GROUP_SQL} AS g FROM (SELECT *, replace(lower(p_name), ' ', '_') AS n FROM part)) GROUP BY 1
     """,
 )
 def vocabulary_coverage(t):
@@ -60,7 +60,7 @@ def vocabulary_coverage(t):
 
 @query(
     "unrecognized_names",
-    f"SELECT DISTINCT p_brand, p_name FROM (SELECT *, {_GROUP_SQL} AS g FROM (SELECT *, replace(lower(p_name), ' ', '_') AS n FROM part)) WHERE g IS NULL",
+    f"SELECT DISTINCT p_brand, p_name FROM (SELECT *, {GROUP_SQL} AS g FROM (SELECT *, replace(lower(p_name), ' ', '_') AS n FROM part)) WHERE g IS NULL",
 )
 def unrecognized_names(t):
     return discovery.unrecognized_names(t.part, "p_name", SHADES, groups=["p_brand"])
@@ -246,6 +246,28 @@ def auto_pairs(t):
     return discovery.auto_pairs(_tables(t, "customer", "supplier", "part"))
 
 
+_FORMS_SQL = r"""
+    WITH a AS (SELECT regexp_replace(upper(trim(c_name)), '[.\-/\s]', '', 'g') AS v, count(*) AS n FROM customer GROUP BY 1), b AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS v FROM orders),
+      kinds(i, k) AS (VALUES (0, 'as_is'), (1, 'digits'), (2, 'no_leading_zeros'), (3, 'digits_no_leading_zeros'), (4, 'pad_6'), (5, 'pad_9'), (6, 'first_4'), (7, 'last_4'), (8, 'first_6'), (9, 'last_6')),
+      fa AS (SELECT i, k, n, {form} AS f FROM a, kinds), fb AS (SELECT DISTINCT i, k, {form} AS f FROM b, kinds),
+      met AS (SELECT fa.i AS i, fb.i AS j, fa.k AS transform_a, fb.k AS transform_b, CAST(sum(n) AS BIGINT) AS hits FROM fa JOIN fb ON fa.f = fb.f AND fa.f <> '' GROUP BY ALL)
+    SELECT transform_a, transform_b, (SELECT count(c_name) FROM customer) AS rows_a, hits, hits / (SELECT count(c_name) FROM customer) AS match_rate,
+      CAST(row_number() OVER (ORDER BY hits DESC, i + j, i) AS INTEGER) AS rank FROM met
+    """.replace(
+    "{form}",
+    """CASE i WHEN 0 THEN v WHEN 1 THEN regexp_replace(v, '[^0-9]', '', 'g') WHEN 2 THEN regexp_replace(v, '^0+', '') WHEN 3 THEN regexp_replace(regexp_replace(v, '[^0-9]', '', 'g'), '^0+', '')
+        WHEN 4 THEN CASE WHEN length(v) >= 6 THEN v ELSE lpad(v, 6, '0') END WHEN 5 THEN CASE WHEN length(v) >= 9 THEN v ELSE lpad(v, 9, '0') END
+        WHEN 6 THEN CASE WHEN length(v) > 4 THEN left(v, 4) END WHEN 7 THEN CASE WHEN length(v) > 4 THEN right(v, 4) END
+        WHEN 8 THEN CASE WHEN length(v) > 6 THEN left(v, 6) END WHEN 9 THEN CASE WHEN length(v) > 6 THEN right(v, 6) END END""",
+)
+
+
+@query("derived_key_search", _FORMS_SQL)
+def derived_key_search(t):
+    """Which transforms make customer names and customer numbers of orders one key."""
+    return derived.derived_key_search(t.customer, "c_name", t.orders, "o_custkey")
+
+
 @query(
     "derived_key_rate",
     r"""

@@ -147,11 +147,11 @@ def gold_panel(t):
     "match_rate_custkey",
     """
     SELECT count(*) AS rows_a, count(c.c_custkey) AS hits, count(c.c_custkey) / count(*) AS match_rate
-    FROM orders o LEFT JOIN (SELECT DISTINCT c_custkey FROM customer WHERE c_acctbal > 0) c ON o.o_custkey = c.c_custkey
+    FROM orders o LEFT JOIN (SELECT DISTINCT 3 * c_custkey AS c_custkey FROM customer) c ON o.o_custkey = c.c_custkey
     """,
 )
 def match_rate_custkey(t):
-    return joins.match_rate(t.orders, "o_custkey", t.customer.where("c_acctbal > 0"), "c_custkey")
+    return joins.match_rate(t.orders, "o_custkey", t.customer.select((3 * F.col("c_custkey")).alias("c_custkey")), "c_custkey")
 
 
 @query(
@@ -169,29 +169,30 @@ def match_rate_by_year(t):
 @query(
     "year_aligned_rate",
     """
-    WITH oy AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders WHERE o_orderstatus = 'F'),
-      ly AS (SELECT DISTINCT year(l_shipdate) AS y FROM lineitem WHERE l_quantity > 25 AND year(l_shipdate) > 1997),
-      a AS (SELECT * FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) IN (SELECT y FROM ly)),
-      b AS (SELECT * FROM lineitem WHERE l_quantity > 25 AND year(l_shipdate) > 1997 AND year(l_shipdate) IN (SELECT y FROM oy))
+    WITH oy AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders),
+      ly AS (SELECT DISTINCT year(l_shipdate) + 2 AS y FROM lineitem),
+      a AS (SELECT * FROM orders WHERE year(o_orderdate) IN (SELECT y FROM ly)),
+      b AS (SELECT * FROM lineitem WHERE year(l_shipdate) + 2 IN (SELECT y FROM oy))
     SELECT count(*) AS rows_a, count(k) AS hits, count(k) / count(*) AS match_rate FROM a LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM b) ON o_orderkey = k
     """,
 )
 def year_aligned_rate(t):
-    lines = t.lineitem.where((F.col("l_quantity") > 25) & (F.year("l_shipdate") > 1997))
-    orders = t.orders.where("o_orderstatus = 'F'")
-    a, b = joins.common_groups(orders, F.year("o_orderdate"), lines, F.year("l_shipdate"))
+    """Orders against lines shipped two years before: the tables share some years only."""
+    a, b = joins.common_groups(t.orders, F.year("o_orderdate"), t.lineitem, F.year("l_shipdate") + 2)
     return joins.match_rate(a, "o_orderkey", b, "l_orderkey")
 
 
 @query(
     "name_set_difference",
     """
-    SELECT a.n AS actual, e.n AS expected FROM (SELECT DISTINCT upper(p_name) AS n FROM part WHERE p_brand = 'Brand#1') a
-    FULL JOIN (SELECT DISTINCT upper(p_name) AS n FROM part WHERE p_brand = 'Brand#2') e ON a.n = e.n WHERE a.n IS NULL OR e.n IS NULL
+    WITH named AS (SELECT upper(p_name || ' ' || p_type || ' ' || (p_partkey % 7)) AS n, p_size FROM part)
+    SELECT a.n AS actual, e.n AS expected FROM (SELECT DISTINCT n FROM named WHERE p_size % 2 = 0) a
+    FULL JOIN (SELECT DISTINCT n FROM named WHERE p_size % 2 = 1) e ON a.n = e.n WHERE a.n IS NULL OR e.n IS NULL
     """,
 )
 def name_set_difference(t):
-    return joins.name_set_difference(t.part.where("p_brand = 'Brand#1'").select("p_name"), t.part.where("p_brand = 'Brand#2'").select("p_name"))
+    named = t.part.select(F.concat_ws(" ", "p_name", "p_type", F.pmod("p_partkey", F.lit(7)).cast("string")).alias("name"), "p_size")
+    return joins.name_set_difference(named.where("p_size % 2 = 0").select("name"), named.where("p_size % 2 = 1").select("name"))
 
 
 # -- aggregates ----------------------------------------------------------------------------------
@@ -375,14 +376,14 @@ def top_per_customer(t):
 @query(
     "except_both_ways",
     """
-    WITH a AS (SELECT l_partkey AS k, l_returnflag AS f FROM lineitem WHERE l_quantity < 20), b AS (SELECT l_partkey, l_returnflag FROM lineitem WHERE l_quantity > 30)
+    WITH a AS (SELECT l_partkey AS k, l_returnflag AS f FROM lineitem WHERE l_quantity <= 25), b AS (SELECT l_partkey, l_returnflag FROM lineitem WHERE l_quantity > 25)
     SELECT 'a_minus_b' AS which_diff, * FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
     UNION ALL SELECT 'b_minus_a', * FROM (SELECT * FROM b EXCEPT SELECT * FROM a)
     """,
 )
 def except_both_ways(t):
     df = t.lineitem.select(F.col("l_partkey").alias("k"), F.col("l_returnflag").alias("f"), "l_quantity")
-    return relational.symmetric_difference(df.where("l_quantity < 20").drop("l_quantity"), df.where("l_quantity > 30").drop("l_quantity"))
+    return relational.symmetric_difference(df.where("l_quantity <= 25").drop("l_quantity"), df.where("l_quantity > 25").drop("l_quantity"))
 
 
 @query(

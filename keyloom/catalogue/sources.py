@@ -10,10 +10,12 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from keyloom.catalogue.discovery_sql import decision_sql
 from keyloom.catalogue.registry import query
 from keyloom.operators.relational import union_relations
+from keyloom.plans import discovery
 from keyloom.session import scratch_dir
-from keyloom.sources import delimited, pages, zones
+from keyloom.sources import artefacts, delimited, pages, zones
 
 _DAY = date(2024, 1, 31)
 
@@ -97,23 +99,25 @@ def compressed_dump(t):
 
 
 def _landed_pages(t):
-    """Response pages of at most 100 events, as nested JSON, one page per line file."""
+    """Response pages, one a line, of three shapes: a list of records, a single record, no records at all."""
     path = scratch_dir(t.spark, "pages")
     record = F.struct("event_id", "user_id", "event_type")
     n_pages = F.lit(t.events.agg((F.floor(F.max("event_id") / 100) + 1).cast("bigint")).head()[0])
     page = (F.floor(F.col("event_id") / 100) + 1).cast("bigint")
-    # a page is at most 100 records
-    by_page = t.events.groupBy(page.alias("page")).agg(F.collect_list(record).alias("items"))
-    body = by_page.select(F.struct(F.struct("items").alias("data"), "page", (F.col("page") < n_pages).alias("hasNext")).alias("v"))
-    body.select(F.to_json("v").alias("value")).write.text(path)
+    shown = lambda data: F.to_json(F.struct(*data, "page", (F.col("page") < n_pages).alias("hasNext"))).alias("value")
+    # a page is at most 100 records; its first one landed on a page of its own
+    first = F.col("event_id") % 100 == 0
+    by_page = t.events.where(~first).groupBy(page.alias("page")).agg(F.collect_list(record).alias("items"))
+    alone = t.events.where(first).select(page.alias("page"), record.alias("items"))
+    pages_of = lambda df: df.select(shown([F.struct("items").alias("data")]))
+    none = t.events.select(page.alias("page")).distinct().select(shown([]))
+    pages_of(by_page).unionAll(pages_of(alone)).unionAll(none).write.text(path)
     return path
 
 
 @query("json_pages", "SELECT event_id, user_id, event_type FROM events")
 def json_pages(t):
-    schema = "data struct<items:array<struct<event_id:bigint,user_id:bigint,event_type:string>>>, page bigint, hasNext boolean"
-    landed = t.spark.read.schema(schema).json(_landed_pages(t))
-    return pages.page_records(landed, "data.items")
+    return pages.page_records(pages.read_pages(t.spark, _landed_pages(t), lines=True), "data.items")
 
 
 @query(
@@ -124,7 +128,7 @@ def json_pages(t):
     """,
 )
 def page_completeness(t):
-    landed = t.spark.read.schema("page bigint, hasNext boolean").json(_landed_pages(t))
+    landed = pages.read_pages(t.spark, _landed_pages(t), "page bigint, hasNext boolean", lines=True).select("page", "hasNext").distinct()
     return pages.page_completeness(landed, "page", "hasNext")
 
 
@@ -150,6 +154,23 @@ def binary_artefacts(t):
     )
 
 
+@query(
+    "artefact_round_trip",
+    """
+    SELECT CAST(page_id AS VARCHAR) || '.html' AS name, octet_length(encode(html)) AS length, CAST(ceil(octet_length(encode(html)) / 1000) AS BIGINT) AS chunks, sha256(encode(html)) AS sha256,
+      sha256(encode(html)[501:2500]) AS range_sha256 FROM pages
+    """,
+)
+def artefact_round_trip(t):
+    """Pages as binary artefacts: written in chunks of 1000 bytes, listed by their markers, read back whole and in part."""
+    html = t.pages.select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.encode("html", "utf-8").alias("content"))
+    path = artefacts.write_artefacts(html, scratch_dir(t.spark, "artefacts"), "pages", _DAY, chunk_bytes=1000)
+    whole = artefacts.read_whole(t.spark, path)
+    part = F.sha2(F.substring(F.col("content"), 501, 2000), 256).alias("range_sha256")
+    read = whole.select("name", F.sha2("content", 256).alias("sha256"), part)
+    return artefacts.list_artefacts(t.spark, path).drop("checksum").join(read, "name")
+
+
 @query(
     "staged_table",
     "SELECT o_orderkey AS order_key, o_totalprice AS total_price, 'my_source_20240131' AS staged_name, 1 AS tables FROM orders",
@@ -186,11 +207,14 @@ def seeded_sample(t):
     return zones.seeded_sample(t.orders.select("o_orderkey", "o_totalprice"), ["o_orderkey"])
 
 
-@query("result_sink", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+@query("result_sink", decision_sql(["orders", "customer"]))
 def result_sink(t):
-    result = t.orders.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    """A decided key written as JSON and read back."""
+    tables = discovery.Tables({"orders": t.orders, "customer": t.customer}, order_by={"orders": ["o_orderkey"], "customer": ["c_custkey"]})
+    best = discovery.decide(discovery.candidates(tables), tables.pairs())
     path = f"{scratch_dir(t.spark, 'result')}/{zones.result_name('orders', 'customer')}"
-    return t.spark.read.schema("status string, n bigint").json(zones.write_result(result, path))
+    written = t.spark.read.schema(best.schema).json(zones.write_result(best, path))
+    return written.select("table_a", "column_a", "table_b", "column_b", "confidence", "summary")
 
 
 @query(
@@ -227,13 +251,13 @@ def tables_by_pattern(t):
 @query(
     "union_by_prefix",
     """
-    SELECT 'loads_error' AS src, event_id, user_id FROM events WHERE event_type = 'error' UNION ALL SELECT 'loads_click', event_id, user_id FROM events WHERE event_type = 'click'
+    SELECT 'loads_error' AS src, event_id, user_id FROM events WHERE event_type = 'error' UNION ALL SELECT 'loads_other', event_id, user_id FROM events WHERE event_type <> 'error'
     """,
 )
 def union_by_prefix(t):
     """Session tables found by prefix, then united by column name."""
-    for kind in ("error", "click"):
-        t.events.where(F.col("event_type") == kind).select("event_id", "user_id").createOrReplaceTempView(f"loads_{kind}")
+    for kind, which in (("error", F.col("event_type") == "error"), ("other", F.col("event_type") != "error")):
+        t.events.where(which).select("event_id", "user_id").createOrReplaceTempView(f"loads_{kind}")
     t.events.select("event_id").createOrReplaceTempView("loads_tmp")
     found = zones.find_tables_by_prefix(zones.catalog_tables(t.spark), "%", "loads_", exclude="%_tmp")
     return union_relations(zones.relations(t.spark, found), source_column="src")

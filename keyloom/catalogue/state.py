@@ -9,7 +9,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from keyloom.catalogue.discovery import SHADES
+from keyloom.catalogue.discovery import GROUP_SQL, SHADES
 from keyloom.catalogue.discovery_sql import decision_sql
 from keyloom.catalogue.registry import query
 from keyloom.operators import merge
@@ -274,6 +274,18 @@ def stored_annotations(t):
     return store.annotations("parts").select("table_name", "column_name", "domain_group", F.lit(writes).alias("writes"))
 
 
+@query(
+    "annotated_names",
+    f"SELECT p_brand AS table_name, p_name AS column_name, {GROUP_SQL} AS domain_group FROM (SELECT DISTINCT p_brand, p_name, replace(lower(p_name), ' ', '_') AS n FROM part)",
+)
+def annotated_names(t):
+    """Every name of a catalogue annotated, those without a group included, and stored."""
+    store = context.ContextStore(t.spark, scratch_dir(t.spark, "context"))
+    names = t.part.select(F.col("p_brand").alias("table_name"), F.col("p_name").alias("column_name")).distinct()
+    store.put_annotations(context.annotate_names(names, SHADES))
+    return store.read("column_annotations").select("table_name", "column_name", "domain_group")
+
+
 @query(
     "stored_profiles",
     """

@@ -191,11 +191,14 @@ def _pair_counts(counts: DataFrame, cids: Sequence[int], samples: int = 0) -> Da
     ids = F.array(*[F.lit(c) for c in cids])
     spread = counts.select(F.explode("bits").alias("i"), "bits", "n", *(["shown"] if samples else []))
     spread = spread.select("i", F.explode(F.filter("bits", lambda j: j >= F.col("i"))).alias("j"), "n", *(["shown"] if samples else []))
-    aggs = [F.sum("n").alias("shared")]
-    if samples:
-        # a handful of values per column set
-        aggs.append(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("shown")))), 1, samples).alias("sample_matches"))
-    return spread.groupBy(F.get(ids, F.col("i")).alias("left"), F.get(ids, F.col("j")).alias("right")).agg(*aggs)
+    left, right = F.get(ids, F.col("i")).alias("left"), F.get(ids, F.col("j")).alias("right")
+    shared = spread.groupBy(left, right).agg(F.sum("n").alias("shared"))
+    if not samples:
+        return shared
+    # a value belongs to one set, so the least values of a pair are among those of its sets
+    least = top_per_group(spread.select(left, right, F.explode("shown").alias("value")), ["left", "right"], [F.col("value").asc()], samples, "__r")
+    listed = least.groupBy("left", "right").agg(F.sort_array(F.collect_list("value")).alias("sample_matches"))
+    return shared.join(listed, ["left", "right"], "left")
 
 
 def overlap(tables: Tables, pairs: DataFrame, cids: Sequence[int], normalize: bool = True, samples: int = 0) -> DataFrame:
@@ -234,12 +237,13 @@ def overlap_matrix(tables: Tables, normalize: bool = True, samples: int = 5) ->
     """Value overlap of every column pair across tables, from one value index."""
     spark = tables.spark
     listed = small_table(spark, [(cid, t, f.name) for cid, t, _, f in tables.columns], "cid int, t string, name string")
-    wanted = [(a, b) for a, b in combinations(range(len(tables.columns)), 2) if tables.columns[a][1] != tables.columns[b][1]]
-    pairs = small_table(spark, wanted, "cid_a int, cid_b int")
+    later = F.explode(F.sequence(F.col("cid") + 1, F.lit(len(tables.columns) - 1)))
+    pairs = listed.where(F.col("cid") < len(tables.columns) - 1).select(F.col("cid").alias("cid_a"), later.alias("cid_b"))
     for s in "ab":
         pairs = pairs.join(
             listed.select(F.col("cid").alias(f"cid_{s}"), F.col("t").alias(f"table_{s}"), F.col("name").alias(f"column_{s}")), f"cid_{s}"
         )
+    pairs = pairs.where("table_a <> table_b")
     return overlap(tables, pairs, [c[0] for c in tables.columns], normalize, samples).drop("cid_a", "cid_b")
 
 
@@ -261,7 +265,9 @@ def column_patterns(tables: Tables, cids: Sequence[int] | None = None) -> DataFr
 def inside_counts(sets: DataFrame, words: int, cids: Sequence[int]) -> DataFrame:
     """``(inner, outer, held)``: how many distinct values of one column lie in some value of another."""
     keys = [f"w{w}" for w in range(words)]
-    texts = sets.groupBy("value").agg(*[F.bit_or(k).alias(k) for k in keys])
+    # dealt out in full width: what follows is work on the bytes of few, small partitions
+    spread = sets.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "value")
+    texts = spread.groupBy("value").agg(*[F.bit_or(k).alias(k) for k in keys])
     sides = containing(texts, keys).groupBy(*keys, *[f"o{k}" for k in keys]).agg(F.count(F.lit(1)).alias("n"))
     both = sides.select(_set_members(words).alias("inner"), _set_members(words, "ow").alias("outer"), "n")
     ids = F.array(*[F.lit(c) for c in cids])

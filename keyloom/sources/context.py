@@ -162,7 +162,9 @@ class ContextStore:
 
 
 def annotate(spark: SparkSession, table: str, columns: Sequence[str], vocabulary: Vocabulary) -> DataFrame:
-    rows = small_table(spark, [(table, c) for c in columns], "table_name string, column_name string")
-    return rows.withColumn("domain_group", vocabulary.group_of(F.col("column_name"))).withColumn(
-        "semantic_tags", F.lit(None).cast("array<string>")
-    )
+    return annotate_names(small_table(spark, [(table, c) for c in columns], "table_name string, column_name string"), vocabulary)
+
+
+def annotate_names(names: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Annotations of (table_name, column_name) rows, say of a whole catalogue."""
+    return names.select("table_name", "column_name", vocabulary.group_of(F.col("column_name")).alias("domain_group"), F.lit(None).cast("array<string>").alias("semantic_tags"))
