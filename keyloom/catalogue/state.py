@@ -304,6 +304,30 @@ def stored_profiles(t):
     return both.select("table_name", "row_count", "quality_ok", customers.alias("customers"))
 
 
+@query(
+    "united_profiles",
+    """
+    SELECT column_name, n AS row_count, nulls AS null_rate, true AS close FROM (
+      SELECT 'l_partkey' AS column_name, count(*) AS n, 0.0::DOUBLE AS nulls FROM lineitem UNION ALL SELECT 'l_quantity', count(*), 0.0 FROM lineitem
+      UNION ALL SELECT 'flag', count(*), round(1 - count(nullif(l_returnflag, 'A')) / count(*), 12) FROM lineitem)
+    """,
+)
+def united_profiles(t):
+    """Lines loaded year by year, sketched load by load; distinct counts within 3 % of the exact ones."""
+    from keyloom.operators.profile import column_profile
+    from keyloom.operators.sketches import StoredSketches
+
+    year = F.year("l_shipdate")
+    lines = t.lineitem.select("l_partkey", "l_quantity", F.nullif("l_returnflag", F.lit("A")).alias("flag"), year.alias("year"))
+    store = StoredSketches(t.spark, scratch_dir(t.spark, "sketches"))
+    for r in lines.select("year").distinct().orderBy("year").collect():  # one load a year
+        store.add(str(r["year"]), lines.where(F.col("year") == r["year"]).drop("year"))
+    exact = column_profile(lines.drop("year")).select("column_name", F.col("unique_count").alias("exact"))
+    united = store.profile().join(exact, "column_name")
+    close = F.abs(F.col("unique_count") - F.col("exact")) <= 0.03 * F.col("exact")
+    return united.select("column_name", "row_count", F.round("null_rate", 12).alias("null_rate"), close.alias("close"))
+
+
 @query(
     "stored_discoveries",
     f"SELECT table_a, column_a, table_b, column_b, confidence FROM ({_FOUND_SQL}) WHERE table_b = 'prio_2' AND confidence >= 0.8",
