@@ -64,3 +64,19 @@ def date_diff(part: str, start: Column, end: Column) -> Column:
 
 def date_trunc(part: str, c: Column) -> Column:
     return F.date_trunc(part, c)
+
+
+def fixed_text(x: Column, places: int) -> Column:
+    """A number from 0 on with so many decimals, rounded as its exact binary value says, ties to even.
+
+    ``format_string`` rounds the shortest decimal text half up, which differs where that
+    text ends in 5.  The value is scaled by a power of two to a whole number first, which is exact.
+    """
+    x = x.cast("double")
+    k = (61 - F.floor(F.log2(F.greatest(x, F.lit(1.0))))).cast("int")
+    scaled, one = (x * F.pow(F.lit(2.0), k)).cast("long").cast("decimal(20,0)"), F.call_function("shiftleft", F.lit(1).cast("long"), k).cast("decimal(20,0)")
+    wide = scaled * F.lit(10**places).cast("decimal(6,0)")
+    whole, rest = F.call_function("div", wide, one), (wide % one) * 2
+    up = (rest > one) | ((rest == one) & (whole % 2 == 1))
+    n = whole + F.when(up, 1).otherwise(0)
+    return F.concat(F.call_function("div", n, F.lit(10**places)).cast("string"), F.lit("."), F.lpad((n % 10**places).cast("string"), places, "0"))

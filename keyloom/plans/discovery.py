@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.functions import similarity as sim
+from keyloom.functions.numbers import fixed_text
 from keyloom.functions.strings import is_numeric, normalize_text, plain_text
 from keyloom.functions.vocabulary import Vocabulary
 from keyloom.operators.containment import containing
@@ -380,7 +381,7 @@ def _column_facts(tables: Tables, cids: Sequence[int], counts: DataFrame) -> Dat
 
 
 def _percent(c: Column) -> Column:
-    return F.format_string("%.1f%%", c * 100)
+    return F.concat(fixed_text(c * 100, 1), F.lit("%"))
 
 
 def _listed(*entries: Column) -> Column:
@@ -400,8 +401,8 @@ def _name_evidence() -> dict[str, Column]:
     )
     return {
         "evidence_for": _listed(
-            F.when(s >= 0.8, F.format_string("High name similarity (%.2f): '%s' ~ '%s'", s, "column_a", "column_b")).when(
-                s >= 0.5, F.format_string("Moderate name similarity (%.2f)", s)
+            F.when(s >= 0.8, F.format_string("High name similarity (%s): '%s' ~ '%s'", fixed_text(s, 2), "column_a", "column_b")).when(
+                s >= 0.5, F.format_string("Moderate name similarity (%s)", fixed_text(s, 2))
             ),
             F.when(F.col("group_a") == F.col("group_b"), F.format_string("Both columns belong to domain group '%s'", "group_a")),
             F.when(m >= 0.8, F.concat(F.lit("High match rate: "), _percent(m), F.lit(" of values in A found in B"))).when(
@@ -415,7 +416,7 @@ def _name_evidence() -> dict[str, Column]:
             nulls("a"),
             nulls("b"),
             F.when(pa != pb, F.format_string("Pattern mismatch: '%s' vs '%s'", pa, pb)),
-            F.when(wide, F.format_string("Avg value length differs: %.1f vs %.1f", la, lb)),
+            F.when(wide, F.format_string("Avg value length differs: %s vs %s", fixed_text(la, 1), fixed_text(lb, 1))),
         ),
         "required_transformations": _listed(
             F.when(mismatch, F.format_string("Cast %s (%s) to %s before join", "column_b", "family_b", "family_a")),
@@ -432,13 +433,13 @@ def _content_evidence() -> dict[str, Column]:
     shown = lambda x: F.when(F.col(f"format_{x}").isNull(), F.lit("None")).otherwise(F.col(f"format_{x}"))
     return {
         "evidence_for": _listed(
-            F.format_string("Content-promoted: content_score=%.3f >= 0.5", c),
+            F.format_string("Content-promoted: content_score=%s >= 0.5", fixed_text(c, 3)),
             F.when(same, F.format_string("Format match: both columns match pattern '%s'", "format_a")),
             F.when(o >= 0.5, F.concat(F.lit("Value overlap: "), _percent(o), F.lit(" of A values found in B"))),
-            F.when(sub >= 0.5, F.format_string("Substring relation detected: rate=%.2f (possible Derived Key)", sub)),
+            F.when(sub >= 0.5, F.format_string("Substring relation detected: rate=%s (possible Derived Key)", fixed_text(sub, 2))),
         ),
         "evidence_against": _listed(
-            F.format_string("Low name similarity (%.2f): '%s' vs '%s'", "semantic", "column_a", "column_b"),
+            F.format_string("Low name similarity (%s): '%s' vs '%s'", fixed_text(F.col("semantic"), 2), "column_a", "column_b"),
             F.when(~same, F.format_string("Format mismatch: '%s' vs '%s'", shown("a"), shown("b"))),
             F.when(mismatch, F.format_string("Incompatible dtypes: %s vs %s", "family_a", "family_b")),
         ),

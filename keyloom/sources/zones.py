@@ -17,6 +17,7 @@ from keyloom.session import small_table
 # -- raw zone -----------------------------------------------------------------------------
 
 
+# Fixed value: the form of a raw path.
 def raw_path(root: str, source: str, day: date, name: str) -> str:
     return f"{root}/raw/{source}/{day.isoformat()}/{name}"
 
@@ -40,6 +41,7 @@ def read_artefacts(spark: SparkSession, path: str, pattern: str = "*") -> DataFr
 # -- staged tables ------------------------------------------------------------------------
 
 
+# Fixed value: the form of a staged name.
 def staged_name(source: str, day: date | None = None) -> str:
     return f"{name_form(source, 'staged')}_{(day or date.today()):%Y%m%d}"
 
@@ -142,5 +144,6 @@ def write_result(df: DataFrame, path: str) -> str:
     return path
 
 
+# Fixed value: the form of a result's name.
 def result_name(table_a: str, table_b: str) -> str:
     return f"identificar_chave_{table_a}__{table_b}.json"

@@ -158,3 +158,14 @@ def test_text_ratio_equals_the_definition(spark):
     for r in got.collect():
         assert r["r"] == SequenceMatcher(None, r["a"], r["b"]).ratio(), r
     assert spark.createDataFrame([(None, "a")], "a string, b string").select(similarity.text_ratio(F.col("a"), F.col("b"))).head()[0] is None
+
+
+def test_fixed_text_rounds_as_the_binary_value(spark):
+    import random
+
+    rng = random.Random(8)
+    numbers_ = [0.0, 0.125, 0.375, 0.345, 0.355, 2.675, 1.005, 0.5, 0.25, 0.05, 99.95, 100.0, 1234.25, 1e-9, 0.999, 12345678.5, 4.0, 8.0, 0.0005]
+    numbers_ += [round(rng.random() * rng.choice([1, 100, 5000]), rng.choice([1, 2, 3, 9])) for _ in range(400)]
+    df = spark.createDataFrame([(x,) for x in numbers_], "x double").select("x", *[numbers.fixed_text(F.col("x"), p).alias(f"p{p}") for p in (1, 2, 3)])
+    for r in df.collect():
+        assert (r["p1"], r["p2"], r["p3"]) == (f"{r['x']:.1f}", f"{r['x']:.2f}", f"{r['x']:.3f}"), r
