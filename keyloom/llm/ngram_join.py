@@ -485,6 +485,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order = spark.sparkContext.broadcast(global_order(scanned))
     shared = settled(shared_shingles(prefix_rows(rows, order, words, part, of), part, of), "shared")
     found = connected(shared, lambda wanted: wanted_sets(rows, wanted, order, words, bits), part, of)
+    order.destroy()  # all that needs it is written
 
     group = documents.join(found, documents["fp"] == found["node"], "left").select("id", "n", F.coalesce("component", "fp").alias("component"))
     group = settled(group, "groups")
