@@ -7,13 +7,16 @@ different ones different pseudonyms, and nothing but the key leads back.
     card      13 to 19 digits with a valid check digit; the new one is valid too
     iban      valid check digits; country and layout stay, the new check digits are valid
     ssn       valid area, group and serial; permuted among the valid ones
-    phone     national digits, after a country code if there is one
+    phone     national digits, after a country code or trunk zero if there is one; national numbers
+              of 10 or 11 digits in the usual British, French and German groups
     ip        four octets, permuted among all addresses
-    date      yyyy-mm-dd, dd/mm/yyyy or dd.mm.yyyy, 1900 to 2099; permuted among those days;
-              mm/dd/yyyy where the second number can't be a month, permuted among such days
-    email     letters and digits of the part before the @
+    date      yyyy-mm-dd, dd/mm/yyyy or dd.mm.yyyy, 1900 to 2099, and mm/dd/yyyy where the second number
+              can't be a month; days up to the 12th are permuted among themselves, later ones too
+    email     letters and digits of the part before the @; case is kept and does not matter
     secret    32 or more hexadecimal digits of both kinds
 
+Digits and letters are permuted apart from the blanks and marks between them, so a value written in
+another layout gets the same pseudonym in that layout.
 What fails its validation (a number with a wrong check digit, 31 February) stays as it is.
 
 Two networks: on texts, either half's letters and digits are shifted, within their own kind, by
@@ -43,13 +46,16 @@ PATTERNS = {
     "date": r"(?<![\p{L}\p{N}./-])(?:(?:19|20)\d{2}-\d{2}-\d{2}|\d{2}/\d{2}/(?:19|20)\d{2}|\d{2}\.\d{2}\.(?:19|20)\d{2})(?![\p{L}\p{N}/-])",
     "ip": r"(?<![\p{L}\p{N}.])" + rf"(?:{_OCTET}\.)" + "{3}" + _OCTET + r"(?![\p{L}\p{N}]|\.\d)",
     "phone": _EDGE
-    + r"(?:\+?\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|(?:\+\d{1,3}[ .-])?\d{3}[.-]\d{3}[.-]\d{4}|\+\d{1,3}(?:[ .-]?\d){8,11})"
+    + r"(?:(?<!\d[ .-])0(?:[1-9](?:[ .-]\d\d){4}|\d{2,4}[ -]\d{3,4}[ -]\d{3,4}|\d{2,4}[ /-]\d{6,8})(?![ .-]\d)"
+    + r"|\+?\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|(?:\+\d{1,3}[ .-])?\d{3}[.-]\d{3}[.-]\d{4}|\+\d{1,3}(?:[ .-]?\d){8,11})"
     + r"(?![\p{L}\p{N}]|-\d)",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
     "card": _EDGE + r"(?<!\d\.)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5})" + _END,
     "secret": _EDGE + r"(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{32,128}" + _END + "|" + _EDGE + r"(?=[A-F]*\d)(?=\d*[A-F])[0-9A-F]{32,128}" + _END,
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Country codes of one and of two digits; all others have three.
+COUNTRY = "[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 #: What every pattern needs; texts without it are not searched.
 NEEDED = r"[0-9@]"
 
@@ -82,12 +88,19 @@ def _shift(x: str, hash_: str, hexadecimal: bool) -> str:
     return f"array_join(transform({_chars(x)}, (c, i) -> {one}), '')"
 
 
-def _permuted_text(x: str, label: str, key: str, hexadecimal: bool = False) -> str:
+def _poured(new: str, layout: str, kind: str = "[0-9]") -> str:
+    """``layout`` with its characters of a kind replaced, in turn, by those of ``new``."""
+    step = f"IF(c RLIKE '{kind}', named_struct('t', concat(s.t, substr({new}, s.k + 1, 1)), 'k', s.k + 1), named_struct('t', concat(s.t, c), 'k', s.k))"
+    return f"aggregate({_chars(layout)}, named_struct('t', '', 'k', 0), (s, c) -> {step}, s -> s.t)"
+
+
+def _permuted_text(x: str, label: str, key: str, hexadecimal: bool = False, fold: bool = False) -> str:
+    """A permutation of texts with letters and digits at the places of ``x``; with ``fold`` the same one for either case."""
     half = f"cast(length({x}) / 2 AS int)"
     start = f"named_struct('l', substr({x}, 1, {half}), 'r', substr({x}, {half} + 1))"
 
     def mixed(other: str) -> str:
-        return f"sha2(concat_ws('|', {_sql(key)}, '{label}', j, {other}), 256)"
+        return f"sha2(concat_ws('|', {_sql(key)}, '{label}', j, {f'lower({other})' if fold else other}), 256)"
 
     # the hash is made once a half: bound to a name by a transform over one element
     step_l = f"element_at(transform(array({mixed('s.r')}), h -> {_shift('s.l', 'h', hexadecimal)}), 1)"
@@ -121,17 +134,27 @@ def _remainder(x: str) -> str:
 
 def _card(key: str) -> tuple[str, str]:
     plain = "regexp_replace(m, '[^0-9]', '')"
-    body = _permuted_text("substr(m, 1, length(m) - 1)", "card", key)
-    check = "cast((10 - " + _luhn("regexp_replace(b, '[^0-9]', '')", 0) + " % 10) % 10 AS string)"
-    return f"{_luhn(plain, 1)} % 10 = 0", f"element_at(transform(array({body}), b -> concat(b, {check})), 1)"
+    body = _permuted_text(f"substr({plain}, 1, length({plain}) - 1)", "card", key)
+    check = "cast((10 - " + _luhn("b", 0) + " % 10) % 10 AS string)"
+    return f"{_luhn(plain, 1)} % 10 = 0", f"element_at(transform(transform(array({body}), b -> concat(b, {check})), n -> {_poured('n', 'm')}), 1)"
 
 
 def _iban(key: str) -> tuple[str, str]:
     plain = "replace(m, ' ', '')"
-    body = _permuted_text("substr(m, 5)", "iban", key)
-    check = "lpad(cast(98 - " + _remainder("concat(replace(b, ' ', ''), substr(m, 1, 2), '00')") + " AS string), 2, '0')"
+    body = _permuted_text(f"substr({plain}, 5)", "iban", key)
+    check = "lpad(cast(98 - " + _remainder("concat(b, substr(m, 1, 2), '00')") + " AS string), 2, '0')"
     valid = _remainder(f"concat(substr({plain}, 5), substr({plain}, 1, 4))") + " = 1"
-    return f"length({plain}) BETWEEN 15 AND 34 AND {valid}", f"element_at(transform(array({body}), b -> concat(substr(m, 1, 2), {check}, b)), 1)"
+    new = f"transform(transform(array({body}), b -> concat(substr(m, 1, 2), {check}, b)), n -> {_poured('n', 'm', '[A-Z0-9]')})"
+    return f"length({plain}) BETWEEN 15 AND 34 AND {valid}", f"element_at({new}, 1)"
+
+
+def _phone(key: str) -> tuple[str, str]:
+    """National digits from the first that is no zero, permuted among those that begin with none."""
+    lead = rf"regexp_extract(m, '^((?:[+]?[0-9]{{1,3}}[ .-]?(?=[(])|[+](?:{COUNTRY})[ .-]?)?[(]?0*)', 1)"
+    rest = f"substr(m, length({lead}) + 1)"
+    once = _permuted_text("d", "phone", key)
+    walk = f"aggregate(sequence(1, 100), regexp_replace({rest}, '[^0-9]', ''), (d, w) -> IF(w > 1 AND d NOT LIKE '0%', d, {once}))"
+    return "true", f"concat({lead}, element_at(transform(array({walk}), n -> {_poured('n', rest)}), 1))"
 
 
 def _ssn(key: str) -> tuple[str, str]:
@@ -151,31 +174,23 @@ def _ip(key: str) -> tuple[str, str]:
 
 
 def _date(layout: str, key: str) -> tuple[str, str]:
-    """73,049 days = 17 x 4297."""
+    """73,049 days = 17 x 4297, permuted until a day comes that is as surely not a month: month-first stays so."""
     day = f"to_date(try_to_timestamp(m, '{layout}'))"
-    new = _permuted_number(f"datediff({day}, DATE'1900-01-01')", 17, 4297, "date", key)
-    return f"coalesce({day} BETWEEN DATE'1900-01-01' AND DATE'2099-12-31' AND date_format({day}, '{layout}') = m, false)", f"date_format(date_add(DATE'1900-01-01', cast({new} AS int)), '{layout}')"
-
-
-def _month_first(key: str) -> tuple[str, str]:
-    """Days after the 12th, which no day-first date reads like: all days are permuted until one of them comes."""
-    day = "to_date(try_to_timestamp(m, 'MM/dd/yyyy'))"
-    once = _permuted_number("d", 17, 4297, "month-first", key)
-    walk = f"aggregate(sequence(1, 100), cast(datediff({day}, DATE'1900-01-01') AS bigint), (d, w) -> IF(w > 1 AND day(date_add(DATE'1900-01-01', cast(d AS int))) > 12, d, {once}))"
-    return f"coalesce({day} BETWEEN DATE'1900-01-01' AND DATE'2099-12-31' AND date_format({day}, 'MM/dd/yyyy') = m, false)", f"date_format(date_add(DATE'1900-01-01', cast({walk} AS int)), 'MM/dd/yyyy')"
+    late = "(day(date_add(DATE'1900-01-01', cast({} AS int))) > 12)"
+    once = _permuted_number("d", 17, 4297, "date", key)
+    walk = f"aggregate(sequence(1, 200), cast(datediff({day}, DATE'1900-01-01') AS bigint), (d, w) -> IF(w > 1 AND {late.format('d')} = (day({day}) > 12), d, {once}))"
+    return f"coalesce({day} BETWEEN DATE'1900-01-01' AND DATE'2099-12-31' AND date_format({day}, '{layout}') = m, false)", f"date_format(date_add(DATE'1900-01-01', cast({walk} AS int)), '{layout}')"
 
 
 def _replacement(key: str) -> str:
     """SQL of struct(kind, text) for a match ``m``; kind is null where it is not valid."""
-    country = r"regexp_extract(m, '^([+]?[0-9]{1,3}[ .-]?(?=[(])|[+][0-9]{1,3}[ .-]?)', 1)"
-    phone = f"concat({country}, {_permuted_text(f'substr(m, length({country}) + 1)', 'phone', key)})"
-    email = f"concat({_permuted_text('''substring_index(m, '@', 1)''', 'email', key)}, '@', substring_index(m, '@', -1))"
+    email = f"concat({_permuted_text('''substring_index(m, '@', 1)''', 'email', key, fold=True)}, '@', substring_index(m, '@', -1))"
     dates = [("^....-", "yyyy-MM-dd"), ("/", "dd/MM/yyyy"), ("[.]", "dd.MM.yyyy")]
     whole = {k: f"m RLIKE {_sql('^(?:' + p + ')$')}" for k, p in PATTERNS.items()}
     cases = [(whole["email"], "email", "true", email), (whole["iban"], "iban", *_iban(key))]
-    cases.append((f"{whole['date']} AND m RLIKE '^../(1[3-9]|[2-9][0-9])/'", "date", *_month_first(key)))
+    cases.append((f"{whole['date']} AND m RLIKE '^../(1[3-9]|[2-9][0-9])/'", "date", *_date("MM/dd/yyyy", key)))
     cases += [(f"{whole['date']} AND m RLIKE '{p}'", "date", *_date(layout, key)) for p, layout in dates]
-    cases += [(whole["ip"], "ip", *_ip(key)), (whole["phone"], "phone", "true", phone), (whole["ssn"], "ssn", *_ssn(key)), (whole["card"], "card", *_card(key))]
+    cases += [(whole["ip"], "ip", *_ip(key)), (whole["phone"], "phone", *_phone(key)), (whole["ssn"], "ssn", *_ssn(key)), (whole["card"], "card", *_card(key))]
     cases.append((whole["secret"], "secret", "true", _permuted_text("m", "secret", key, hexadecimal=True)))
     when = " ".join(f"WHEN {test} THEN IF({valid}, struct('{kind}' AS kind, {new} AS text), {{same}})" for test, kind, valid, new in cases)
     same = "struct(cast(NULL AS string) AS kind, m AS text)"
