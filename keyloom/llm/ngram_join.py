@@ -54,6 +54,12 @@ FILTER_BITS = 1 << 24
 TREE = 512
 PARITY_BITS = 512
 HUB_PERCENT = 104
+#: Rounds that pair sets of different components by one each, and steps of size (as e ** (1 / 20)) that mix in them.
+SWEEPS = 4
+SIZE_STEPS = 20
+ORDERS = 8
+#: Shingles of a set that tell whether a pair has met at an earlier one.
+EARLIER = 64
 FOLD = byte_table()
 
 
@@ -443,31 +449,79 @@ def parities(sets: DataFrame) -> DataFrame:
     return sets.select("fp", "members").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def connected(shared: DataFrame, sets_of, part: int, of: int) -> DataFrame:
-    """(node, component) of all sets linked to others, from the rows of ``shared_shingles``.
+def swept(placed: DataFrame, seed: int, part: int, of: int) -> DataFrame:
+    """(a, b): each set with one set of another component that shares a shingle, as many pairs as rows at most.
 
-    ``sets_of`` gives (fp, members) for a table of wanted ``fp``.
+    Sets of a shingle and of like size come in one of some orders drawn by ``seed``; a set meets the
+    last one before it whose component differs.  A hot shingle spans tasks, as the order is dealt by ranges.
     """
-    first = settled(shared.where("hub IS NOT NULL").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct(), "pairs")
-    sets = settled(sets_of(settled(shared.select("fp").distinct(), "wanted")), "sets")
-    links = settled(verified(first, sets, part, of), "links")
-    found = components(links)
+    order = ["shingle", "size", "place"]
+    rows = placed.withColumn("size", F.floor(F.log("n") * SIZE_STEPS)).withColumn("place", F.xxhash64("fp", F.pmod("shingle", F.lit(ORDERS)), F.lit(seed)))
+    rows = rows.select(*order, "fp", "n", "at", "component").repartitionByRange(*order).sortWithinPartitions(*order)
 
-    # sets that share a shingle across components
+    def run(batches):
+        held = [np.zeros(0, np.int64)] * 5  # the latest row and the one it has met, before this batch
+        for batch in batches:
+            columns = [batch.column(c).to_numpy().astype(np.int64) for c in (0, 3, 4, 5, 6)]
+            sh, fp, n, at, component = (np.concatenate([h, c]) for h, c in zip(held, columns))
+            begins = np.ones(len(sh), bool)  # of a run of one shingle and component
+            begins[1:] = (sh[1:] != sh[:-1]) | (component[1:] != component[:-1])
+            met = np.maximum.accumulate(np.where(begins, np.arange(len(sh)), 0)) - 1
+            i = np.flatnonzero((met >= 0) & (sh[met] == sh))
+            j = met[i]
+            yes = bounded(n[i], n[j], at[i], at[j], part, of)
+            i, j = i[yes], j[yes]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[i], fp[j])), pa.array(np.maximum(fp[i], fp[j]))], names=["a", "b"])
+            if len(sh):
+                last = [k for k in (met[-1], len(sh) - 1) if k >= 0]
+                held = [c[last] for c in (sh, fp, n, at, component)]
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def across_components(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``shared`` whose shingle is in sets of several components, with the component."""
     placed = shared.join(found, shared["fp"] == found["node"], "left").select("shingle", "fp", "n", "at", F.coalesce("component", "fp").alias("component"))
     placed = settled(placed, "placed")
     split = placed.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("shingle")
-    across = settled(placed.join(split, "shingle", "left_semi").join(parities(sets), "fp"), "across")
+    return settled(placed.join(split, "shingle", "left_semi"), "across")
+
+
+def connected(shared: DataFrame, sets_of, part: int, of: int) -> DataFrame:
+    """(node, component) of all sets linked to others, from the rows of ``shared_shingles``.
+
+    ``sets_of`` gives (fp, members) for a table of wanted ``fp``.
+    """
+    first = shared.where("hub IS NOT NULL").select(F.least("hub", "fp").alias("a"), F.greatest("hub", "fp").alias("b")).distinct()
+    tried = settled(first, "pairs")
+    sets = settled(sets_of(settled(shared.select("fp").distinct(), "wanted")), "sets")
+    found = components(settled(verified(tried, sets, part, of), "links"))
+    rows = across_components(shared, found)
+
+    for seed in range(SWEEPS):
+        pairs = settled(swept(rows, seed, part, of).join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = settled(verified(pairs, sets, part, of), "links")
+        if more.isEmpty():
+            break
+        tried = tried.unionAll(pairs)
+        found = settled(components(more.unionAll(found.select(F.col("node").alias("a"), F.col("component").alias("b")))), "found")
+        rows = across_components(rows.drop("component"), found)
+
+    # what is left is compared in full, a pair at the first shingle that both sets have here
+    met = rows.groupBy("fp").agg(F.slice(F.sort_array(F.collect_list(F.struct("at", "shingle"))), 1, EARLIER).alias("met"))
+    rows = rows.join(met, "fp").join(parities(sets), "fp")
+    rows = settled(rows.withColumn("met", F.transform(F.filter("met", lambda x: x["at"] < F.col("at")), lambda x: x["shingle"])), "across")
     bits = [f"p{k}" for k in range(PARITY_BITS // 64)]
-    a, b = (across.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("fp", "n", "at", "component", *bits)]) for side in "ab")
-    before = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("fp_a") < F.col("fp_b")))
+    a, b = (rows.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("fp", "n", "at", "component", "met", *bits)]) for side in "ab")
     may = bounded(F.col("n_a"), F.col("n_b"), F.col("at_a"), F.col("at_b"), part, of)
     differ = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in bits), F.lit(0))
-    may = may & (differ * (of + part) <= (F.col("n_a") + F.col("n_b")) * (of - part))
-    pairs = a.join(b, (a["shingle"] == b["shingle"]) & (F.col("component_a") != F.col("component_b")) & before & may)
-    pairs = pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    may = may & (differ * (of + part) <= (F.col("n_a") + F.col("n_b")) * (of - part)) & ~F.arrays_overlap("met_a", "met_b")
+    pairs = a.join(b, (a["shingle"] == b["shingle"]) & (F.col("component_a") != F.col("component_b")) & (F.col("fp_a") < F.col("fp_b")) & may)
+    pairs = pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = settled(verified(settled(pairs, "pairs"), sets, part, of), "links")
-    return found if more.isEmpty() else components(links.unionAll(more))
+    if more.isEmpty():
+        return found
+    return components(more.unionAll(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, part: int = PART, of: int = OF, bits: int = FILTER_BITS) -> DataFrame:
