@@ -12,11 +12,12 @@
    leaves in depth-first order with the length each shares with the leaf before.  The
    overlap of a shared part is counted once, and a branch is left as soon as what remains of
    both sets can't reach the threshold.
-4. Components of the links.  Sets that share a shingle in different components are
-   then paired and verified too, under the same bounds and one more: parity bits of both
-   sets differ in no more places than the sets do.  Sets already connected need no
-   further link.  So no link between different components is lost, and groups of many near
-   copies never become all their pairs.
+4. Components of the links.  Rounds pair each set with one set of another component that shares
+   a shingle, in drawn orders, and unite what links.  All sets that then still share a shingle in
+   different components are paired and verified too, at the first shingle they share, under the
+   same bounds and one more: parity bits of both sets differ in no more places than the sets
+   do.  Sets already connected need no further link.  So no link between different components
+   is lost, and groups of many near copies never become all their pairs.
 
 Hashes have 64 bits; equal fingerprints with different sets raise an error.
 
@@ -50,12 +51,14 @@ SKETCH_CHUNK = 1 << 13
 MAP_BITS = 1 << 28
 MAP_PART = 1 << 20
 MAP_HELD = 1 << 22
+#: Bits of the map wanted for each shingle; a smaller corpus takes a map a power of two smaller.
+MAP_ROOM = 16
 FILTER_BITS = 1 << 24
 TREE = 512
 PARITY_BITS = 512
 HUB_PERCENT = 104
 #: Rounds that pair sets of different components by one each, and steps of size (as e ** (1 / 20)) that mix in them.
-SWEEPS = 4
+SWEEPS = 2
 SIZE_STEPS = 20
 ORDERS = 8
 #: Shingles of a set that tell whether a pair has met at an earlier one.
@@ -87,11 +90,11 @@ def fingerprint(s: np.ndarray) -> int:
 class Order:
     """The global order of shingles: certainly of one text only, then by counted rarity, then by value."""
 
-    def __init__(self, counts: np.ndarray, twice: bytes):
-        self.counts, self.twice = counts, np.frombuffer(twice, np.uint8)
+    def __init__(self, counts: np.ndarray, twice: np.ndarray, shift: int):
+        self.counts, self.twice, self.shift = counts, twice, np.uint32(shift)
 
     def alone(self, s: np.ndarray) -> np.ndarray:
-        at = map_places(s)
+        at = map_places(s) >> self.shift
         return (self.twice[at >> np.uint32(3)] >> (at & np.uint32(7)).astype(np.uint8)) & 1 == 0
 
     def sort(self, s: np.ndarray) -> tuple[np.ndarray, int]:
@@ -189,8 +192,11 @@ def folded(parts: DataFrame, start, add, end) -> DataFrame:
     return parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "chunk int, data binary")
 
 
-def global_order(parts: DataFrame) -> Order:
-    """The sketch and the map of shingles seen twice: ``4 * SKETCH + MAP_BITS / 8`` bytes, at any size of data."""
+def global_order(parts: DataFrame, shingles: int | None = None) -> Order:
+    """The sketch and the map of shingles seen twice: ``4 * SKETCH + MAP_BITS / 8`` bytes at most, at any size of data."""
+    shift = 0
+    while shingles is not None and shift < 10 and MAP_BITS >> (shift + 1) >= MAP_ROOM * shingles:
+        shift += 1
 
     def add_counts(total, c):
         c = np.frombuffer(c, np.uint32)
@@ -199,7 +205,7 @@ def global_order(parts: DataFrame) -> Order:
 
     def add_places(total, c):
         once, twice = total
-        places = places_of(np.frombuffer(c, np.uint8))
+        places = places_of(np.frombuffer(c, np.uint8)) >> shift
         again = places[1:][places[1:] == places[:-1]]
         twice[again] = True
         twice[places[once[places]]] = True
@@ -209,17 +215,17 @@ def global_order(parts: DataFrame) -> Order:
     counts = np.zeros((SKETCH // SKETCH_CHUNK, SKETCH_CHUNK), np.uint32)
     for row in folded(parts.where("kind = 0").select("chunk", "data"), lambda: np.zeros(SKETCH_CHUNK, np.uint32), add_counts, lambda t: t.tobytes()).toLocalIterator():
         counts[row["chunk"]] = np.frombuffer(bytes(row["data"]), np.uint32)
-    twice = bytearray(MAP_BITS // 8)
-    width = MAP_PART // 8
+    width = (MAP_PART >> shift) // 8
+    twice = np.zeros((MAP_BITS >> shift) // 8, np.uint8)
     maps = folded(
         parts.where("kind = 1").select("chunk", "data"),
-        lambda: (np.zeros(MAP_PART, bool), np.zeros(MAP_PART, bool)),
+        lambda: (np.zeros(MAP_PART >> shift, bool), np.zeros(MAP_PART >> shift, bool)),
         add_places,
         lambda t: np.packbits(t[1], bitorder="little").tobytes(),
     )
     for row in maps.toLocalIterator():
-        twice[row["chunk"] * width : (row["chunk"] + 1) * width] = row["data"]
-    return Order(counts.ravel(), bytes(twice))
+        twice[row["chunk"] * width : (row["chunk"] + 1) * width] = np.frombuffer(row["data"], np.uint8)
+    return Order(counts.ravel(), twice, shift)
 
 
 def prefix_rows(rows: DataFrame, order, words: int, part: int, of: int) -> DataFrame:
@@ -536,7 +542,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     clash = documents.where("n > 0").groupBy("fp").agg(F.min("proof").alias("x"), F.max("proof").alias("y")).where("x != y")
     if not clash.isEmpty():
         raise RuntimeError("two different shingle sets have one fingerprint")
-    order = spark.sparkContext.broadcast(global_order(scanned))
+    shingles = documents.agg(F.sum("n")).head()[0] or 0
+    order = spark.sparkContext.broadcast(global_order(scanned, shingles))
     shared = settled(shared_shingles(prefix_rows(rows, order, words, part, of), part, of), "shared")
     found = connected(shared, lambda wanted: wanted_sets(rows, wanted, order, words, bits), part, of)
     order.destroy()  # all that needs it is written
