@@ -74,3 +74,22 @@ def test_rare_windows_keep_the_join_small(spark):
     rarity = np.bincount((h & np.uint64(containment.SLOTS - 1)).astype(np.int64), minlength=containment.SLOTS).astype(np.uint32)
     _, keys, _ = block.anchors(rarity)
     assert len(set(keys.tolist())) > 1900
+
+
+def test_short_values_under_many_sets_with_little_memory(spark, monkeypatch):
+    """More bit sets than a round takes, and windows written before a task's end."""
+    rng = random.Random(3)
+    rows = merged(("".join(rng.choices("01é ", k=rng.randint(0, 9))), 1 << rng.randint(0, 50)) for _ in range(600))
+    monkeypatch.setattr(containment, "KEPT_WINDOWS", 50)
+    monkeypatch.setattr(containment, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(containment, "SETS_A_ROUND", 2)
+    assert found(spark, rows) == brute(rows)
+
+
+def test_short_values_meet_in_one_grouping(spark):
+    """Numbers are held by a great many others: they are grouped by their bytes, no pairs are joined."""
+    rows = [(str(i), 1) for i in range(20000)]
+    df = spark.createDataFrame(rows, "value string, w0 long")
+    written = containing(df, ["w0"])
+    assert {tuple(r) for r in written.collect()} == {(v, w, 1) for v, w in rows}
+    assert "Join" not in written._jdf.queryExecution().executedPlan().toString()

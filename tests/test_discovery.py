@@ -253,3 +253,30 @@ def test_inside_counts_against_brute_force(rows):
     got = {(tables.columns[r["inner"]][1], tables.columns[r["outer"]][1]): r["held"] for r in discovery.inside_counts(sets, words, cids).collect()}
     want = {(i, o): sum(any(v in w for w in data[o]) for v in set(data[i])) for i in data for o in data if i != o}
     assert got == {k: n for k, n in want.items() if n}
+
+
+def test_values_are_counted_before_they_become_text(spark):
+    """The first grouping is of native values, so rows that repeat a value are not turned into text one by one."""
+    df = spark.range(1000).selectExpr("id % 5 AS k", "IF(id % 4 = 0, NULL, id % 3 + 0.5D) AS x", "IF(id % 2 = 0, '7', 'b') AS s", "date_from_unix_date(CAST(id % 2 AS INT)) AS d")
+    tables = discovery.Tables({"t": df})
+    cids = [c[0] for c in tables.columns]
+    counted = discovery.value_counts(tables, cids)
+    got = {(tables.columns[r["cid"]][3].name, r["value"], r["number"]): r["n"] for r in counted.collect()}
+    want = {("k", str(i), True): 200 for i in range(5)} | {("x", f"{i}.5", True): 250 for i in range(3)} | {("x", None, True): 250}
+    want |= {("s", "7", False): 500, ("s", "b", False): 500, ("d", "1970-01-01", False): 500, ("d", "1970-01-02", False): 500}
+    assert got == want
+    sets, _ = discovery.value_sets(tables, cids)
+    assert {(r["value"], r["number"], r["w0"]) for r in sets.where("value = '7' OR value = '4'").collect()} == {("7", False, 4), ("4", True, 1)}
+    numbers = discovery.value_counts(discovery.Tables({"t": df.select("k")}), [0])._jdf.queryExecution().optimizedPlan().toString()
+    top, below = numbers.split("\n", 1)
+    assert top.startswith("Aggregate") and "as string)" in top and "as string)" not in below
+
+
+def test_column_facts_weigh_all_rows(spark):
+    rows = [("12345", 1)] * 6 + [("x", None)] * 3 + [(None, 2)] * 3
+    tables = discovery.two_tables("a", spark.createDataFrame(rows, "code string, n int"), "b", spark.createDataFrame([], "e string"))
+    cids = [c[0] for c in tables.columns]
+    got = {r["cid"]: r.asDict() for r in discovery.column_facts(tables, cids, discovery.value_counts(tables, cids)).collect()}
+    assert got[0] == {"cid": 0, "pattern": "orgao", "avg_length": (6 * 5 + 3) / 9, "present": 9, "rows": 12}
+    assert got[1] == {"cid": 1, "pattern": None, "avg_length": 1.0, "present": 9, "rows": 12}
+    assert got[2] == {"cid": 2, "pattern": None, "avg_length": None, "present": 0, "rows": 0}
