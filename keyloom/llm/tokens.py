@@ -15,6 +15,8 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -22,9 +24,12 @@ _MARK = "!\"#$%&()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~"
 TWO_SPACES = re.compile(f"[{_SPACE}][{_SPACE}]")
 #: Letters of one word, then marks: a tokenizer of either kind never joins the two.
 WORD_AND_MARKS = re.compile(f"([{_LETTER}]+)([{_MARK}]*)")
+MARKS = re.sub(r"\\(.)", r"\1", _MARK)
 #: Entries of each generation of a lookup; the older of two goes when the newer is full.
 REMEMBERED = 350_000
 LONGEST = 48
+#: Characters of the texts that are split and looked up at once.
+CHARACTERS = 1 << 22
 
 
 def _kind(spec: dict) -> str | None:
@@ -55,7 +60,7 @@ class _Lookup:
         self.old_pieces, self.pieces = self.pieces, {}
         return True
 
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Add pieces that are not known; long ones are returned, not remembered."""
         known, words, marks = self.pieces, self.words, self.owner.marks
         if self.old_pieces:
@@ -66,21 +71,27 @@ class _Lookup:
         if len(words) + len(pieces) > REMEMBERED:
             self.old_words, self.words = words, {}
             words = self.words
-        split, odd, new = [], [], set()
-        match = WORD_AND_MARKS.fullmatch
+        plain, split, odd, new = [], [], [], set()
+        match, old = WORD_AND_MARKS.fullmatch, self.old_words
         for p in pieces:
-            m = match(p) if len(p) <= LONGEST else None
-            if m is None:
+            if len(p) > LONGEST:
                 odd.append(p)
                 continue
-            word, mark = m.groups()
-            split.append((p, word, mark))
+            word = p.rstrip(MARKS)
+            if not (word.isalpha() and word.isascii() or match(word)):
+                odd.append(p)
+                continue
+            if len(word) == len(p):
+                plain.append(p)
+            else:
+                split.append((p, word, p[len(word) :]))
             if word not in words:
-                if word in self.old_words:
-                    words[word] = self.old_words[word]
+                if word in old:
+                    words[word] = old[word]
                 else:
                     new.add(word)
         words.update(self.owner.encode_words(list(new), self.lead))
+        known.update(zip(plain, map(words.__getitem__, plain)))
         for p, word, mark in split:
             if mark not in marks:
                 if len(marks) > REMEMBERED:
@@ -117,14 +128,14 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_words(self, words: list[str], lead: str) -> dict[str, bytes]:
         """Ids of single words of letters, many in one call: word borders show in the ids."""
         out = {}
         if lead or self.kind == "words":
             groups = [words[i : i + 500] for i in range(0, len(words), 500)]
-            joined = self.tokenizer.encode_batch([" " + " ".join(g) for g in groups], add_special_tokens=False)
+            joined = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
             for group, got in zip(groups, joined):
                 ids = np.array(got.ids, np.uint32)
                 cuts = np.flatnonzero(self.border[ids]) + (self.kind == "words")
@@ -142,50 +153,71 @@ class Encoder:
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of every text; a null text has none."""
-        return [np.frombuffer(x, np.uint32) for i in range(0, len(texts), 200) for x in self._some(texts[i : i + 200])]
-
-    @staticmethod
-    def _learnt(lookup: _Lookup, pieces: set[str]) -> dict[str, bytes]:
-        """Make all pieces known; returns those that are not remembered."""
-        missing = pieces.difference(lookup.pieces)
-        if missing and lookup.turn(len(missing)):
-            missing = pieces
-        return lookup.learn(missing) if missing else {}
-
-    def _some(self, texts: list[str | None]) -> list[bytes]:
-        cut: list[list[list[str]] | None] = []
+        out, some, held = [], [], 0
         for text in texts:
-            doubt = TWO_SPACES.search(text or "") if self.kind == "spaced" else "\u0130" in (text or "")  # the one letter that grows in lower case
-            if not text or self.kind is None or doubt or any(s in text for s in self.special):
-                cut.append(None)
-            elif self.kind == "words":
-                cut.append([["", *text.replace("\n", " ").split(" ")]])
-            else:
-                cut.append([line.split(" ") for line in text.split("\n")])
-        first = {line[0] for lines in cut if lines for line in lines}
-        others: set[str] = set()
-        for lines in cut:
-            for line in lines or ():
-                others.update(line[1:])
-        own_bare, own_spaced = self._learnt(self.bare, first), self._learnt(self.spaced, others)
-        bare, spaced = self.bare.pieces, self.spaced.pieces
-        out = []
-        for text, lines in zip(texts, cut):
-            if lines is None:
-                out.append(self.whole(text) if text else b"")
+            if some and held + len(text or "") > CHARACTERS:
+                out += self._some(some)
+                some, held = [], 0
+            some.append(text)
+            held += len(text or "")
+        return out + self._some(some)
+
+    def _some(self, texts: list[str | None]) -> list[np.ndarray]:
+        cut, uncut = [], []
+        for i, text in enumerate(texts):
+            if not text:
                 continue
-            parts: list[bytes] = []
-            for line in lines:
-                if parts:
-                    parts.append(self.line)
-                parts.append(own_bare[line[0]] if line[0] in own_bare else bare[line[0]])
-                if own_spaced:
-                    parts += [own_spaced[p] if p in own_spaced else spaced[p] for p in line[1:]]
-                else:
-                    parts += [spaced[p] for p in line[1:]]
-            out.append(b"".join(parts))
+            doubt = TWO_SPACES.search(text) if self.kind == "spaced" else "\u0130" in text  # the one letter that grows in lower case
+            (uncut if self.kind is None or doubt or any(s in text for s in self.special) else cut).append(i)
+        out = [np.zeros(0, np.uint32)] * len(texts)
+        for i, ids in zip(uncut, self.batch([texts[i] for i in uncut])):
+            out[i] = np.frombuffer(ids, np.uint32)
+        if cut:
+            for i, ids in zip(cut, self._looked_up([texts[i] for i in cut])):
+                out[i] = ids
         return out
 
+    def _looked_up(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts that may be cut: pieces are numbered by Arrow, and their ids gathered by those numbers."""
+        column = pa.array(texts, pa.string())
+        if self.kind == "words":
+            lines, line_at = pc.replace_substring(column, "\n", " "), np.arange(len(texts) + 1)
+        else:
+            split = pc.split_pattern(column, "\n")
+            lines, line_at = split.flatten(), split.offsets.to_numpy()
+        split = pc.split_pattern(lines, " ")
+        at, coded = split.offsets.to_numpy(), split.flatten().dictionary_encode()
+        code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if self.kind == "words":
+            blobs = self._ids(self.spaced, names)
+        else:  # three forms of a piece: after a blank, first of a text, first of a later line
+            code[at[:-1]] += 2 * len(names)
+            code[at[line_at[:-1]]] -= len(names)
+            used = np.zeros(3 * len(names), bool)
+            used[code] = True
+            code = (np.cumsum(used) - 1)[code]
+            inner, first, later = ([names[i] for i in np.flatnonzero(u).tolist()] for u in np.split(used, 3))
+            blobs = self._ids(self.spaced, inner) + self._ids(self.bare, first) + [self.line + ids for ids in self._ids(self.bare, later)]
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        start, lengths = np.cumsum(size) - size, size[code]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+        ids = np.frombuffer(b"".join(blobs), np.uint32)[np.repeat(start[code] - ends[:-1], lengths) + np.arange(ends[-1])]
+        return np.split(ids, ends[at[line_at]][1:-1])
+
+    @staticmethod
+    def _ids(lookup: _Lookup, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        found = list(map(lookup.pieces.get, pieces))
+        missing = [p for p, ids in zip(pieces, found) if ids is None]
+        if not missing:
+            return found
+        if lookup.turn(len(missing)):
+            missing = pieces
+        own = lookup.learn(missing)
+        known = lookup.pieces
+        new = iter([own[p] if p in own else known[p] for p in missing])
+        return list(new) if missing is pieces else [next(new) if ids is None else ids for ids in found]
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from keyloom.llm import packing, token_files
+from keyloom.llm import packing, token_files, tokens
 from keyloom.llm.tokens import Encoder
 
 from .conftest import EDGE
@@ -34,6 +34,38 @@ def test_pieces_equal_whole_texts(name):
     assert [x.tolist() for x in ours.encode_all(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_pieces_are_looked_up_once_for_all_their_places(name):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    path = public_tokenizers.path(name)
+    ours, whole = Encoder(path), Tokenizer.from_file(path)
+    ours.bare.pieces, ours.spaced.pieces = Counted(), Counted()
+    texts = ["the cat, the dog.\nthe cat's hat\n(a) the " + "the cat " * 5000 + "x", None, "", "\n", " the\nthe"]
+    got = [x.tolist() for x in ours.encode_all(texts)]
+    assert got == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert Counted.asked < 100
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_little_memory_changes_no_ids(name, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 6)
+    monkeypatch.setattr(tokens, "CHARACTERS", 40)
+    path = public_tokenizers.path(name)
+    ours, whole = Encoder(path), Tokenizer.from_file(path)
+    texts = [" ".join(f"{w}{m}" for w in ("ab", "cd" * (i % 4 + 1), "é", "3x", "z" * 60)[: i % 6] for m in ("", ",", "'s", "?!")) + "\n" * (i % 2) + "ab" for i in range(60)]
+    assert [x.tolist() for x in ours.encode_all(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=30), max_size=8))
 def test_values_round_trip(documents):
