@@ -1,11 +1,15 @@
+import glob
 import random
 import re
+import tempfile
+import time
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from keyloom.llm import components, ngram_join
+from keyloom.session import SHUFFLE_CLEANUP, settled_clean
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -103,3 +107,18 @@ def test_one_row_of_a_group(spark, edge, empty):
     assert got == sorted([(4, "one"), (4, a), (None, b), (3, c), (7, ""), (7, ""), (8, ""), (None, "alone")], key=str)
     assert ngram_join.keep_one_row(edge).columns == edge.columns
     assert ngram_join.keep_one_row(empty).count() == 0
+
+
+def test_a_written_step_leaves_no_shuffle_files(spark):
+    def files():
+        return set(glob.glob(f"{tempfile.gettempdir()}/blockmgr-*/*/shuffle_*.data"))
+
+    before, mark = files(), spark.conf.get(SHUFFLE_CLEANUP, None)
+    step = spark.range(1000).repartition("id")
+    written = settled_clean(step)
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == mark
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert written.count() == settled_clean(step).count() == 1000  # the step can be run again
