@@ -76,12 +76,12 @@ def cut_pieces(n: int, limit: int) -> list[tuple[int, int]]:
     return ([(0, head)] if head else []) + [(s, limit) for s in range(head, n, limit)]
 
 
-def document_pieces(df: DataFrame, tokenizer: str, end_id: int, limit: int, id_col: str, text_col: str) -> DataFrame:
+def document_pieces(df: DataFrame, tokenizer: str, end_id: int, limit: int, id_col: str, text_col: str, remembered: int | None = None) -> DataFrame:
     """A row per piece: uid, doc_id, piece, start, length, ids_crc32."""
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches):
-        encode, n = encoder(tokenizer), 0
+        encode, n = encoder(tokenizer, remembered), 0
         base = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in row_batches(batch, 500):
@@ -142,14 +142,16 @@ def pack_documents(
     attention: int | None = None,
     rule: str = "norm",
     run_pieces: int = RUN_PIECES,
+    remembered: int | None = None,
 ) -> DataFrame:
     """Pack all documents into sequences of at most ``tokens`` tokens and ``documents`` pieces.
 
     ``attention`` bounds the sum of squared lengths in a sequence; by default it is
     ``tokens`` squared, which every sequence meets.  A smaller bound also shortens the pieces.
+    ``remembered`` bounds the entries of the tokenizer's lookups, where a task has little memory.
     """
     if attention is None:
         attention = tokens * tokens
     limit = min(tokens, int(attention**0.5))
-    pieces = settled(document_pieces(df, tokenizer, end_id, limit, id_col, text_col), "pieces")
+    pieces = settled(document_pieces(df, tokenizer, end_id, limit, id_col, text_col, remembered), "pieces")
     return pack_pieces(pieces, tokens, documents, attention, rule, run_pieces)

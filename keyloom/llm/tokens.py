@@ -55,7 +55,7 @@ class _Lookup:
 
     def turn(self, coming: int) -> bool:
         """Begin a new generation of pieces if so many more would not fit."""
-        if len(self.pieces) + coming <= REMEMBERED:
+        if len(self.pieces) + coming <= self.owner.room:
             return False
         self.old_pieces, self.pieces = self.pieces, {}
         return True
@@ -68,7 +68,7 @@ class _Lookup:
             back = {p: old[p] for p in pieces if p in old}
             known.update(back)
             pieces = [p for p in pieces if p not in back]
-        if len(words) + len(pieces) > REMEMBERED:
+        if len(words) + len(pieces) > self.owner.room:
             self.old_words, self.words = words, {}
             words = self.words
         plain, split, odd, new = [], [], [], set()
@@ -94,7 +94,7 @@ class _Lookup:
         known.update(zip(plain, map(words.__getitem__, plain)))
         for p, word, mark in split:
             if mark not in marks:
-                if len(marks) > REMEMBERED:
+                if len(marks) > self.owner.room:
                     marks.clear()
                     marks[""] = b""
                 marks[mark] = self.owner.whole(mark)
@@ -108,7 +108,7 @@ class _Lookup:
 class Encoder:
     """Token ids of texts as arrays of unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -117,6 +117,7 @@ class Encoder:
             spec = json.load(f)
         self.kind = _kind(spec)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.remembered = remembered
         self.marks: dict[str, bytes] = {"": b""}
         self.bare, self.spaced = _Lookup(self, ""), _Lookup(self, " ")
         self.border = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
@@ -124,6 +125,11 @@ class Encoder:
             self.border[i] = token.startswith("Ġ") if self.kind == "spaced" else token.endswith("</w>")
         self.line = self.whole("\n") if self.kind == "spaced" else b""
 
+    @property
+    def room(self) -> int:
+        """Entries of each generation of a lookup."""
+        return REMEMBERED if self.remembered is None else self.remembered
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
@@ -220,9 +226,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
-    return Encoder(path)
+def encoder(path: str, remembered: int | None = None) -> Encoder:
+    """One encoder per worker process, file and size of its lookups; smaller ones give the same ids, more slowly."""
+    return Encoder(path, remembered)
 
 
 def vocabulary_size(path: str) -> int:

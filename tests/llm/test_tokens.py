@@ -66,6 +66,16 @@ def test_little_memory_changes_no_ids(name, monkeypatch):
     assert [x.tolist() for x in ours.encode_all(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_an_encoder_keeps_to_the_entries_it_may_remember():
+    small = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), remembered=50)
+    large = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" ".join(f"w{chr(97 + (i * k) % 26)}{chr(97 + i % 23)}{chr(97 + k % 19)}" for i in range(20)) for k in range(40)]
+    for text in texts:
+        assert small.encode(text).tolist() == large.encode(text).tolist()
+        assert max(len(small.spaced.pieces), len(small.spaced.old_pieces), len(small.spaced.words)) <= 50
+    assert len(large.spaced.pieces) > 50
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=30), max_size=8))
 def test_values_round_trip(documents):
