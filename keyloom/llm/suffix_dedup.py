@@ -29,13 +29,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloom.llm.ngram_join import filter_bits
 from keyloom.llm.bloom import may_contain
-from keyloom.llm.textops import blocks, buffers, byte_table, mix, span_hashes, spare_name
+from keyloom.llm.textops import blocks, buffers, byte_sums, byte_table, mix, row_batches, spare_name, summed_spans
 from keyloom.session import settled
 
 LENGTH = 200
@@ -49,10 +51,10 @@ HULL = byte_table(fold_case=False, seed=3)
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """The anchor of every window start; ``data`` has at most 2 ** 20 bytes and the windows lie in it."""
-    n = len(data) - gram + 1
-    grams = span_hashes(data, np.arange(n), np.arange(gram, gram + n), CORE)
+def anchors(sums: np.ndarray, starts: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """The anchor of every window start, from the sums of at most 2 ** 20 bytes that the windows lie in."""
+    n = len(sums) - gram
+    grams = summed_spans(sums, slice(0, n), slice(gram, gram + n))
     low = np.uint64(SEGMENT * 2 - 1)
     least = (grams & ~low) | np.arange(n, dtype=np.uint64)  # ties: the first
     width, size = length - gram + 1, 1
@@ -89,13 +91,15 @@ def pieces(column: pa.Array, length: int):
             yield own, starts, np.full(len(starts), i), starts + s
 
 
-def level_rows(column: pa.Array, size: int, length: int, gram: int):
-    """Arrays (row, core, hull, low, n, parent, grand) of the blocks of at most ``size`` windows (0: whole blocks).
+def level_rows(column: pa.Array, size: int, length: int, gram: int, wanted=()):
+    """Arrays (row, core, hull, low, n) of the blocks of at most ``size`` windows (0: whole blocks).
 
-    ``parent`` names the whole block a part belongs to, ``grand`` the part of ``FINE`` windows.
+    ``wanted`` tells which names of whole blocks, and which of their parts of ``FINE`` windows, go on in parts;
+    nothing else is made of the others.
     """
     for data, starts, owner, place in pieces(column, length):
-        anchor = anchors(data, starts, length, gram)
+        sums, hull_sums = byte_sums(data, CORE), byte_sums(data, HULL)
+        anchor = anchors(sums, starts, length, gram)
         back = anchor - starts  # how far the anchor lies behind the start
         new = np.ones(len(starts), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
@@ -104,61 +108,63 @@ def level_rows(column: pa.Array, size: int, length: int, gram: int):
 
         def hull(a, b):
             """Names of whole parts from window ``a`` to window ``b``: their text and where the anchor is."""
-            h = span_hashes(data, starts[a], starts[b] + length, HULL)
+            h = summed_spans(hull_sums, starts[a], starts[b] + length)
             return mix(h ^ mix(back[a].astype(np.uint64) * _ODD + back[b].astype(np.uint64)))
 
         whole = hull(first, last)
         if size == 0:
             at = anchor[first]
-            core = span_hashes(data, at, at + gram, CORE)
-            yield owner[first], core, whole, place[first], last - first + 1, whole, whole
+            yield owner[first], summed_spans(sums, at, at + gram), whole, place[first], last - first + 1
             continue
-        parents = np.repeat(whole, last - first + 1)
-
-        def parts(width):
-            cut = new.copy()
-            cut[1:] |= back[1:] // width != back[:-1] // width
-            a = np.flatnonzero(cut)
-            return a, np.append(a[1:], len(starts)) - 1
-
-        a, b = parts(FINE)
+        if wanted:
+            keep = np.repeat(wanted[0](whole), last - first + 1)
+            starts, owner, place, anchor, back, new = (x[keep] for x in (starts, owner, place, anchor, back, new))
+            if not len(starts):
+                continue
+        new |= np.diff(back // FINE, prepend=back[0]) != 0
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(starts)) - 1
         fine = hull(a, b)
         if size == FINE:
             # shared by all windows of the aligned part, whichever of them exist here
             top = back[a] // FINE * FINE
-            core = span_hashes(data, anchor[a] - top, anchor[a] - top - FINE + 1 + length, CORE)
+            core = summed_spans(sums, anchor[a] - top, anchor[a] - top - FINE + 1 + length)
             core = mix(core ^ (top.astype(np.uint64) * _ODD))
-            yield owner[a], core, fine, place[a], b - a + 1, parents[a], fine
+            yield owner[a], core, fine, place[a], b - a + 1
             continue
-        core = span_hashes(data, starts, starts + length, CORE)
-        yield owner, core, hull(np.arange(len(starts)), np.arange(len(starts))), place, np.ones(len(starts), np.int64), parents, np.repeat(fine, b - a + 1)
+        if wanted:
+            keep = np.repeat(wanted[1](fine), b - a + 1)
+            starts, owner, place, back = (x[keep] for x in (starts, owner, place, back))
+        every = slice(None)
+        yield owner, summed_spans(sums, starts, starts + length), hull(every, every), place, np.ones(len(starts), np.int64)
 
 
-def level(rows: DataFrame, size: int, length: int, gram: int, open_names: bytes | None, bits: int) -> DataFrame:
+def level(rows: DataFrame, size: int, length: int, gram: int, open_names: list[Broadcast], bits: int) -> DataFrame:
     """(core, hull, key, id, low, n) of all blocks of a level; below the first, parts of open ones only.
 
     An open block occurs once.  A settled one goes on as a partner, and is enough once a task.
+    ``open_names`` has a filter for each level before: a part is open in all of them.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(open_names) if open_names is not None else None
     id_field = rows.schema["id"]
     names = ["core", "hull", "key", "id", "low", "n"]
 
     def run(batches):
-        seen: set[int] = set()
+        def first_open(names):
+            seen: set[int] = set()
+
+            def test(named):
+                take = may_contain(names.value, bits, named)
+                for g in np.flatnonzero(take).tolist():
+                    name = int(named[g])
+                    take[g] = name not in seen
+                    seen.add(name)
+                return take
+
+            return test
+
+        wanted = [first_open(names) for names in open_names]
         for batch in batches:
-            for owner, core, hull, low, n, parent, grand in level_rows(batch.column(2), size, length, gram):
-                if shared is not None:
-                    ask = parent if size == FINE else grand
-                    new = np.ones(len(ask), bool)
-                    new[1:] = ask[1:] != ask[:-1]
-                    named = ask[new]
-                    take = may_contain(shared.value, bits, named)
-                    for g in np.flatnonzero(take).tolist():
-                        name = int(named[g])
-                        take[g] = name not in seen
-                        seen.add(name)
-                    keep = take[np.cumsum(new) - 1]
-                    owner, core, hull, low, n = (x[keep] for x in (owner, core, hull, low, n))
+            for owner, core, hull, low, n in level_rows(batch.column(2), size, length, gram, wanted):
                 for s in range(0, len(owner), 50_000):
                     cut = slice(s, s + 50_000)
                     at = pa.array(owner[cut])
@@ -229,7 +235,7 @@ def repeated_runs(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, bits:
     ``rows`` has key, id and text.
     """
     out = None
-    names = None
+    names: list[Broadcast] = []
     for size in (0, FINE, 1):
         table = settled(decided(level(rows, size, length, gram, names, bits)), f"level{size}")
         found = table.where(F.col("state").bitwiseAND(SETTLED) != 0).select("key", "id", "low", (F.col("low") + F.col("n") + length - 1).alias("high"))
@@ -238,7 +244,9 @@ def repeated_runs(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, bits:
             break
         still = table.where(F.col("state") == OPEN).select("core", "hull")
         partner = table.where(F.col("state") == SETTLED + FIRST).select("core", "hull").join(still.select("core").distinct(), "core", "left_semi")
-        names = filter_bits(still.unionAll(partner).select("hull"), bits)
+        names = [*names, rows.sparkSession.sparkContext.broadcast(filter_bits(still.unionAll(partner).select("hull"), bits))]
+    for name in names:
+        name.destroy()  # all levels are written
     return out
 
 
@@ -262,33 +270,43 @@ def drop_repeated_strings(df: DataFrame, id_col: str = "doc_id", text_col: str =
     both = df.join(runs, key.eqNullSafe(F.col(mine[0])) & F.col(f"`{id_col}`").eqNullSafe(F.col(mine[1])), "left")
     both = both.select([F.col(f"`{c}`") for c in df.columns] + [F.col(mine[2])])
     at, width = df.columns.index(text_col), len(df.columns)
-    run_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
     more = T.StructType.fromDDL(f"`{added[0]}` binary, `{added[1]}` long, `{added[2]}` array<struct<begin:long,end:long>>")
     schema = T.StructType([*df.schema.fields, *more.fields])
     names = schema.names
 
     def run(batches):
         for batch in batches:
-            kept, sizes, removed = [], [], []
-            for text, ranges in zip(batch.column(at), batch.column(width)):
-                raw = text.as_py().encode() if text.is_valid else b""
-                gone = united([(r["low"], r["high"]) for r in ranges.as_py()]) if ranges.is_valid else []
-                ends = [0, *[b for _, b in gone]]
-                begins = [*[a for a, _ in gone], len(raw)]
-                kept.append(b"".join(raw[a:b] for a, b in zip(ends, begins)))
-                sizes.append(len(raw))
-                removed.append([{"begin": a, "end": b} for a, b in gone])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, run_type)], names=names)
+            for part in row_batches(batch, 500):
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], *without_runs(part.column(at), part.column(width))], names=names)
 
     return both.mapInArrow(run, schema)
 
 
-def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Sorted, disjoint and not touching."""
-    out: list[list[int]] = []
-    for a, b in sorted(ranges):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def without_runs(texts: pa.Array, ranges: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(kept bytes, number of bytes, removed runs) of texts that lose their lists of ranges (low, high)."""
+    data, at = buffers(texts)
+    flat = ranges.flatten()
+    owner = np.repeat(np.arange(len(ranges)), pc.fill_null(pc.list_value_length(ranges), 0).to_numpy())
+    owner, begin, end = united(owner, at[owner] + flat.field("low").to_numpy(), at[owner] + flat.field("high").to_numpy())
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[begin] += 1
+    edge[end] -= 1
+    stays = np.cumsum(edge[:-1], dtype=np.int8) == 0
+    gone = np.bincount(owner, end - begin, len(texts)).astype(np.int64)
+    kept_at = np.append(0, np.cumsum(np.diff(at) - gone))
+    kept = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(kept_at.astype(np.int32)), pa.py_buffer(data[stays])])
+    runs = pa.StructArray.from_arrays([pa.array(begin - at[owner]), pa.array(end - at[owner])], names=["begin", "end"])
+    runs_at = np.append(0, np.cumsum(np.bincount(owner, minlength=len(texts))))
+    return kept, pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(runs_at.astype(np.int32)), runs)
+
+
+def united(owner: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ranges of each owner sorted, disjoint and not touching; ranges of a later owner lie behind."""
+    if not len(owner):
+        return owner, begin, end
+    order = np.lexsort((begin, owner))
+    owner, begin, end = owner[order], begin[order], np.maximum.accumulate(end[order])
+    new = np.ones(len(owner), bool)
+    new[1:] = (begin[1:] > end[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    return owner[first], begin[first], end[np.append(first[1:], len(owner)) - 1]

@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from keyloom.llm import suffix_dedup
@@ -63,3 +65,37 @@ def test_texts_longer_than_a_segment(spark, monkeypatch):
     starts = [(int(o), int(p)) for _, s, owner, place in suffix_dedup.pieces(column, 200) for o, p in zip(owner, place)]
     assert sorted(starts) == [(i, p) for i, (_, t) in enumerate(rows) for p in range(len(t) - 199)]
     assert ours(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows, 200)
+
+
+def test_parts_are_made_of_wanted_blocks_only(monkeypatch):
+    """Bytes are summed once a table, and nothing is named in blocks that are not wanted."""
+    rng = random.Random(8)
+    column = pa.array([" ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(400)) for _ in range(5)])
+    whole = list(suffix_dedup.level_rows(column, 0, 200, 64))
+    names = np.concatenate([x[2] for x in whole])
+    sums, named = [], []
+    real_sums, real_spans = suffix_dedup.byte_sums, suffix_dedup.summed_spans
+    monkeypatch.setattr(suffix_dedup, "byte_sums", lambda *a: sums.append(1) or real_sums(*a))
+
+    def spans(s, a, b):
+        out = real_spans(s, a, b)
+        named.append(len(out))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "summed_spans", spans)
+    chosen = names[:3]
+    every = list(suffix_dedup.level_rows(column, 1, 200, 64, [lambda x: np.isin(x, chosen), lambda x: np.ones(len(x), bool)]))
+    assert len(sums) == 2
+    n = sum(int(x[4].sum()) for x in whole for x in [[c[np.isin(x[2], chosen)] for c in x]])
+    assert sum(len(x[0]) for x in every) == n
+    assert sum(named[2:]) <= 3 * n  # after the anchors and the whole blocks
+
+
+def test_runs_of_one_text_are_united():
+    texts = pa.array(["abcdefgh", None, "", "héllo", "xyz"])
+    ranges = pa.array([[(4, 6), (1, 3), (3, 4)], None, [], [(0, 1), (1, 3)], [(0, 3)]], pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])))
+    kept, sizes, runs = suffix_dedup.without_runs(texts[1:], ranges[1:])
+    assert kept.to_pylist() == [b"", b"", b"llo", b""]
+    kept, sizes, runs = suffix_dedup.without_runs(texts, ranges)
+    assert kept.to_pylist() == [b"agh", b"", b"", b"llo", b""] and sizes.to_pylist() == [8, 0, 0, 6, 3]
+    assert [[(x["begin"], x["end"]) for x in r] for r in runs.to_pylist()] == [[(1, 6)], [], [], [(0, 3)], [(0, 3)]]
