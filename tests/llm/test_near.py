@@ -122,3 +122,16 @@ def test_a_written_step_leaves_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not files() - before
     assert written.count() == settled_clean(step).count() == 1000  # the step can be run again
+
+
+def test_a_set_tries_its_best_hub_before_others(spark):
+    """Of a set's hubs the one at most of its shingles comes first, and others only where they are in another component."""
+    rows = [(1, 10, 5, 0, None), (1, 11, 5, 0, 10), (2, 11, 5, 1, 10), (3, 9, 5, 0, None), (3, 11, 5, 2, 9), (4, 12, 5, 0, 9)]
+    shared = spark.createDataFrame(rows, "shingle long, fp long, n int, at int, hub long")
+    pairs = ngram_join.hub_pairs(shared)
+    assert sorted(map(tuple, pairs.collect())) == [(9, 11, False), (9, 12, True), (10, 11, True)]
+    found = spark.createDataFrame([(11, 10), (10, 10), (12, 9), (9, 9)], "node long, component long")
+    rest = ngram_join.apart_pairs(pairs.where("NOT best"), found)
+    assert list(map(tuple, rest.collect())) == [(9, 11)]
+    united = spark.createDataFrame([(11, 9), (10, 9), (12, 9), (9, 9)], "node long, component long")
+    assert ngram_join.apart_pairs(pairs, united).isEmpty()
